@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing
+from . import bpe, exact, imatch, neardup, packing, quality
 from .vocab import tokenizer_path
 
 
@@ -22,12 +22,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup_table(_docs(spark, sf_dir))
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_table(_docs(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_docs(spark, sf_dir))
+
+
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op7_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_imatch_fingerprints, op4_quality_classifier, op6_minhash_near_dedup, op7_bpe_encode_decode)}
 
 
 def oracle_sql() -> dict[str, str]:
