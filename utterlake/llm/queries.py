@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, imatch, neardup, packing, quality
+from . import bpe, exact, imatch, lines, neardup, packing, pii, quality
 from .vocab import tokenizer_path
 
 
@@ -31,6 +31,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_docs(spark, sf_dir))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_docs(spark, sf_dir))
 
@@ -39,8 +43,12 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_imatch_fingerprints, op4_quality_classifier, op6_minhash_near_dedup, op7_bpe_encode_decode)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_imatch_fingerprints, op4_quality_classifier, op5_line_dedup, op6_minhash_near_dedup, op7_bpe_encode_decode, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
