@@ -4,17 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.llm import packing
+from utterlake.llm import lines, neardup, packing, quality
+from utterlake.llm import pii as pii_
 from utterlake.llm.store import cut
 from utterlake.llm.vocab import tokenizer_path
 
 
+#: Documents whose score for a good label is below this go.
+LEAST_QUALITY = 0.5
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the compression classifier rejects."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model, LEAST_QUALITY)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines within one edit of an earlier line, and documents that hold nothing else."""
+    return lines.dedup_documents(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component."""
+    return neardup.keep_one_each(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind."""
+    return pii_.redact_documents(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what the other stages kept into sequences of 2048 tokens."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("minhash_near_dedup", minhash_near_dedup), ("pii", pii), ("best_fit_packing", best_fit_packing)]
 
 #: Compression, signatures and tokenizers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -14,12 +14,13 @@ length and a hash of a half.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import cut
 
@@ -113,8 +114,31 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     number that stays in one stays in all.  Other columns are not read; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"))
+    return _joined(source, min_chars).mapInArrow(_shorten(min_chars), "own_id long, text string, n_lines long, n_kept long").withColumnRenamed("own_id", "doc_id")
+
+
+def dedup_documents(docs: DataFrame, *, min_chars: int = 32) -> DataFrame:
+    """Rows of ``docs`` with their text cut to the lines that stay and n_chars to its length.
+
+    A row whose text is all repeated lines goes; one that was blank before stays.  Other columns stay.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    source = docs.select(own, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"))
+    joined = _joined(source, min_chars)
+    schema = T.StructType([joined.schema["own"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
+    out = joined.mapInArrow(_shorten(min_chars), schema)
+    out = out.filter((F.trim(F.translate("text", "\n\t\r", "   ")) != "") | (F.col("n_lines") == F.col("n_kept")))
+    new = {"text": F.when(F.col("n_lines") == F.col("n_kept"), F.col("own.text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_lines") == F.col("n_kept"), F.col("own.n_chars")).otherwise(F.char_length("text").cast("long"))}
+    return out.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
+
+
+def _joined(source: DataFrame, min_chars: int) -> DataFrame:
+    """The first column of ``source`` with the text and the line numbers that stay."""
     stay = kept_lines(source.select("doc_id", "text"), min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
+    return source.join(stay, "doc_id", "left").select(source.columns[0], "text", "stay")
+
 
+def _shorten(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, n, kept = [], [], []
@@ -122,6 +146,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 lines, held = t.as_py().split("\n"), set(s.as_py() or ())
                 left = [x for i, x in enumerate(lines) if len(x) < min_chars or i in held]
                 text.append("\n".join(left)), n.append(len(lines)), kept.append(len(left))
-            yield pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], names=["doc_id", "text", "n_lines", "n_kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], names=[batch.schema.names[0], "text", "n_lines", "n_kept"])
 
-    return source.join(stay, "doc_id", "left").select("own_id", "text", "stay").mapInArrow(run, "doc_id long, text string, n_lines long, n_kept long")
+    return run

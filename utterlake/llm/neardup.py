@@ -204,3 +204,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def keep_one_each(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """Rows of ``docs`` that are the kept document of their component; rows that repeat an id stay or go together."""
+    last = F.lit(2**63 - 1)
+    kept = near_duplicates(docs, percent=percent).filter("kept").select(F.coalesce("doc_id", last).alias("kept_id")).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), last) == kept["kept_id"], "left_semi")

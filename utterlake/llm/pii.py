@@ -9,10 +9,10 @@ discover become further spans, wherever they stand.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +94,7 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-SCAN = "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
+SCAN = "doc_id long, text_key long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
 FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
 
@@ -117,7 +117,7 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of (doc_id, text): base spans and instances with their contexts."""
+    """One row per row of (doc_id, text, text_key): base spans and instances with their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 base.append(shown(spans)), found.append(more)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, FOUND)], names=["doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, FOUND)], names=["doc_id", "text_key", "base", "n_email", "n_ip", "n_card", "n_phone", "found"])
 
     return docs.mapInArrow(run, SCAN)
 
@@ -155,6 +155,22 @@ def discover(scanned: DataFrame, rounds: int, confident: float, support: int) ->
     return known.join(seeds, "value", "left_anti").select("value", F.col("kind").alias("new_kind"))
 
 
+def _spans(source: DataFrame, rounds: int, confident: float, support: int) -> DataFrame:
+    """Of each row of (doc_id, text): doc_id, text_key, base counts, base and all spans."""
+    scanned = cut(scan(source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    new = discover(scanned, rounds, confident, support)
+    open_ = scanned.select("row", F.explode(F.filter("found", lambda x: x["kind"] == -1)).alias("x")).select("row", "x.start", "x.end", "x.value")
+    more = open_.join(new, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("new_kind").alias("kind"), "start", "end")).alias("more"))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(more, "row", "left")
+    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
+    every = F.array_sort(F.transform(F.concat("own", F.coalesce("more", none)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    names = F.array(*map(F.lit, KINDS))
+    text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
+    return rows.select("doc_id", "text_key", *counts, "base", text.alias("spans"))
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
     """Personal data of every whole text.
 
@@ -164,15 +180,27 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
     an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanned = cut(scan(source).withColumn("row", F.monotonically_increasing_id()), "scanned")
-    new = discover(scanned, rounds, confident, support)
-    open_ = scanned.select("row", F.explode(F.filter("found", lambda x: x["kind"] == -1)).alias("x")).select("row", "x.start", "x.end", "x.value")
-    more = open_.join(new, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("new_kind").alias("kind"), "start", "end")).alias("more"))
-    rows = scanned.select("row", "doc_id", "base", "n_email", "n_ip", "n_card", "n_phone", F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("own")).join(more, "row", "left")
-    every = F.array_sort(F.transform(F.concat("own", F.coalesce("more", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)"))), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    names = F.array(*map(F.lit, KINDS))
-    text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), text.alias("spans"))
+    return _spans(source, rounds, confident, support).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def redact_documents(docs: DataFrame, *, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
+    """Rows of ``docs`` with every span of personal data replaced by its kind, and n_chars to match.
+
+    Only rows with spans change; null texts stay null and other columns stay as they are.
+    """
+    text = F.coalesce("text", F.lit(""))
+    spans = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), rounds, confident, support)
+    marks = spans.filter("spans <> ''").select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), F.col("spans").alias("mark_spans")).dropDuplicates(["mark_id", "mark_key"])
+    joined = docs.alias("d").join(marks, F.col("d.doc_id").cast("long").eqNullSafe(F.col("mark_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("mark_key")), "left")
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else redact(t, s) for t, s in zip(texts, found, strict=True)])
+
+    has = F.col("mark_spans").isNotNull()
+    out = joined.withColumn("mark_text", clean(F.when(has, F.col("d.text")), "mark_spans"))
+    new = {"text": F.when(has, F.col("mark_text")).otherwise(F.col("d.text")), "n_chars": F.when(has, F.char_length("mark_text").cast("long")).otherwise(F.col("d.n_chars"))}
+    return out.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
 
 
 def redact(text: str, spans: str) -> str:
@@ -185,6 +213,3 @@ def redact(text: str, spans: str) -> str:
         at = max(at, e)
     return "".join([*out, text[at:]])
 
-
-def base_sha256(text: str) -> str:
-    return hashlib.sha256(shown(base_spans(text)).encode()).hexdigest()

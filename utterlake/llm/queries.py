@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, imatch, lines, neardup, packing, pii, quality
+from . import bpe, exact, htmltext, imatch, licenses, lines, neardup, packing, pii, quality
 from .vocab import tokenizer_path
 
 
@@ -43,12 +43,20 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_imatch_fingerprints, op4_quality_classifier, op5_line_dedup, op6_minhash_near_dedup, op7_bpe_encode_decode, op10_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_exact_dedup, op3_imatch_fingerprints, op4_quality_classifier, op5_line_dedup, op6_minhash_near_dedup, op7_bpe_encode_decode, op8_html_extraction, op9_license_scan, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
