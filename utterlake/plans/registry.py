@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import native
+from . import kernels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(native.QUERIES)
+    return dict(kernels.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(native.SQL)
+    return dict(kernels.SQL)
