@@ -1,0 +1,44 @@
+import json
+
+from utterlake.plans import offline
+from utterlake.plans.native import QUERIES, SQL
+
+
+class Table:
+    """A decoder that reads from a script: a character each second, numbers spoken."""
+
+    script = "今天有十五个人来了。我们一共说了三百句话，天气很好。" + "".join(map(chr, range(0x6000, 0x6040)))
+
+    def __call__(self, source, start, end):
+        words = [(c, i - start, i + 1 - start) for i, c in enumerate(self.script[: 60 + source]) if start <= i and i + 1 <= end]
+        return "".join(w[0] for w in words), words
+
+
+def test_offline_transcripts(spark, tmp_path):
+    durations = spark.createDataFrame([(i, 60.0 + i) for i in range(5)], "rec long, duration double")
+    silences = spark.createDataFrame([(i, 33.6, 34.4) for i in range(5)], "rec long, start double, end double")
+    done = offline.transcripts(durations, silences, Table, "rec")
+    got = {r.rec: r.text for r in done.collect()}
+    want = offline.numbers.to_digits(Table.script[:60])
+    assert got[0] == want
+    rows = offline.segments(done)
+    offline.write_segments(rows, str(tmp_path / "out"))
+    lines = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
+    first = next(x for x in lines if x["rec"] == 0 and x["index"] == 1)
+    assert first["text"] == "今天有15个人来了。" and first["speaker"] is None and first["start_ms"] == 0.0
+
+
+def test_guard():
+    calls = []
+
+    def decode(source, start, end):
+        calls.append((start, end))
+        return ("", []) if end - start > 20 else (f"{start:.0f}", [])
+
+    assert offline.guarded(decode, 0, 0.0, 30.0)[0] == "015" and calls == [(0.0, 30.0), (0.0, 30.0), (0.0, 15.0), (15.0, 30.0)]
+
+
+def test_registry_runs_without_llm():
+    from utterlake.plans import registry
+
+    assert set(SQL) <= set(QUERIES) and set(registry.oracle_sql()) <= set(registry.queries())
