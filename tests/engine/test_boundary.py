@@ -85,3 +85,27 @@ def test_stitch(spark):
     got = {r.rec: r for r in stitch.stitch(spark.createDataFrame(rows, schema).repartition(4), "rec").collect()}
     assert got[1].text == "我们要实现国家富强" and "".join(x.word for x in got[1].words) == got[1].text
     assert got[2].text == "好。"
+
+
+def test_small_rewrites():
+    assert B.trim_fragment("决议公布。决。") == "决议公布。" and B.trim_fragment("决议公布。决") == "决议公布。" and B.trim_fragment("决议公布。") == "决议公布。"
+    assert B.trim_dangling("武装夺取政权的政。") == "武装夺取政权的"
+    assert B.drop_plain_tail("一二，三。", 2) == "一"
+    assert B.fallback_final("", "", "命运好", "改变命运", 1.0) == "好" and B.fallback_final("x", "", "y") == "" and B.fallback_final("", "z", "y") == "z"
+    assert B.loop_at_end("前文。" + "发文章？对。" * 6)[0] == "发文章？对。" and B.trim_loop("前文。" + "发文章？对。" * 6) == "前文。" + "发文章？对。" * 2
+    assert B.loop_at_end("前文，" + "对" * 6) is None and B.loop_at_end("前文，" + "对" * 12)[0] == "对"
+    assert B.rescue_dedup([("甲", 9.0, 9.5), ("乙", 10.0, 10.5)], "", "", 10.0)[0] == "乙"
+
+
+def test_settings_gate_and_segments():
+    from utterlake import config
+    from utterlake.functions.segments import clean_segments
+    from utterlake.streaming.gate import PartialGate
+
+    s = config.load({"UTTERLAKE_OFFLINE_TARGET_S": "50", "UTTERLAKE_FLUSH_SILENCE_MS": "x", "UTTERLAKE_ITN": "off", "UTTERLAKE_SOFT_CUT_SILENCE_MS": "700"})
+    assert not s.itn and s.flush_silence_ms == 600 and s.broken() == ["soft_cut_silence_ms < flush_silence_ms", "offline_target_s < offline_max_chunk_s"]
+    g = PartialGate()
+    assert g.ask(1) and not g.ask(1) and not g.ask(1) and g.done(1) and not g.done(1) and g.ask(1)
+    seg = {"index": 1, "start": 0.0, "end": 1.0, "text": "呃好。", "punctuation": "。", "speaker": None, "chars": [{"text": c, "start": i / 10, "end": i / 10 + 0.1} for i, c in enumerate("呃好。")]}
+    out = clean_segments([seg | {"text": "呃", "chars": []}, seg], lambda t: t.replace("呃", ""))
+    assert [(x["index"], x["text"], x["start"], len(x["chars"])) for x in out] == [(1, "好。", 0.1, 2)]

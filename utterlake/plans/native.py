@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import intervals, lexicon, sessions, tokens
+from ..sources import lexicons
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,3 +239,35 @@ def stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ4, PRJ5, PRJ6, PRJ7, SCL27: cursors of a packet stream by plain arithmetic."""
     n = F.col("event_id") * 320
     return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0), n - 12800).cast("long").alias("origin"), F.floor(n / 8192).cast("long").alias("full_windows"), F.round(F.greatest(F.lit(0.3), F.col("value") + 0.05), 3).alias("window_s"), T.token_budget(F.col("value")).alias("budget"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS n, p_brand || ' | ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' ~~~ ' || p_type ELSE '' END AS line FROM part)
+    SELECT split_part(line, ' | ', 1) AS target, split_part(split_part(line, ' | ', 2), ' ~~~ ', 1) AS alias, CASE WHEN contains(line, '~~~') THEN split_part(line, ' ~~~ ', 2) ELSE '' END AS black
+    FROM l QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC) = 1""")
+def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10, HLP5: lexicon lines to targets, aliases and blacklists; the last line of a target wins."""
+    line = F.concat("p_brand", F.lit(" | "), "p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" ~~~ "), "p_type")).otherwise(F.lit("")))
+    found = lexicons.parse(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), line.alias("line")), "line", "n")
+    return found.select("target", F.get("aliases", F.lit(1)).alias("alias"), F.array_join("black", " ").alias("black"))
+
+
+@query(SQL["interval_coverage"].replace("SELECT user_id, day, CAST(sum(hi - lo)", "SELECT user_id, day, longest_us >= 28800000000 OR (speech_us >= 21600000000 AND speech_permille >= 500) AS suspicious_tail, speech_us >= 43200000000 AS suspicious_empty, speech_us < 7200000000 AND longest_us < 3600000000 AS skip_tail FROM (SELECT user_id, day, CAST(sum(hi - lo)") + ")")
+def chunk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT5, FLT6, FLT7: what the speech in a window says about an empty or early-ending chunk."""
+    speech, longest = F.col("speech_us"), F.col("longest_us")
+    return interval_coverage(spark, sf_dir).select("user_id", "day", ((longest >= 8 * HOUR) | ((speech >= 6 * HOUR) & (F.col("speech_permille") >= 500))).alias("suspicious_tail"), (speech >= 12 * HOUR).alias("suspicious_empty"), ((speech < 2 * HOUR) & (longest < HOUR)).alias("skip_tail"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations)
+    SELECT DISTINCT conv_id, turn, word FROM w WHERE NOT EXISTS (SELECT 1 FROM w p WHERE p.conv_id = w.conv_id AND p.turn = w.turn - 1 AND p.word = w.word)""")
+def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET1, SET2: words of a turn that the turn before does not have, duplicates removed altogether."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
+    before = words.select("conv_id", (F.col("turn") + 1).alias("turn"), "word")
+    return words.join(before, ["conv_id", "turn", "word"], "left_anti")
+
+
+@query("""SELECT event_id, round(value * 1000, 1) AS encode_ms, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 0) AS n_chunks, round(least(100.0, value / 5.0), 2) AS progress FROM events""")
+def perf_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ3, PRJ8: model timings in milliseconds, counts with a default, progress in percent."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") * 1000, 1).alias("encode_ms"), F.coalesce(F.from_json("props", "k int")["k"], F.lit(0)).alias("n_chunks"), F.round(F.least(F.lit(100.0), F.col("value") / 5.0), 2).alias("progress"))
