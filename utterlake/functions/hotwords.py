@@ -63,12 +63,12 @@ def phonemes(text: str, table: dict[str, tuple[str, str, str]] | None = None) ->
 
 
 def cost(want: Phoneme, have: Phoneme) -> float:
-    """0 for the same, half for a tone of the term or a similar sound, else 1."""
-    if want.value == have.value and want.lang == have.lang:
+    """0 for the same, half for a tone of the term or a similar sound of its language, else 1."""
+    if want.lang != have.lang:
+        return 1.0
+    if want.value == have.value:
         return 0.0
-    if want.tone or (want.lang == have.lang == "zh" and any({want.value, have.value} <= g for g in SIMILAR)):
-        return 0.5
-    return 1.0
+    return 0.5 if want.lang == "zh" and (want.tone or any({want.value, have.value} <= g for g in SIMILAR)) else 1.0
 
 
 def alignments(term: list[Phoneme], text: list[Phoneme], least: float) -> list[tuple[float, int, int]]:
