@@ -8,8 +8,8 @@ are candidates.  At the similarity threshold itself a pair is missed with a chan
 
 Equal sets are one class, so exact copies never meet in a join.  Within the group of a key, members
 are first held against the smallest one only.  Pairs are tested further only where their group still
-has several components, and only those of unlike components: links inside a component change nothing.
-Every link is confirmed on the full sets.
+has several components, and only those of unlike components that share a rare shingle early enough to
+reach the threshold: links inside a component change nothing.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .packing import Cache
@@ -28,8 +29,6 @@ from .store import cut
 
 U64 = np.uint64
 WORDS, SYMBOLS, CHUNKS, ERRORS = 5, 48, 8, 1
-#: Pairs whose signatures differ in more symbols are not tested (at the threshold: a chance of 1e-7).
-MOST_DIFFERENT = 22
 P = U64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(5)
 A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -145,16 +144,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose full sets meet ``100 * intersection >= percent * union``.
+def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Full sets of some documents, written: rep, shingles.
 
-    Only texts that stand in a pair are read again.  Their ids are broadcast if a count shows at
-    most ``most_broadcast`` (of 8 bytes); else both sides are shuffled.
+    The ids are broadcast if a count shows at most ``most_broadcast`` (of 8 bytes); else both sides
+    are shuffled.
     """
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    ids = cut(ids, "ids")
     if ids.count() <= most_broadcast:
         ids = F.broadcast(ids)
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
+    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
+
+
+def rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of unlike labels among ``members`` (rep, label) that may meet the threshold; exact.
+
+    Shingles are ordered from the rarest to the most frequent.  Of two sets that meet the threshold, the
+    first shared one lies so early in both that what follows still holds the least overlap.  Shingles of a
+    passage that many documents share come last, and own edits of near copies first, so neither makes pairs.
+    """
+    sets = shingle_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct())
+    tokens = sets.join(members, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = tokens.groupBy("s").agg(F.count("*").alias("df"))
+    order = W.partitionBy("rep", "n").orderBy("df", "s")
+    early = tokens.join(counts, "s").withColumn("i", F.row_number().over(order) - 1)
+    early = cut(early.filter((100 * (F.col("n") - F.col("i")) >= percent * F.col("n")) & (F.col("df") > 1)).drop("df"), "early")
+    x, y = (early.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "label", "n", "i"))) for k in "ab")
+    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    fits = (F.col("label_a") < F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
+    return x.join(y, (x["s"] == y["s"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, percent: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) whose full sets meet ``100 * intersection >= percent * union``.
+
+    Only texts that stand in a pair are read again.
+    """
+    sets = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), most_broadcast)
     one, two = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     inter, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
     return pairs.join(one, "a").join(two, "b").filter(100 * inter >= percent * (total - inter)).select("a", "b").distinct()
@@ -190,12 +216,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     now = grouped.join(labels, grouped["rep"] == labels["node"], "left").select("key", "rep", "n", label)
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     rest = cut(now.join(mixed, "key"), "rest")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "label"))) for k in "ab")
-    pairs = x.join(y, "key").filter((F.col("label_a") < F.col("label_b")) & alike("n_a", "n_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    for k in "ab":
-        pairs = pairs.join(members.select(F.col("rep").alias(k), F.col("signature").alias(f"sig_{k}")), k)
-    differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda p, q: p != q), lambda d: d))
-    more = confirm(source, cut(pairs.filter(differ <= MOST_DIFFERENT).select("a", "b"), "pairs"), percent)
+    more = confirm(source, rare_pairs(source, rest.select("rep", "label").distinct(), percent).join(stars, ["a", "b"], "left_anti"), percent)
     ends = cut(components(links.unionByName(more)), "ends")
 
     label = F.coalesce("label", "rep").alias("component_id")
