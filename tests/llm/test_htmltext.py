@@ -32,6 +32,14 @@ def test_templates_and_slots(spark):
     assert got[202] == got[203] == "" and got[204] == "plain & text" and got[None] == "x"
 
 
+def test_boilerplate_inside_and_around_an_article():
+    page = """<div class="site-header">Logo</div><p class="ad">Buy</p><main><article><header><h1>Title</h1></header><p>Body
+    text</p><p class="advert">Buy more</p><aside>See</aside><section class="reader-comments"><p>First</p></section><footer>Share</footer></article></main><div class="cookie">ok?</div>"""
+    assert H.slot_text(page, None, set()) == "Title\n\nBody text"
+    assert H.slot_text("<div class='gdpr'>x</div><p>a<p>b &lt;c&gt;<div>d<script>e</script></div>", None, set()) == "a\n\nb <c>\n\nd"
+    assert H.slot_text("<<<", None, set()) == "<<<" and H.slot_text("<p", None, set()) == ""
+
+
 def test_article_of_every_given_page(spark):
     """Held against a plain reading of these pages: what their one article element holds."""
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")

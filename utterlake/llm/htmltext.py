@@ -32,7 +32,8 @@ BLOCKS = frozenset("html head body title article main section div p h1 h2 h3 h4
 CONTAINERS = frozenset("html head body article main section div ul ol dl table thead tbody tfoot tr td th blockquote figure nav header footer aside form fieldset details menu dialog select button".split())
 BOILERPLATE = frozenset("head nav footer aside form menu dialog select button fieldset option label".split())
 #: Words of class, id or role that mark boilerplate, and those that mark the article.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebars?|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|comments?|disqus|replies|respond|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|pagination|pager|widgets?|toolbar|skip|complementary|contentinfo|search|masthead|topbar)(?=$|[\s_-]|\d)", re.I)
+MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|sidebars?|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|comments?|disqus|replies|respond|menus?|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|footer|pagination|pager|widgets?|toolbar|skip|complementary|contentinfo|search|masthead|topbar|gdpr|paywall|trending|outbrain|taboola|feedback|rating)(?=$|[\s_-]|\d)", re.I)
+SITE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|logo|branding)(?=$|[\s_-]|\d)", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?=$|[\s_-]|\d)", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
@@ -65,13 +66,14 @@ def parse(page: str) -> tuple[list[Block], Counter]:
     blocks: list[Block] = []
     pieces: list[str] = []
     tag = ""
+    leaf: tuple[Element, ...] = ()  # a block without blocks of its own that is marked as boilerplate
 
     def flush() -> None:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                blocks.append(Block(around, tag, text))
+                blocks.append(Block((*around, *leaf), tag, text))
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
@@ -83,7 +85,7 @@ def parse(page: str) -> tuple[list[Block], Counter]:
                     pieces.append(" ")
                 continue
             flush()
-            tag = "" if m["close"] else name
+            tag, leaf = "" if m["close"] else name, ()
             if m["close"]:
                 if name in CONTAINERS and any(e.name == name for e in around):
                     while around[-1].name != name:
@@ -94,11 +96,14 @@ def parse(page: str) -> tuple[list[Block], Counter]:
             label = name + ("." + DIGITS.sub("#", marks) if marks else "")
             path = f"{around[-1].path}/{label}" if around else label
             paths[path] += 1
+            inside = any(e.article for e in around)
+            marked = bool(marks) and name not in ("html", "body", "article", "main") and bool(MARKED.search(marks) or not inside and SITE_HEADER.search(marks))
+            boiler = name in BOILERPLATE or marked or (name == "header" and not inside)
             if name in CONTAINERS and not m["attrs"].endswith("/"):
-                inside = any(e.article for e in around)
                 article = name in ("article", "main") or bool(marks and ARTICLE.search(marks))
-                boiler = name in BOILERPLATE or (name == "header" and not inside) or bool(marks and name not in ("html", "body", "article", "main") and MARKED.search(marks))
                 around = (*around, Element(name, path, boiler, article and not boiler))
+            elif boiler:
+                leaf = (Element(name, path, True, False),)
     flush()
     return blocks, paths
 
@@ -172,8 +177,10 @@ def slot_text(page: str, root: str | None, texts: set[str]) -> str:
     blocks, _ = parse(page)
     blocks = [b for b in blocks if not any(e.boiler for e in b.around) and b.tag != "title"]
     own = [b for b in blocks if any(e.article for e in b.around)]
-    slot = [b for b in blocks if root is not None and any(e.path == root for e in b.around)] if not own or root and any(e.path == root and e.article for b in own for e in b.around) else own
-    chosen = slot or own or blocks
+    slot = [b for b in blocks if root is not None and any(e.path == root for e in b.around)]
+    if own and not any(e.article for b in slot for e in b.around):
+        slot = own  # the host's slot is no article, but this page has one
+    chosen = slot or blocks
     # text of the template is dropped around an article, never inside one
     return "\n\n".join(b.text for b in chosen if any(e.article for e in b.around) or text_token(b) not in texts)
 

@@ -65,4 +65,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        # within one edit, one half of a line stays at a known place: the four keys of a line meet those of its partners
+        "op5_line_dedup": """
+            WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+            lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM split),
+            firsts AS (SELECT line, min(doc_id * 1000000 + line_no) AS place FROM lines WHERE length(line) >= 32 GROUP BY line),
+            keys AS (SELECT *, unnest([length(line) || 'h' || left(line, length(line) // 2), length(line) || 't' || substr(line, length(line) // 2 + 1),
+                (length(line) - 1) || 'h' || left(line, (length(line) - 1) // 2), (length(line) - 1) || 't' || substr(line, (length(line) - 1) // 2 + 2)]) AS k FROM firsts),
+            late AS (SELECT DISTINCT b.place FROM keys a JOIN keys b ON a.k = b.k AND a.place < b.place WHERE levenshtein(a.line, b.line) <= 1),
+            stay AS (SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM late)),
+            marked AS (SELECT l.*, length(line) < 32 OR s.place IS NOT NULL AS kept FROM lines l LEFT JOIN stay s ON s.place = l.doc_id * 1000000 + l.line_no)
+            SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kept), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE kept) AS n_kept
+            FROM marked GROUP BY doc_id""",
+        "op6_minhash_near_dedup": """
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+            e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)),
+            sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, sym.b FROM r JOIN sym ON r.c = sym.a)
+            SELECT doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r JOIN s USING (doc_id) GROUP BY doc_id""",
     }
