@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import cut
+
 SUBSETS = 20
 #: A subset of level k holds one lexicon term in LEVELS[k].
 LEVELS = (20, 100, 500, 2500)
@@ -36,18 +38,14 @@ def lexicon(docs: DataFrame, text: Column, low: float, high: float) -> DataFrame
     return found.filter(F.col("count").between(max(2, math.ceil(low * n)), math.floor(high * n))).select("h")
 
 
-def _level(band: Column, level: int) -> Column:
-    """The hashes of one level's subsets of a sorted array of term hashes."""
-
-    def place(term: Column) -> Column:
-        return F.pmod(F.shiftright(term, 9 * level), F.lit(LEVELS[level]))
-
-    held = F.filter(band, lambda t: place(t) < SUBSETS) if level else band
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.xxhash64(F.filter(held, lambda t: place(t) == s)))
+def _place(term: Column, level: int) -> Column:
+    """Which of a level's sets a term hash falls in; the first SUBSETS of them are its subsets."""
+    return F.pmod(F.shiftright(term, 9 * level), F.lit(LEVELS[level]))
 
 
-def _hashes(band: Column) -> list[Column]:
-    return [_level(band, k) for k in range(len(LEVELS))]
+def _hashes(held: Column, level: int) -> Column:
+    """The hashes of one level's subsets of a sorted array of the term hashes that fall in them."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.xxhash64(F.filter(held, lambda t: _place(t, level) == s)))
 
 
 def _hits(a: Column, b: Column, test: Callable[[Column, Column], Column]) -> Column:
@@ -93,8 +91,8 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lowest = -(2**63) + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = lexicon(rows, F.col("text"), low, high)
-    if words.count() <= most_broadcast:
-        words = F.broadcast(words)
+    words = cut(words, "lexicon")
+    few = words.count() <= most_broadcast
 
     # Descending order over all rows: ranges of ids, each with a copy of the row that follows its last.
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -113,15 +111,21 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     dealt = placed.select("doc_id", "text", "k", F.explode(both).alias("at")).select("doc_id", "text", "k", "at.bucket", "at.extra")
     edit = dealt.withColumn("row", F.row_number().over(ordered)).withColumn("after", F.lead("text").over(ordered)).withColumn("n_chars", F.char_length("text").cast("long"))
     edit = edit.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(coalesce(after, ''), cast(n_chars div 3 as int)))"))
-    sides = edit.select("bucket", "row", "extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("text")).alias("own"), F.xxhash64(F.lower("edited")).alias("edited_own"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).alias("x"))
-    keys = ["bucket", "row", "extra", "doc_id", "n_chars", "edited_sha256", "own", "edited_own"]
-    seen = sides.select(*keys, F.col("x.side").alias("side"), F.explode(terms(F.col("x.t"))).alias("term")).withColumn("h", F.xxhash64("term"))
-    seen = seen.join(words.withColumn("in_band", F.lit(True)), "h", "left")
+    about = F.struct("extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("text")).alias("own"), F.xxhash64(F.lower("edited")).alias("edited_own"))
+    sides = edit.select("bucket", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), about.alias("about")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), F.lit(None).alias("about")))).alias("x"))
+    # the empty term keeps each text's row and carries what else is known of it; terms outside the band go early
+    seen = sides.select("bucket", "row", "x.side", "x.about", F.explode(F.array_union(terms(F.col("x.t")), F.array(F.lit("")))).alias("term"))
+    seen = seen.select("bucket", "row", "side", F.xxhash64("term").alias("h"), F.when(F.col("term") == "", F.col("about")).alias("about"))
+    empty = spark.range(1).select(F.xxhash64(F.lit("")).alias("h"), F.lit(False).alias("in_band"))
+    known = words.withColumn("in_band", F.lit(True)).unionByName(empty)
+    seen = seen.join(F.broadcast(known) if few else known, "h")
     # all rows of a bucket are in one place already: neither this grouping nor the next window shuffles
-    band = lambda side: F.array_sort(F.collect_list(F.when(F.col("in_band") & (F.col("side") == side), F.col("h"))))
-    docs_ = seen.groupBy(*keys).agg(band(0).alias("band"), band(1).alias("edited_band"))
     n = len(LEVELS)
-    docs_ = docs_.select(*keys, *(c.alias(f"f{i}") for i, c in enumerate(_hashes(F.col("band")))), *(c.alias(f"e{i}") for i, c in enumerate(_hashes(F.col("edited_band")))))
+    held = [F.array_sort(F.collect_list(F.when(F.col("in_band") & (F.col("side") == side) & (_place(F.col("h"), k) < SUBSETS), F.col("h")))).alias(f"{name}{k}") for side, name in ((0, "b"), (1, "c")) for k in range(n)]
+    docs_ = seen.groupBy("bucket", "row").agg(F.first("about", ignorenulls=True).alias("about"), *held)
+    # one row each through a generator: the sorted arrays are made once, and not anew for every subset
+    docs_ = docs_.select("bucket", "row", "about.*", F.inline(F.array(F.struct(*(f"{x}{k}" for x in "bc" for k in range(n))))))
+    docs_ = docs_.select("bucket", "row", "extra", "doc_id", "n_chars", "edited_sha256", "own", "edited_own", *(_hashes(F.col(f"{x}{k}"), k).alias(f"{y}{k}") for x, y in ("bf", "ce") for k in range(n)))
     line = W.partitionBy("bucket").orderBy("row")
     for c in [*(f"f{i}" for i in range(n)), "own"]:
         docs_ = docs_.withColumn(f"next_{c}", F.lead(c).over(line))
