@@ -57,18 +57,20 @@ def carry_tail(text: Column, n: int = 5) -> Column:
 
 
 def suffix_prefix(prev: Column, text: Column) -> Column:
-    """Length of the longest end of ``prev`` that ``text`` starts with, both without punctuation."""
-    p, t = plain(prev), plain(text)
-    n = F.least(F.char_length(p), F.char_length(t))
-    hits = F.filter(F.sequence(F.lit(0), n), lambda k: F.when(k == 0, F.lit(True)).otherwise(F.right(p, k) == F.left(t, k)))
-    return F.array_max(hits)
+    """Length of the longest end of ``prev`` that ``text`` starts with.
+
+    Both are columns of plain text; only places where the last character fits are compared in full.
+    """
+    places = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("n")))
+    ends = F.right(prev, F.lit(1))
+    hits = F.filter(places, lambda x: (x["c"] == ends) & (x["n"] <= F.char_length(prev)) & (F.right(prev, x["n"]) == F.left(text, x["n"])))
+    return F.coalesce(F.array_max(F.transform(hits, lambda x: x["n"])), F.lit(0))
 
 
 def leftover_echo(prev: Column, text: Column) -> Column:
-    """Whether a text of at most four characters only repeats the end of ``prev``."""
-    p, t = plain(prev), plain(text)
-    n = F.char_length(t)
-    return F.when(n == 0, True).when((n > 4) | (F.char_length(p) == 0), False).otherwise(F.instr(F.right(p, n + 2), t) > 0)
+    """Whether a plain text of at most four characters only repeats the end of plain ``prev``."""
+    n = F.char_length(text)
+    return F.when(n == 0, True).when((n > 4) | (F.char_length(prev) == 0), False).otherwise(F.instr(F.right(prev, n + 2), text) > 0)
 
 
 def preview(text: Column, width: int = 48) -> Column:

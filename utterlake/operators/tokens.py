@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_END, has_content
@@ -39,13 +40,26 @@ def sentences(df: DataFrame, words: str, ends: str = SENTENCE_END) -> DataFrame:
     return df.filter(n > 0).select(*others, F.posexplode(kept).alias("at_", "s_")).select(*others, (F.col("at_") + 1).cast("long").alias("index"), "s_.start_ms", "s_.end_ms", "s_.n_tokens", "s_.text")
 
 
-def on_spans(words: Column, spans: Column) -> Column:
-    """Of each span of character offsets, the time from the first to the last token that it touches."""
-    ends = F.aggregate(words, F.array().cast("array<int>"), lambda acc, w: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 1 + F.char_length(w["word"])))
-    offsets = F.zip_with(words, ends, lambda w, e: F.struct((e - F.char_length(w["word"])).alias("lo"), e.alias("hi"), w["start"].alias("start"), w["end"].alias("end")))
+def with_offsets(df: DataFrame, keys: list[str], words: str) -> DataFrame:
+    """One row per token of a column of timed tokens: pos, start, end, and its characters lo to hi, words apart by one."""
+    rows = df.select(*keys, F.posexplode(words).alias("pos", "w"))
+    before = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    size = F.char_length("w.word")
+    rows = rows.withColumn("hi", F.sum(size + 1).over(before) - 1)
+    return rows.select(*keys, "pos", "w.start", "w.end", (F.col("hi") - size).alias("lo"), "hi")
 
-    def touched(s: Column) -> Column:
-        hit = F.filter(offsets, lambda o: (o["lo"] < s["hi"]) & (o["hi"] > s["lo"]))
-        return F.struct(s["lo"].alias("lo"), F.size(hit).cast("long").alias("n_tokens"), F.array_min(F.transform(hit, lambda o: o["start"])).alias("start_ms"), F.array_max(F.transform(hit, lambda o: o["end"])).alias("end_ms"))
 
-    return F.transform(spans, touched)
+def on_spans(placed: DataFrame, spans: DataFrame, keys: list[str], width: int = 64) -> DataFrame:
+    """Of each span (keys, lo, hi) of character offsets: n_tokens and the time from the first to the last token it touches.
+
+    Both sides meet in buckets of ``width`` characters; a pair that shares several counts in the first only.
+    """
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(F.greatest(hi - 1, lo) / width)))
+    x = spans.select(*keys, "lo", "hi", cells(F.col("lo"), F.col("hi")).alias("cell"))
+    y = placed.select(*(F.col(k).alias(f"{k}_") for k in keys), "pos", "start", "end", F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), cells(F.col("lo"), F.col("hi")).alias("cell_"))
+    same = F.col("cell") == F.col("cell_")
+    for k in keys:
+        same &= F.col(k) == F.col(f"{k}_")
+    first = F.col("cell") == F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("t_lo") / width))
+    joined = x.join(y, same & first & (F.col("t_lo") < F.col("hi")) & (F.col("t_hi") > F.col("lo")), "left")
+    return joined.groupBy(*keys, "lo").agg(F.count("pos").alias("n_tokens"), F.min("start").alias("start_ms"), F.max("end").alias("end_ms"))

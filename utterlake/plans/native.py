@@ -146,9 +146,9 @@ def drop_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN length(t) = 0 THEN true WHEN length(t) > 4 OR length(p) = 0 THEN false ELSE contains(right(p, length(t) + 2), t) END AS echo FROM p""")
 def suffix_prefix_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON14, FLT12: how much of a turn repeats the end of the one before."""
-    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before"))
-    return rows.select("conv_id", "turn", T.suffix_prefix(F.col("before"), F.col("text")).cast("long").alias("overlap"), T.leftover_echo(F.col("before"), F.col("text")).alias("echo"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.plain(F.col("text")).alias("t"))
+    rows = rows.withColumn("p", F.coalesce(F.lag("t").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    return rows.select("conv_id", "turn", T.suffix_prefix(F.col("p"), F.col("t")).cast("long").alias("overlap"), T.leftover_echo(F.col("p"), F.col("t")).alias("echo"))
 
 
 @query(f"""SELECT doc_id, regexp_replace(text, '[{ENDS}]+(["'']*)$', '\\1') AS bare, array_to_string(list_slice(w, greatest(len(w) - 4, 1), len(w)), ' ') AS tail
@@ -190,9 +190,11 @@ def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p.conv_id, p.turn, p.lo, count(o.pos) AS n_tokens, min(o.s) AS start_ms, max(o.e) AS end_ms FROM spans p LEFT JOIN o ON o.conv_id = p.conv_id AND o.turn = p.turn AND o.lo < p.lo + 10 AND o.lo + length(o.word) > p.lo GROUP BY ALL""")
 def span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON5, WIN7, AGG4: the time that spans of character offsets cover."""
-    spans = F.when(F.char_length("text") > 0, F.transform(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(37)), lambda k: F.struct(k.alias("lo"), (k + 10).alias("hi"))))
-    rows = table(spark, sf_dir, "conversations").withColumn("words", tokens.timed(F.col("text"), F.col("turn") * 120_000))
-    return rows.select("conv_id", "turn", F.explode(tokens.on_spans(F.col("words"), spans)).alias("x")).select("conv_id", "turn", F.col("x.lo").cast("long").alias("lo"), "x.n_tokens", "x.start_ms", "x.end_ms")
+    rows = table(spark, sf_dir, "conversations").filter("text <> ''")
+    starts = rows.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(37))).alias("lo"))
+    spans = starts.select("conv_id", "turn", F.col("lo").cast("long").alias("lo"), (F.col("lo") + 10).cast("long").alias("hi"))
+    placed = tokens.with_offsets(turns(spark, sf_dir), ["conv_id", "turn"], "words")
+    return tokens.on_spans(placed, spans, ["conv_id", "turn"])
 
 
 @query("""SELECT conv_id, turn, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE NOT ends_with(text, '.')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS prefix_md5 FROM conversations""".replace("string_agg(text, '' ORDER BY turn)", "string_agg(text, '')"))
