@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import per_worker
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: White space as the tokenizer's pattern has it.
@@ -148,16 +150,6 @@ class PairIndexBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", errors="replace")
 
 
-_CODERS: dict[str, PairIndexBpe] = {}
-
-
-def coder(path: str) -> PairIndexBpe:
-    """One coder per Python worker."""
-    if path not in _CODERS:
-        _CODERS[path] = PairIndexBpe(path)
-    return _CODERS[path]
-
-
 def in_groups(ids: list, texts: pa.Array, most_chars: int) -> Iterator[tuple[list, list[str]]]:
     """Rows of a batch in groups of about ``most_chars`` characters."""
     keys, group, size = [], [], 0
@@ -180,7 +172,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary)
+        bpe = per_worker(("bpe", vocabulary), lambda: PairIndexBpe(vocabulary))
         for batch in batches:
             for keys, texts in in_groups(batch.column(0).to_pylist(), batch.column(1), group_chars):
                 rows = [(k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) for k, ids in zip(keys, bpe.encode_many(texts), strict=True)]

@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut
+from .store import cut, per_worker
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1
+#: Variants that a task holds before it hands them on; a longer line is handed on by itself.
+MOST_AT_ONCE = 200_000
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -69,14 +71,20 @@ def variants(line: str) -> np.ndarray:
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Variants of each line with the place left out (-1: none)."""
+    per_worker(("lines",), bool)
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            part = batch.slice(k, 200)
-            keys = [variants(t.as_py()) for t in part.column("line")]
+        doc, number = (batch.column(c).to_numpy() for c in ("doc_id", "line_no"))
+        rows: list[int] = []
+        keys: list[np.ndarray] = []
+        for k, line in enumerate(batch.column("line")):
+            rows.append(k)
+            keys.append(variants(line.as_py()))
+            if sum(map(len, keys)) < MOST_AT_ONCE and k + 1 < batch.num_rows:
+                continue
             size = [len(x) for x in keys]
             place = np.concatenate([np.arange(-1, n - 1) for n in size])
-            again = lambda name, part=part, size=size: pa.array(np.repeat(part.column(name).to_numpy(), size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place, pa.int32()), again("doc_id"), again("line_no")], names=["variant", "place", "doc_id", "line_no"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place, pa.int32()), pa.array(np.repeat(doc[rows], size)), pa.array(np.repeat(number[rows], size))], names=["variant", "place", "doc_id", "line_no"])
+            rows, keys = [], []
 
 
 def kept_lines(docs: DataFrame, min_chars: int, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -140,6 +148,7 @@ def _joined(source: DataFrame, min_chars: int) -> DataFrame:
 
 def _shorten(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_worker(("lines",), bool)
         for batch in batches:
             text, n, kept = [], [], []
             for t, s in zip(batch.column("text"), batch.column("stay"), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .packing import Cache
-from .store import cut
+from .store import cut, per_worker
 
 U64 = np.uint64
 WORDS, SYMBOLS, CHUNKS, ERRORS = 5, 48, 8, 1
@@ -44,7 +44,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z is lower-cased, words end at ASCII white space."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most, self.hashes = most, Cache(xxhash.xxh64_intdigest)
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -61,16 +61,6 @@ class Shingler:
         return np.unique(_mix(h))
 
 
-_SHINGLERS: list[Shingler] = []
-
-
-def shingler() -> Shingler:
-    """One per Python worker."""
-    if not _SHINGLERS:
-        _SHINGLERS.append(Shingler())
-    return _SHINGLERS[0]
-
-
 def signature(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
     """16-bit symbols: the lowest bits of each permutation's minimum."""
     least = np.full(SYMBOLS, ~U64(0), U64)
@@ -80,7 +70,7 @@ def signature(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut_up = shingler()
+    cut_up = per_worker(("shingles",), Shingler)
     for batch in batches:
         n, key, sig = [], [], []
         for t in batch.column(1):
@@ -112,7 +102,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut_up = shingler()
+    cut_up = per_worker(("shingles",), Shingler)
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)

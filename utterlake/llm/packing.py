@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .store import cut
+from .store import cut, per_worker
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, done boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
@@ -100,16 +100,6 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, WordIds] = {}
-
-
-def encoder(path: str) -> WordIds:
-    """One encoder per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
-
-
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit decreasing: bin and offset of each item, fill of each bin.
 
@@ -148,7 +138,7 @@ def _first_round(path: str, seq_len: int, end_id: int, slack: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = per_worker(("words", path), lambda: WordIds(path))
         doc, piece, start, length, crc = [], [], [], [], []
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

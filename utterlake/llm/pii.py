@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, per_worker
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -120,6 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text, text_key): base spans and instances with their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_worker(("pii",), bool)
         for batch in batches:
             base, counts, found = [], [[], [], [], []], []
             for t in batch.column(1):

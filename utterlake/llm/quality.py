@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import per_worker
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 PIECE, DICTIONARY, LEVEL = 512, 112_640, 3
 
@@ -109,7 +111,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(model.good, model.bad)
+        meter = per_worker(("meter", model), lambda: Meter(model.good, model.bad))
         mean, scale, w = np.array(model.mean), np.array(model.scale), np.array(model.weights)
         for batch in batches:
             if not batch.num_rows:
@@ -131,7 +133,7 @@ def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(model.good, model.bad)
+        meter = per_worker(("meter", model), lambda: Meter(model.good, model.bad))
         mean, scale, w = np.array(model.mean), np.array(model.scale), np.array(model.weights)
         for batch in batches:
             if not batch.num_rows:
