@@ -1,12 +1,14 @@
 """Packing, exact dedup, BPE, fingerprints, near-dedup and quality against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from utterlake.llm import bpe, exact, imatch, neardup, packing, quality
 from utterlake.llm.vocab import tokenizer_path
@@ -170,6 +172,21 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.2
 
 
+def test_copies_do_not_move_the_band(spark):
+    """A third of the rows is one text: its terms stay in the lexicon, and the other rows' too."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    prose = lambda: " ".join(r.choice(vocabulary) for _ in range(60))
+    texts = [prose() for _ in range(80)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    hot = [(1000 + i, texts[0], "en", "s", 0) for i in range(40)]
+    few, all_ = ({x.h for x in imatch.lexicon(documents(spark, x), F.col("text"), 0.02, 0.2).collect()} for x in (rows, rows + hot))
+    want = Counter(w for t in texts for w in set(t.split()))
+    assert few == all_ and len(few) == sum(2 <= c <= 16 for c in want.values())
+    prints = {x.doc_id: x.fingerprint for x in imatch.fingerprint_table(documents(spark, rows + hot), low=0.02).collect()}
+    assert not prints[1000].startswith("text.") and prints[1000] == prints[0]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = quality.score(docs.join(labels, "doc_id"), quality.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()

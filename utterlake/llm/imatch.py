@@ -1,6 +1,6 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-The lexicon holds the terms whose document frequency lies in a band of shares of all documents.
+The lexicon holds the terms whose document frequency lies in a band of shares of all distinct texts.
 With a lower share ``low`` it has at most (mean distinct terms of a document) / ``low`` entries,
 however many documents there are, so it is broadcast; a count checks that.  A text's distinct
 lexicon terms are sorted, and each of several randomised subsets of the lexicon hashes those of
@@ -31,10 +31,18 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
-def lexicon(docs: DataFrame, text: Column, low: float, high: float) -> DataFrame:
-    """Hashes of the terms that at least ``low`` (and two documents) and at most ``high`` of all rows hold."""
-    n = docs.count()
-    found = docs.select(F.explode(terms(text)).alias("term")).filter("term <> ''").groupBy(F.xxhash64("term").alias("h")).count()
+def lexicon(docs: DataFrame, text: Column, low: float, high: float, most_broadcast: int = 2_000_000) -> DataFrame:
+    """Hashes of the terms that at least ``low`` (and two) and at most ``high`` of the distinct texts hold.
+
+    Each of c copies of a text counts as 1 / c, so that the texts themselves are not shuffled.
+    """
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("text_key"))
+    copies = cut(keyed.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    groups, more = copies.agg(F.count("*"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
+    n = docs.count() - more
+    shared = keyed.join(F.broadcast(copies) if groups <= most_broadcast else copies, "text_key", "left")
+    weight = F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight")
+    found = shared.select(weight, F.explode(terms(F.col("text"))).alias("term")).filter("term <> ''").groupBy(F.xxhash64("term").alias("h")).agg(F.round(F.sum("weight")).cast("long").alias("count"))
     return found.filter(F.col("count").between(max(2, math.ceil(low * n)), math.floor(high * n))).select("h")
 
 
@@ -90,7 +98,7 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     lowest = -(2**63) + 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = lexicon(rows, F.col("text"), low, high)
+    words = lexicon(rows, F.col("text"), low, high, most_broadcast)
     words = cut(words, "lexicon")
     few = words.count() <= most_broadcast
 
