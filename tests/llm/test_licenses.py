@@ -44,6 +44,31 @@ def test_planted_notices(spark):
     assert all(got[1000 + i].n_found == 0 and got[1000 + i].license is None for i in range(20))
 
 
+def test_near_misses():
+    scanner = L.Scanner(L.TEMPLATES, 0.8, 0.25)
+    found = lambda text: [h[0] for h in scanner(f"some words {text} and more words")]
+    for text, want in (
+        ("Released under the BSD License.", ["bsd-line"]),
+        ("Licensed under CC BY 4.0", ["cc-by-4.0-short-line"]),
+        ("Licensed under CC BY-NC-SA 4.0", ["cc-by-nc-sa-4.0-short-line"]),
+        ("Licensed under CC BY-NC 3.0", ["cc-by-nc-3.0-short-line"]),
+        ("Licensed under the Apache License, Version 1.1", ["apache-1.1-line"]),
+        ("Licensed under the Apache License", ["apache-line"]),
+        ("Licensed under the Apache License, Version 3.7", []),
+        ("Licensed under the Artful License, Version 2.0", []),
+        ("Released under the Foo License.", []),
+        ("This work is licensed under the GNU General Public License, version 4.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["lgpl-3.0-line"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 4.", []),
+        (L.TEMPLATES["gpl-3.0"].replace("version 3", "version 4"), []),
+        (L.TEMPLATES["gpl-3.0"].replace("version 3 of", "of"), []),
+        (L.TEMPLATES["gpl-3.0"].replace("GNU General", "GNU Lesser General"), ["lgpl-3.0"]),
+        (L.TEMPLATES["bsd-3-clause"], ["bsd-3-clause"]),
+        ("Distributed under the MIT license", ["mit-line"]),
+    ):
+        assert found(text) == want, text
+
+
 def test_odd_rows(spark):
     got = L.scan(documents(spark)).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, *_ in odd_documents())
