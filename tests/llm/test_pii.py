@@ -39,6 +39,27 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert out[0].spans == "phone:19:34"
 
 
+def test_identifiers_in_groups(spark):
+    rows = [(i, f"my phone number is +1 555 010 {1000 + i} thanks {i % 7}", None, None, None) for i in range(24)]
+    more = ["020 7946 0958", "(052) 555-0934", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    rows += [(100 + i, f"my phone number is {x} thanks", None, None, None) for i, x in enumerate(more)]
+    out = {r.doc_id: r for r in pii.find(documents(spark, rows)).collect()}
+    for i, x in enumerate(more):
+        assert out[100 + i].spans == f"phone:19:{19 + len(x)}" and out[100 + i].n_phone == 0, x
+
+
+def test_rounds_end_when_nothing_changes(spark):
+    """A chain: each value links its context with the next one's, over more than three rounds."""
+    rows = [(i, f"seed tag +1 555 010 {1000 + i}", None, None, None) for i in range(3)]
+    for step in range(6):
+        before = "seed tag" if step == 0 else f"link{step}a tag"
+        for k in range(3):
+            rows += [(1000 + 10 * step + k, f"{before} {90000 + 10 * step + k}", None, None, None), (2000 + 10 * step + k, f"link{step + 1}a tag {90000 + 10 * step + k}", None, None, None)]
+    # three known values against three unknown ones: a share of a half is enough here
+    out = pii.find(documents(spark, rows), confident=0.3).collect()
+    assert all(r.spans.startswith("phone:") for r in out if r.doc_id >= 1000), [(r.doc_id, r.spans) for r in out]
+
+
 def test_every_row(spark):
     rows = [*odd_documents(), (9000, "mail a.b@c.de, 1.2.3.4 4539148803436467", None, None, None)]
     want = Counter((d, hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in brute(t or "")).encode()).hexdigest()) for d, t, *_ in rows)

@@ -2,7 +2,7 @@
 
 One pass over the texts finds the base spans and the other identifier-like tokens, each with its
 lexical context.  Contexts of base spans are the seed patterns of a graph whose other side are the
-values that stand in them.  Spark scores that graph in a few rounds: a pattern by the share of its
+values that stand in them.  Spark scores that graph until nothing changes: a pattern by the share of its
 values that are known, a value by the patterns it stands in.  Values that confident patterns
 discover become further spans, wherever they stand.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +30,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: An identifier-like token: five or more digits, or an at sign between word characters.
 TOKEN = re.compile(r"\S+")
 DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"(?:[^0-9\s]*[0-9]){5}|\w@\w")
+#: Digit groups that single spaces, dots, hyphens or brackets join, and account numbers in groups of four.
+GROUPS = re.compile(r"(?<!\w)\+?\(?[A-Za-z]{0,4}[0-9]++(?!\w)(?:(?:\)[\x20.-]?|[\x20.-]\(?|\()[0-9]++(?!\w))+")
+ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?!\w)")
 WORD = re.compile(r"\w+")
 #: Code points of context that are looked at on either side.
 CONTEXT = 60
@@ -113,9 +117,24 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
                 k += 1
             if s < e and not (k < len(taken) and taken[k][0] < e):
                 found.append({"kind": -1, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)})
+        found += [{"kind": -1, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, e in groups(text, taken, {(x["start"], x["end"]) for x in found})]
     return spans, found
 
 
+def groups(text: str, taken: list[tuple[int, int]], known: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifiers of five or more digits that are written in groups, clear of base spans; their tokens stay instances too."""
+    accounts = [m.span() for m in ACCOUNT.finditer(text)]
+    ends = 0
+    k = 0
+    for s, e in sorted({*accounts, *(m.span() for m in GROUPS.finditer(text))}, key=lambda x: (x[0], -x[1])):
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if s < ends or (k < len(taken) and taken[k][0] < e) or (s, e) in known or len(DIGIT.findall(text, s, e)) < 5:
+            continue
+        ends = e
+        yield s, e
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text, text_key): base spans and instances with their contexts."""
 
@@ -133,30 +152,35 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SCAN)
 
 
-def discover(scanned: DataFrame, rounds: int, confident: float, support: int) -> DataFrame:
+def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int) -> DataFrame:
     """Values that the pattern graph makes known beyond the seeds: value, kind.
 
     Edges are (pattern, value), once each however often they occur, so a frequent context or value is
     summed before it moves.  In each round a pattern of a kind scores the mean score of its values
     (unknown ones count 0) if at least ``support`` known values stand in it; a value scores 1 - product of
-    (1 - score) over its patterns.  Patterns and values below ``confident`` do not count.
+    (1 - score) over its patterns.  Patterns and values below ``confident`` do not count.  Scores only
+    rise; the rounds end when neither they nor the known values change, or after ``rounds``.
     """
     found = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", F.explode("x.patterns").alias("pattern"))
     edges = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
     known = cut(edges.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
-    seeds = known
-    for _ in range(rounds):
+    seeds, seen = known, None
+    for _ in count() if rounds is None else range(rounds):
         scored = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("n")).filter(F.col("n") >= support)
         good = scored.join(degree, "pattern").select("pattern", "kind", (F.col("mass") / F.col("degree")).alias("weight")).filter(F.col("weight") >= confident)
         new = edges.filter("kind = -1").select("pattern", "value").join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
         best = new.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("first"))).alias("b")).select("value", (-F.col("b.first")).alias("kind"), F.col("b.score").alias("score"))
         best = best.filter(F.col("score") >= confident).join(seeds, "value", "left_anti")
         known = cut(seeds.unionByName(best.select("value", "kind", "score")), "known")
+        state = known.agg(F.count("*"), F.round(F.sum("score"), 3)).first()
+        if state == seen:
+            break
+        seen = state
     return known.join(seeds, "value", "left_anti").select("value", F.col("kind").alias("new_kind"))
 
 
-def _spans(source: DataFrame, rounds: int, confident: float, support: int) -> DataFrame:
+def _spans(source: DataFrame, rounds: int | None, confident: float, support: int) -> DataFrame:
     """Of each row of (doc_id, text): doc_id, text_key, base counts, base and all spans."""
     scanned = cut(scan(source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))).withColumn("row", F.monotonically_increasing_id()), "scanned")
     new = discover(scanned, rounds, confident, support)
@@ -165,14 +189,16 @@ def _spans(source: DataFrame, rounds: int, confident: float, support: int) -> Da
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
     own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(more, "row", "left")
+    # of a group and its own tokens the whole group is shown
+    whole = F.filter("more", lambda x: ~F.exists("more", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
-    every = F.array_sort(F.transform(F.concat("own", F.coalesce("more", none)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    every = F.array_sort(F.transform(F.concat("own", F.coalesce(whole, none)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     return rows.select("doc_id", "text_key", *counts, "base", text.alias("spans"))
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, confident: float = 0.8, support: int = 3) -> DataFrame:
     """Personal data of every whole text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and
@@ -184,7 +210,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
     return _spans(source, rounds, confident, support).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def redact_documents(docs: DataFrame, *, rounds: int = 3, confident: float = 0.8, support: int = 3) -> DataFrame:
+def redact_documents(docs: DataFrame, *, rounds: int | None = None, confident: float = 0.8, support: int = 3) -> DataFrame:
     """Rows of ``docs`` with every span of personal data replaced by its kind, and n_chars to match.
 
     Only rows with spans change; null texts stay null and other columns stay as they are.
