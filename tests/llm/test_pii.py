@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from utterlake.llm import pii
@@ -72,3 +73,68 @@ def test_redact():
     t = "mail a.b@c.de now"
     assert pii.redact(t, pii.shown(pii.base_spans(t))) == "mail [EMAIL] now"
     assert pii.redact(t, "") == t
+
+
+def test_scans_are_linear_and_take_any_token():
+    assert pii.base_spans("0" * 5000 + ".1.1.1 " + "7" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    began = time.perf_counter()
+    for text in ("1" * 10**6, "a" * 10**6 + "1", "é" * 10**6 + " 5", "@" * 10**6, "+(" * 10**5, "1." * 10**5, "a at " * 10**5, "7|" * 10**5):
+        pii.scan_text(text)
+    assert time.perf_counter() - began < 60
+
+
+def brute_discover(texts, confident, support):
+    """The rounds of the pattern graph over plain dictionaries."""
+    seeds, refused, edges = {}, {}, {}
+    for t in texts:
+        for x in pii.scan_text(t)[1]:
+            for p in x["patterns"]:
+                k, r = edges.get((p, x["value"]), (-1, False))
+                edges[p, x["value"]] = max(k, x["kind"]), r or x["refused"]
+            if x["kind"] >= 0:
+                seeds[x["value"]] = max(x["kind"], seeds.get(x["value"], -1))
+    degree = Counter(p for p, _ in edges)
+    degree.update({p: support for p in degree if not p.startswith(pii.SHAPE) and len(p.split(" ")) == 2})
+    known, before = {v: (k, 1.0) for v, k in seeds.items()}, None
+    while known != before:
+        mass, n = Counter(), Counter()
+        for p, v in edges:
+            if v in known:
+                mass[p, known[v][0]] += known[v][1]
+                n[p, known[v][0]] += 1
+        left = {}
+        for (p, v), (k, bad) in edges.items():
+            if k != -1 or bad and p.startswith(pii.SHAPE):
+                continue
+            for kind in range(4):
+                w = mass[p, kind] / degree[p]
+                if n[p, kind] >= support and w >= confident:
+                    left[v, kind] = left.get((v, kind), 1.0) * max(1e-9, 1 - w)
+        before, known = known, {v: (k, 1.0) for v, k in seeds.items()}
+        for (v, kind), rest in sorted(left.items(), key=lambda x: (x[1], x[0][1])):
+            if 1 - rest >= confident:
+                known.setdefault(v, (kind, 1 - rest))
+    return {v: k for v, (k, _) in known.items()}
+
+
+def test_discovery_against_plain_rounds(spark):
+    r = random.Random(4)
+    made = {0: lambda: f"{r.choice('abc')}.{r.randint(1, 99)}@m{r.randint(1, 9)}.example.com", 1: lambda: ".".join(str(r.randint(1, 290)) for _ in range(4)), 2: lambda: f"{r.randint(10**15, 10**16 - 1)}", 3: lambda: f"+1 ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}", 4: lambda: f"+1 | ({r.randint(100, 999)}) | 555-{r.randint(1000, 9999)}", 5: lambda: f"bob [at] m{r.randint(1, 9)} [dot] example [dot] com", 6: lambda: str(r.randint(10**6, 10**8))}
+    words = ["mail", "address", "phone", "card", "number", "is", "the", "total"]
+    texts = [" ".join(x for _ in range(r.randint(1, 4)) for x in (r.choice(words), r.choice(words), made[r.choice([0, 1, 2, 3, 3, 4, 5, 6])](), r.choice(words))) for _ in range(300)]
+    want = brute_discover(texts, 0.6, 3)
+    scanned = pii.scan(documents(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]).selectExpr("doc_id", "text", "xxhash64(text) AS text_key"))
+    got = {x.value: x.new_kind for x in pii.discover(scanned, None, 0.6, 3).collect()}
+    seeds = {x["value"] for t in texts for x in pii.scan_text(t)[1] if x["kind"] >= 0}
+    assert got == want and len(set(want) - seeds) > 20
+
+
+def test_shapes_discover_identifiers_behind_noise(spark):
+    rows = [(i, f"w{i} +1 ({200 + i}) 555-{1000 + i} w{i + 1}", None, None, None) for i in range(16)]
+    rows += [(100, "cell | +1 | (487) | 555-7209 | cell", None, None, None), (101, "deco$$$ +1&&& (487)### 555-7209$$$ deco", None, None, None), (103, "x +1 (826) 555-4081 190.137.223.204 y", None, None, None), (102, "years 2001 | 2002 | 2003 | 2004", None, None, None)]
+    out = {x.doc_id: x for x in pii.find(documents(spark, rows)).collect()}
+    assert out[100].spans == "phone:7:28" and out[101].spans == "phone:8:31" and out[102].spans == "" and out[103].spans == "phone:2:19,ip:20:35" and out[100].n_spans == 1 and out[100].n_phone == 0
+
+
+def test_spans_within_others_are_not_shown_twice():
+    assert pii.outermost([(0, 3, 5)], [(10, 3, 20), (12, 3, 15), (10, 3, 12), (30, 0, 31)]) == [(0, 3, 5), (10, 3, 20), (30, 0, 31)]

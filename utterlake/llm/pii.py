@@ -1,10 +1,14 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of what they miss.
 
-One pass over the texts finds the base spans and the other identifier-like tokens, each with its
-lexical context.  Contexts of base spans are the seed patterns of a graph whose other side are the
-values that stand in them.  Spark scores that graph until nothing changes: a pattern by the share of its
-values that are known, a value by the patterns it stands in.  Values that confident patterns
+One pass over the texts finds the base spans and the other identifier-like instances: tokens with five
+digits or an at sign, digit groups (also with noise between them, as in table cells), account numbers
+and spelled-out addresses.  Every instance has lexical patterns: the words beside it (contextual
+rules) and the shape of its own spelling (spelling rules).  Base spans are the seeds of a graph whose
+sides are patterns and values.  Spark scores that graph until nothing changes: a pattern by the share of
+its values that are known, a value by the patterns it stands in.  Values that confident patterns
 discover become further spans, wherever they stand.
+
+All scans take time linear in the text.
 """
 
 from __future__ import annotations
@@ -21,21 +25,30 @@ from pyspark.sql import functions as F
 from .store import cut, per_worker
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
+#: The base patterns.  A run of digits is taken whole, which changes no match and needs no retries.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: An identifier-like token: five or more digits, or an at sign between word characters.
+#: Identifier-like instances beyond them.
 TOKEN = re.compile(r"\S+")
-DIGIT, DIGITS = re.compile(r"[0-9]"), re.compile(r"(?:[^0-9\s]*[0-9]){5}|\w@\w")
-#: Digit groups that single spaces, dots, hyphens or brackets join, and account numbers in groups of four.
-GROUPS = re.compile(r"(?<!\w)\+?\(?[A-Za-z]{0,4}[0-9]++(?!\w)(?:(?:\)[\x20.-]?|[\x20.-]\(?|\()[0-9]++(?!\w))+")
+DIGIT, AT = re.compile(r"[0-9]"), re.compile(r"\w@\w")
+#: Marks that carry no meaning inside an identifier: cell borders and decoration.
+NOISE = r"|$&#%*!~^\\\[\]{}<>=_"
+#: Digit groups of at most nine digits that spaces, dots, hyphens, brackets or noise join, and account numbers in groups of four.
+GROUPS = re.compile(rf"(?<!\w)\+?\(?[A-Za-z]{{0,4}}[0-9]{{1,9}}+(?!\w)(?:[\x20.()\-{NOISE}]{{1,8}}[0-9]{{1,9}}+(?!\w))+")
 ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?!\w)")
+#: Spelled-out addresses: the mark for the at sign, and what follows it.
+SPELLED_AT = re.compile(r"\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?|\x20(?:at|AT)\x20")
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z0-9-]++)+")
+SPELLED_DOT = re.compile(r"\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\x20(?:dot|DOT)\x20")
 WORD = re.compile(r"\w+")
+NOISE_RUN, SPACES, GAP = re.compile(f"[{NOISE}]+"), re.compile(r"\s+"), re.compile(r"\s*([().-])\s*")
+LETTERS, FIGURES = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
 #: Code points of context that are looked at on either side.
 CONTEXT = 60
+SHAPE = "= "
 
 
 def luhn(digits: str) -> bool:
@@ -60,16 +73,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", m.end() if m else at + 1)
 
 
+def _octet(part: str) -> bool:
+    """Whether a part of an address is at most 255, however many zeros lead it."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def _card(run: str) -> bool:
+    digits = run.replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in order of start and then kind."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
-        for m in CARD.finditer(text):
-            if m.end() - m.start() >= 14 and 14 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
+        out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 14 and _card(m[0])]
         if "+" in text:
-            out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+            out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(DIGIT.findall(m[0])) <= 15]
     return sorted(out)
 
 
@@ -77,15 +99,34 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a span: the two words before it, and the words on either side."""
-    before = WORD.findall(text[max(0, start - CONTEXT) : start].lower())[-2:]
-    after = WORD.findall(text[end : end + CONTEXT].lower())[:1]
-    found = []
-    if len(before) == 2:
-        found.append(f"{before[0]} {before[1]} _")
+def plain(value: str) -> str:
+    """A value in lower case without noise, with one space at most between its parts and spelled-out marks as signs."""
+    value = SPELLED_DOT.sub(".", SPELLED_AT.sub("@", value))
+    value = SPACES.sub(" ", NOISE_RUN.sub(" ", value)).strip().lower()
+    return value
+
+
+def shape(value: str) -> str:
+    """The spelling of a plain value: runs of letters become one a, digits keep their number unless it stands in an address."""
+    if "@" in value:
+        return FIGURES.sub("9", LETTERS.sub("a", value))
+    return FIGURES.sub(lambda m: "9" * min(len(m[0]), 20), LETTERS.sub("a", GAP.sub(r"\1", value)))
+
+
+def refused(value: str) -> bool:
+    """Whether a plain value has the form of a base pattern and fails its check."""
+    return bool(CARD.fullmatch(value) and not _card(value) or IP.fullmatch(value) and not all(map(_octet, value.split("."))))
+
+
+def patterns(text: str, start: int, end: int, value: str) -> list[str]:
+    """Lexical patterns of an instance: up to three words before it, up to two after it, one on either side, and its shape."""
+    before = WORD.findall(text[max(0, start - CONTEXT) : start].lower())[-3:]
+    after = WORD.findall(text[end : end + CONTEXT].lower())[:2]
+    found = [" ".join([*before[-k:], "_"]) for k in range(1, len(before) + 1)]
+    found += [" ".join(["_", *after[:k]]) for k in range(1, len(after) + 1)]
     if before and after:
         found.append(f"{before[-1]} _ {after[0]}")
+    found.append(SHAPE + shape(value))
     return found
 
 
@@ -98,45 +139,62 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-SCAN = "doc_id long, text_key long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
-FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with five or more digits, or an at sign between word characters."""
+    for m in TOKEN.finditer(text):
+        if len(DIGIT.findall(m[0])) >= 5 or "@" in m[0] and AT.search(m[0]):
+            yield _core(text, m.start(), m.end())
+
+
+def groups(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifiers of five or more digits that are written in groups, between the base spans."""
+    yield from (m.span() for m in ACCOUNT.finditer(text))
+    at = 0
+    for s, e in [*taken, (len(text), len(text))]:
+        if s > at:
+            yield from (m.span() for m in GROUPS.finditer(text, at, s) if len(DIGIT.findall(m[0])) >= 5)
+        at = max(at, e)
+
+
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose signs are spelled out; a bare "at" needs a spelled dot."""
+    for m in SPELLED_AT.finditer(text):
+        start = m.start()
+        while start > 0 and LOCAL.match(text, start - 1):
+            start -= 1
+        host = SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if host and (m[0].strip().lower() != "at" or SPELLED_DOT.search(host[0])):
+            yield start, host.end()
+
+
+SCAN = "doc_id long, text_key long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,refused:boolean,patterns:array<string>>>"
+FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("refused", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[dict]]:
-    """Base spans, and instances: those spans and the other identifier-like tokens (kind -1)."""
+    """Base spans, and instances: those spans and the other identifier-like ones (kind -1), which are clear of them."""
     spans = base_spans(text)
-    found = [{"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, k, e in spans]
-    if "@" in text or DIGIT.search(text):
+    found = [(s, e, k) for s, k, e in spans]
+    if DIGIT.search(text) or "@" in text or SPELLED_AT.search(text):
         taken = sorted((s, e) for s, _, e in spans)
-        k = 0
-        for m in TOKEN.finditer(text):
-            if not DIGITS.search(m[0]):
-                continue
-            s, e = _core(text, m.start(), m.end())
-            while k < len(taken) and taken[k][1] <= s:
+        more = sorted({*tokens(text), *groups(text, taken), *spelled(text)})
+        k, reach = 0, 0
+        for s, e in more:
+            while k < len(taken) and taken[k][0] < e:
+                reach = max(reach, taken[k][1])
                 k += 1
-            if s < e and not (k < len(taken) and taken[k][0] < e):
-                found.append({"kind": -1, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)})
-        found += [{"kind": -1, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for s, e in groups(text, taken, {(x["start"], x["end"]) for x in found})]
-    return spans, found
-
-
-def groups(text: str, taken: list[tuple[int, int]], known: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifiers of five or more digits that are written in groups, clear of base spans; their tokens stay instances too."""
-    accounts = [m.span() for m in ACCOUNT.finditer(text)]
-    ends = 0
-    k = 0
-    for s, e in sorted({*accounts, *(m.span() for m in GROUPS.finditer(text))}, key=lambda x: (x[0], -x[1])):
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if s < ends or (k < len(taken) and taken[k][0] < e) or (s, e) in known or len(DIGIT.findall(text, s, e)) < 5:
-            continue
-        ends = e
-        yield s, e
+            # spans that start before e reach no further than here
+            if s < e and reach <= s:
+                found.append((s, e, -1))
+    out = []
+    for s, e, k in found:
+        value = plain(text[s:e])
+        out.append({"kind": k, "start": s, "end": e, "value": value, "refused": k < 0 and refused(value), "patterns": patterns(text, s, e, value)})
+    return spans, out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of (doc_id, text, text_key): base spans and instances with their contexts."""
+    """One row per row of (doc_id, text, text_key): base spans and instances with their patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_worker(("pii",), bool)
@@ -152,32 +210,50 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SCAN)
 
 
-def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int) -> DataFrame:
-    """Values that the pattern graph makes known beyond the seeds: value, kind.
+def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Values that the pattern graph makes known beyond the seeds: value, new_kind.
 
-    Edges are (pattern, value), once each however often they occur, so a frequent context or value is
+    Edges are (pattern, value), once each however often they occur, so a frequent pattern or value is
     summed before it moves.  In each round a pattern of a kind scores the mean score of its values
-    (unknown ones count 0) if at least ``support`` known values stand in it; a value scores 1 - product of
-    (1 - score) over its patterns.  Patterns and values below ``confident`` do not count.  Scores only
-    rise; the rounds end when neither they nor the known values change, or after ``rounds``.
+    (unknown ones and those that fail a base check count 0) if at least ``support`` known values stand in
+    it; a context of one word is common, so it counts ``support`` unknown values more.  A value scores
+    1 - product of (1 - score) over its patterns.  Patterns and values below
+    ``confident`` do not count, and a value that fails the check of a base form is not discovered by its
+    shape.  Scores only rise; the rounds end when neither they nor the known values change, or after
+    ``rounds``.  Patterns that count are broadcast if at most ``most_broadcast`` of them (of some 40
+    bytes) are found; else both sides are shuffled.
     """
-    found = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", F.explode("x.patterns").alias("pattern"))
-    edges = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree"))
-    known = cut(edges.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
-    seeds, seen = known, None
+    found = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", "x.refused", F.explode("x.patterns").alias("pattern"))
+    edges = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("refused").alias("refused")), "edges")
+    one_word = ~F.col("pattern").startswith(SHAPE) & (F.size(F.split("pattern", " ")) == 2)
+    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree")).withColumn("degree", F.col("degree") + F.when(one_word, support).otherwise(0))
+    seeds = cut(edges.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
+    open_ = edges.filter("kind = -1").filter(~(F.col("refused") & F.col("pattern").startswith(SHAPE)))
+    known, seen = seeds, None
     for _ in count() if rounds is None else range(rounds):
         scored = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("n")).filter(F.col("n") >= support)
-        good = scored.join(degree, "pattern").select("pattern", "kind", (F.col("mass") / F.col("degree")).alias("weight")).filter(F.col("weight") >= confident)
-        new = edges.filter("kind = -1").select("pattern", "value").join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
-        best = new.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("first"))).alias("b")).select("value", (-F.col("b.first")).alias("kind"), F.col("b.score").alias("score"))
+        good = cut(scored.join(degree, "pattern").select("pattern", F.col("kind").alias("new_kind"), (F.col("mass") / F.col("degree")).alias("weight")).filter(F.col("weight") >= confident), "good")
+        new = open_.select("pattern", "value").join(F.broadcast(good) if good.count() <= most_broadcast else good, "pattern")
+        new = new.groupBy("value", "new_kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
+        best = new.groupBy("value").agg(F.max(F.struct("score", (-F.col("new_kind")).alias("first"))).alias("b")).select("value", (-F.col("b.first")).alias("kind"), F.col("b.score").alias("score"))
         best = best.filter(F.col("score") >= confident).join(seeds, "value", "left_anti")
         known = cut(seeds.unionByName(best.select("value", "kind", "score")), "known")
         state = known.agg(F.count("*"), F.round(F.sum("score"), 3)).first()
         if state == seen:
             break
         seen = state
-    return known.join(seeds, "value", "left_anti").select("value", F.col("kind").alias("new_kind"))
+    # a seed's value is known wherever it stands, also where noise hides it from the base pattern
+    return known.select("value", F.col("kind").alias("new_kind"))
+
+
+def outermost(own: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Own spans, and of the others (start, kind, end) those that lie in no other, by start and then kind."""
+    out, reach = list(own), -1
+    for s, k, e in sorted(more, key=lambda x: (x[0], -x[2], x[1])):
+        if e > reach:
+            out.append((s, k, e))
+            reach = e
+    return sorted(out)
 
 
 def _spans(source: DataFrame, rounds: int | None, confident: float, support: int) -> DataFrame:
@@ -185,29 +261,33 @@ def _spans(source: DataFrame, rounds: int | None, confident: float, support: int
     scanned = cut(scan(source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))).withColumn("row", F.monotonically_increasing_id()), "scanned")
     new = discover(scanned, rounds, confident, support)
     open_ = scanned.select("row", F.explode(F.filter("found", lambda x: x["kind"] == -1)).alias("x")).select("row", "x.start", "x.end", "x.value")
-    more = open_.join(new, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("new_kind").alias("kind"), "start", "end")).alias("more"))
+    more = open_.join(new, "value").groupBy("row").agg(F.collect_list(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("more"))
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
-    own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(more, "row", "left")
-    # of a group and its own tokens the whole group is shown
-    whole = F.filter("more", lambda x: ~F.exists("more", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
-    every = F.array_sort(F.transform(F.concat("own", F.coalesce(whole, none)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    names = F.array(*map(F.lit, KINDS))
-    text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
-    return rows.select("doc_id", "text_key", *counts, "base", text.alias("spans"))
+
+    @F.pandas_udf("string")
+    def every(base: pd.Series, found: pd.Series) -> pd.Series:
+        triples = lambda xs: [] if xs is None else [(x["start"], x["kind"], x["end"]) for x in xs]
+        return pd.Series([shown(outermost(triples(b), triples(f))) for b, f in zip(base, found, strict=True)], dtype=object)
+
+    # rows without a discovery need no worker
+    plain_rows = rows.filter("more is null").select("doc_id", "text_key", *counts, "base", F.col("base").alias("spans"))
+    return plain_rows.unionByName(rows.filter("more is not null").select("doc_id", "text_key", *counts, "base", every("own", "more").alias("spans")))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, confident: float = 0.8, support: int = 3) -> DataFrame:
     """Personal data of every whole text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and
-    discovered spans as kind:start:end by start, then kind).  Null and empty texts have none.
+    discovered spans as kind:start:end by start, then kind), n_spans.  Null and empty texts have none.
     Repeated rows are each returned; a null id is a row like any other.  Other columns are not read;
     an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _spans(source, rounds, confident, support).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    found = _spans(source, rounds, confident, support)
+    n = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", n.alias("n_spans"))
 
 
 def redact_documents(docs: DataFrame, *, rounds: int | None = None, confident: float = 0.8, support: int = 3) -> DataFrame:
