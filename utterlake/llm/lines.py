@@ -1,4 +1,8 @@
-"""Line dedup within one edit, by a deletion-neighbourhood join.
+"""Line dedup within an edit bound, by a deletion-neighbourhood join.
+
+The bound grows with the length: two lines repeat each other if they are equal, or if the longer one has
+at least ``exact_below`` code points and they are one character edit apart.  (One edit makes unlike words
+of short lines.)  Every line that is not blank takes part.
 
 Two lines within one character edit share a variant: either the same string with the character at
 the same place left out (a replaced character), or one line is the other with a character left out.
@@ -14,11 +18,12 @@ length and a hash of a half.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +32,16 @@ from .store import cut, per_worker
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 LAST = 2**63 - 1
+#: The place of a line: its document, a hash of the text where an id has several rows, and its number.
+AT = ["doc_id", "text_key", "line_no"]
 #: Variants that a task holds before it hands them on; a longer line is handed on by itself.
 MOST_AT_ONCE = 200_000
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Numbered lines that take part: at least ``min_chars`` code points."""
-    exploded = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return exploded.filter(F.char_length("line") >= min_chars)
+def _lines(docs: DataFrame) -> DataFrame:
+    """Numbered lines that take part: all that are not blank."""
+    exploded = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return exploded.filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "")
 
 
 def _halves(line: Column, n: Column) -> list[Column]:
@@ -73,88 +80,100 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Variants of each line with the place left out (-1: none)."""
     per_worker(("lines",), bool)
     for batch in batches:
-        doc, number = (batch.column(c).to_numpy() for c in ("doc_id", "line_no"))
+        at = [batch.column(c).to_numpy() for c in AT]
         rows: list[int] = []
         keys: list[np.ndarray] = []
+        held = 0
         for k, line in enumerate(batch.column("line")):
             rows.append(k)
             keys.append(variants(line.as_py()))
-            if sum(map(len, keys)) < MOST_AT_ONCE and k + 1 < batch.num_rows:
+            held += len(keys[-1])
+            if held < MOST_AT_ONCE and k + 1 < batch.num_rows:
                 continue
             size = [len(x) for x in keys]
             place = np.concatenate([np.arange(-1, n - 1) for n in size])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place, pa.int32()), pa.array(np.repeat(doc[rows], size)), pa.array(np.repeat(number[rows], size))], names=["variant", "place", "doc_id", "line_no"])
-            rows, keys = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(place, pa.int32()), *(pa.array(np.repeat(x[rows], size)) for x in at)], names=["variant", "place", *AT])
+            rows, keys, held = [], [], 0
 
 
-def kept_lines(docs: DataFrame, min_chars: int, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Of each distinct line within no edit of an earlier one: doc_id and line_no of its first place."""
+def kept_lines(docs: DataFrame, exact_below: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Of each distinct line that repeats no earlier one: doc_id, text_key and line_no of its first place."""
     line, n = F.col("line"), F.char_length("line")
     # two hashes make a line's identity; a line that a third of all documents hold moves as one row per task
-    distinct = cut(_lines(docs, min_chars).select("doc_id", "line_no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(_halves(line, n)))).groupBy("h1", "h2", "k0", "k1", "k2", "k3").agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("at.doc_id", "at.line_no", "k0", "k1", "k2", "k3"), "lines")
-    keys = distinct.select("doc_id", "line_no", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    halves = [F.when(n >= exact_below - 1, k).alias(f"k{i}") for i, k in enumerate(_halves(line, n))]
+    ks = [f"k{i}" for i in range(4)]
+    distinct = cut(_lines(docs).select(*AT, F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), *halves).groupBy("h1", "h2", *ks).agg(F.min(F.struct(*AT)).alias("at")).select("at.*", *ks), "lines")
+    keys = distinct.filter("k0 is not null").select(*AT, F.explode(F.array(*ks)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key")
-    maybe = cut(keys.join(shared, "key").select("doc_id", "line_no").distinct(), "maybe")
-    few = maybe.count() <= most_broadcast  # of 12 bytes; else both sides are shuffled
-    texts = cut(_lines(docs, min_chars).join(F.broadcast(maybe) if few else maybe, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"]), "texts")
+    maybe = cut(keys.join(shared, "key").select(*AT).distinct(), "maybe")
+    few = maybe.count() <= most_broadcast  # of 20 bytes; else both sides are shuffled
+    # rows of one id and one text are the same here
+    texts = cut(_lines(docs).join(F.broadcast(maybe) if few else maybe, AT).dropDuplicates(AT), "texts")
 
-    made = cut(texts.mapInArrow(_variants, "variant long, place int, doc_id long, line_no int"), "variants")
-    at = F.struct("doc_id", "line_no")
+    made = cut(texts.mapInArrow(_variants, "variant long, place int, doc_id long, text_key long, line_no int"), "variants")
+    at = F.struct(*AT)
     gone = made.filter("place >= 0")
     first = gone.groupBy("variant", "place").agg(F.min(at).alias("early"), F.count("*").alias("n")).filter("n > 1").select("variant", "place", "early")
     replaced = gone.join(first, ["variant", "place"]).select(at.alias("late"), "early")
     whole = made.filter("place = -1").select("variant", at.alias("whole"))
     missing = gone.join(whole, "variant").select(F.greatest(at, "whole").alias("late"), F.least(at, "whole").alias("early"))
-    pairs = replaced.unionByName(missing).filter("early < late").distinct().select("late", "early", "late.doc_id", "late.line_no")
-    pairs = pairs.join(texts.withColumnRenamed("line", "a"), ["doc_id", "line_no"]).select("late", "a", "early.doc_id", "early.line_no").join(texts.withColumnRenamed("line", "b"), ["doc_id", "line_no"])
-    near = F.levenshtein("a", "b", 1).between(0, 1)
-    drop = pairs.filter(near).select("late.doc_id", "late.line_no").distinct()
-    return distinct.select("doc_id", "line_no").join(drop, ["doc_id", "line_no"], "left_anti")
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 32) -> DataFrame:
-    """``docs`` with, of all lines within one edit of an earlier line, none but the earliest.
-
-    Returns doc_id, text (the lines that stay), n_lines, n_kept.  Earlier means a smaller doc_id,
-    then a smaller line number.  Lines end at "\\n".  Lines of fewer than ``min_chars`` code points,
-    blank ones included, always stay: one edit makes unlike words of them.  Null and empty texts are
-    one blank line.  Rows with a null id come last.  Rows that repeat an id share their decisions: a line
-    number that stays in one stays in all.  Other columns are not read; an empty table gives no rows.
+    pairs = replaced.unionByName(missing).filter("early < late").distinct().select("late", "early", "late.*")
+    pairs = pairs.join(texts.withColumnRenamed("line", "a"), AT).select("late", "a", "early.*").join(texts.withColumnRenamed("line", "b"), AT)
+    near = F.levenshtein("a", "b", 1).between(0, 1) & (F.greatest(F.char_length("a"), F.char_length("b")) >= exact_below)
+    drop = pairs.filter(near).select("late.*").distinct()
+    return distinct.select(*AT).join(drop, AT, "left_anti")
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_below: int = 32) -> DataFrame:
+    """``docs`` with, of all lines that repeat an earlier line, none but the earliest.
+
+    Returns doc_id, text (the lines that stay), n_lines, n_kept.  Lines repeat if they are equal, or one
+    edit apart and the longer one has at least ``exact_below`` code points; a very large value leaves
+    equality alone.  Earlier means a smaller doc_id, then a smaller line number.  Lines end at "\\n".
+    Blank lines (of ASCII white space) always stay.  Null and empty texts are one blank line.  Rows with a
+    null id come last.  Rows of one id, null ones too, are each a document of their own, in the order of a
+    hash of their texts; of rows with one id and one text any one is the first.  Other columns are not
+    read; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"))
-    return _joined(source, min_chars).mapInArrow(_shorten(min_chars), "own_id long, text string, n_lines long, n_kept long").withColumnRenamed("own_id", "doc_id")
+    return _joined(source, exact_below).mapInArrow(_shorten, "own_id long, text string, n_lines long, n_kept long").withColumnRenamed("own_id", "doc_id")
 
 
-def dedup_documents(docs: DataFrame, *, min_chars: int = 32) -> DataFrame:
+def dedup_documents(docs: DataFrame, *, exact_below: int = 32) -> DataFrame:
     """Rows of ``docs`` with their text cut to the lines that stay and n_chars to its length.
 
     A row whose text is all repeated lines goes; one that was blank before stays.  Other columns stay.
     """
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
     source = docs.select(own, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"))
-    joined = _joined(source, min_chars)
+    joined = _joined(source, exact_below)
     schema = T.StructType([joined.schema["own"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
-    out = joined.mapInArrow(_shorten(min_chars), schema)
-    out = out.filter((F.trim(F.translate("text", "\n\t\r", "   ")) != "") | (F.col("n_lines") == F.col("n_kept")))
+    out = joined.mapInArrow(_shorten, schema)
+    out = out.filter((F.trim(F.translate("text", "\n\t\r\x0b\x0c", "     ")) != "") | (F.col("n_lines") == F.col("n_kept")))
     new = {"text": F.when(F.col("n_lines") == F.col("n_kept"), F.col("own.text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_lines") == F.col("n_kept"), F.col("own.n_chars")).otherwise(F.char_length("text").cast("long"))}
     return out.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
-def _joined(source: DataFrame, min_chars: int) -> DataFrame:
+def _joined(source: DataFrame, exact_below: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """The first column of ``source`` with the text and the line numbers that stay."""
-    stay = kept_lines(source.select("doc_id", "text"), min_chars).groupBy("doc_id").agg(F.collect_set("line_no").alias("stay"))
-    return source.join(stay, "doc_id", "left").select(source.columns[0], "text", "stay")
-
-
-def _shorten(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_worker(("lines",), bool)
-        for batch in batches:
-            text, n, kept = [], [], []
-            for t, s in zip(batch.column("text"), batch.column("stay"), strict=True):
-                lines, held = t.as_py().split("\n"), set(s.as_py() or ())
-                left = [x for i, x in enumerate(lines) if len(x) < min_chars or i in held]
-                text.append("\n".join(left)), n.append(len(lines)), kept.append(len(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], names=[batch.schema.names[0], "text", "n_lines", "n_kept"])
-
-    return run
+    # a hash of the text tells rows of one id apart; where an id has one row it is 0, which costs next to nothing
+    several = cut(source.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("several")), "several")
+    if several.count() <= most_broadcast:  # of 8 bytes; else both sides are shuffled
+        several = F.broadcast(several)
+    keyed = source.join(several, source["doc_id"] == several["several"], "left").withColumn("text_key", F.when(F.col("several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+    stay = kept_lines(keyed.select("doc_id", "text_key", "text"), exact_below).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("stay"))
+    joined = keyed.join(stay, ["doc_id", "text_key"], "left")
+    # the join has put rows of one id and one text side by side
+    first = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("doc_id")) == 1
+    return joined.withColumn("first", first).select(source.columns[0], "text", F.when(F.col("first"), F.col("stay")).alias("stay"))
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    per_worker(("lines",), bool)
+    for batch in batches:
+        text, n, kept = [], [], []
+        for t, s in zip(batch.column("text"), batch.column("stay"), strict=True):
+            lines, held = t.as_py().split("\n"), set(s.as_py() or ())
+            left = [x for i, x in enumerate(lines) if i in held or not x.strip(" \t\r\x0b\x0c")]
+            text.append("\n".join(left)), n.append(len(lines)), kept.append(len(left))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], names=[batch.schema.names[0], "text", "n_lines", "n_kept"])

@@ -69,12 +69,12 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": """
             WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
             lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM split),
-            firsts AS (SELECT line, min(doc_id * 1000000 + line_no) AS place FROM lines WHERE length(line) >= 32 GROUP BY line),
+            firsts AS (SELECT line, min(doc_id * 1000000 + line_no) AS place FROM lines WHERE trim(line, ' \t\r\x0b\x0c') <> '' GROUP BY line),
             keys AS (SELECT *, unnest([length(line) || 'h' || left(line, length(line) // 2), length(line) || 't' || substr(line, length(line) // 2 + 1),
-                (length(line) - 1) || 'h' || left(line, (length(line) - 1) // 2), (length(line) - 1) || 't' || substr(line, (length(line) - 1) // 2 + 2)]) AS k FROM firsts),
-            late AS (SELECT DISTINCT b.place FROM keys a JOIN keys b ON a.k = b.k AND a.place < b.place WHERE levenshtein(a.line, b.line) <= 1),
+                (length(line) - 1) || 'h' || left(line, (length(line) - 1) // 2), (length(line) - 1) || 't' || substr(line, (length(line) - 1) // 2 + 2)]) AS k FROM firsts WHERE length(line) >= 31),
+            late AS (SELECT DISTINCT b.place FROM keys a JOIN keys b ON a.k = b.k AND a.place < b.place WHERE greatest(length(a.line), length(b.line)) >= 32 AND levenshtein(a.line, b.line) <= 1),
             stay AS (SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM late)),
-            marked AS (SELECT l.*, length(line) < 32 OR s.place IS NOT NULL AS kept FROM lines l LEFT JOIN stay s ON s.place = l.doc_id * 1000000 + l.line_no)
+            marked AS (SELECT l.*, trim(l.line, ' \t\r\x0b\x0c') = '' OR s.place IS NOT NULL AS kept FROM lines l LEFT JOIN stay s ON s.place = l.doc_id * 1000000 + l.line_no)
             SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kept), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE kept) AS n_kept
             FROM marked GROUP BY doc_id""",
         "op6_minhash_near_dedup": """
