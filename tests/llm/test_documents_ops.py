@@ -1,13 +1,17 @@
 """Packing, exact dedup, BPE, fingerprints, near-dedup and quality against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from utterlake.llm import bpe, exact, imatch, neardup, packing, quality
@@ -172,6 +176,61 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.2
 
 
+def brute_imatch(rows, low, high):
+    """Plain I-Match: (doc_id, edited_sha256) to fingerprint, edited fingerprint and the two likenesses."""
+    h64 = lambda data, seed=42: (x := xxhash.xxh64_intdigest(data, seed=seed)) - 2**64 * (x >= 2**63)
+    terms = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    rows = sorted(((d, t or "") for d, t, *_ in rows), key=lambda x: (-(2**63) + 1 if x[0] is None else x[0], h64(x[1]), x[1]), reverse=True)
+    distinct = {t for _, t in rows}
+    df = Counter(w for t in distinct for w in terms(t))
+    band = {h64(w) for w, c in df.items() if max(2, math.ceil(low * len(distinct))) <= c <= math.floor(high * len(distinct))}
+
+    def prints(t):
+        held = sorted(h for h in map(h64, terms(t)) if h in band)
+        levels = []
+        for k, size in enumerate(imatch.LEVELS):
+            level = []
+            for s in range(imatch.SUBSETS):
+                got, h = [x for x in held if (x >> 9 * k) % size == s], 42
+                for x in got:
+                    h = h64(struct.pack("<q", x), h % 2**64)
+                level.append(h & 0xFFFFFF if got else -1)
+            levels.append(level)
+        return levels
+
+    def show(levels, t):
+        if all(x == -1 for x in levels[0]):
+            return f"text.{h64(t.lower()) % 2**64:x}"
+        return ".".join("-" if x == -1 else f"{x:06x}" for level in levels for x in level)
+
+    def alike(a, b, x, y):
+        if all(v == -1 for v in a[0] + b[0]):
+            return float(x.lower() == y.lower())
+        return max(sum(p == q != -1 for p, q in zip(u, v)) / max(sum(p != -1 or q != -1 for p, q in zip(u, v)), 10 if k else 1) for k, (u, v) in enumerate(zip(a, b)))
+
+    out = Counter()
+    for k, (d, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t)
+        e = t[: n - n // 3] + after[: n // 3]
+        p, q, r = prints(t), prints(e), prints(after)
+        out[d, n, hashlib.sha256(e.encode()).hexdigest(), show(p, t), show(q, e), round(alike(p, q, t, e), 9), round(alike(p, r, t, after), 9)] += 1
+    return out
+
+
+def test_fingerprints_against_plain_imatch(spark):
+    rows = [*odd_documents(), *((None, f"null id text {i} with some words of its own", None, None, None) for i in range(30)), *((33, f"one id {i} many texts", None, None, None) for i in range(40))]
+    out = imatch.fingerprint_table(documents(spark, rows), low=0.001, high=0.5).collect()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out)
+    assert got == brute_imatch(rows, 0.001, 0.5)
+
+
+def test_hot_ids_are_split(spark):
+    rows = documents(spark, [(None, f"text {i}", None, None, None) for i in range(300)] + [(i, f"own {i}", None, None, None) for i in range(300)]).selectExpr("doc_id", "text", "coalesce(doc_id, -5) AS k", "xxhash64(text) AS h")
+    sizes = [r["count"] for r in imatch._dealt(rows).filter("extra = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) < 100
+
+
 def test_copies_do_not_move_the_band(spark):
     """A third of the rows is one text: its terms stay in the lexicon, and the other rows' too."""
     r = random.Random(5)

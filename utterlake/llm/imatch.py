@@ -11,7 +11,9 @@ both have subsets with a few of their terms.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,8 +24,10 @@ from .store import cut
 SUBSETS = 20
 #: A subset of level k holds one lexicon term in LEVELS[k].
 LEVELS = (20, 100, 500, 2500)
-#: Spark's hash of an empty array is its seed.
-EMPTY = 42
+#: Spark's hash of an empty array is its seed; the fingerprint shows 24 bits of a subset's hash, which also make the likeness.
+SEED, EMPTY, BITS = 42, -1, 0xFFFFFF
+#: Bytes of text that a task orders, and the most tasks that literal cuts serve.
+TASK_BYTES, MOST_TASKS = 32_000_000, 50_000
 
 
 def terms(text: Column) -> Column:
@@ -53,7 +57,8 @@ def _place(term: Column, level: int) -> Column:
 
 def _hashes(held: Column, level: int) -> Column:
     """The hashes of one level's subsets of a sorted array of the term hashes that fall in them."""
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.xxhash64(F.filter(held, lambda t: _place(t, level) == s)))
+    full = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.xxhash64(F.filter(held, lambda t: _place(t, level) == s)))
+    return F.transform(full, lambda h: F.when(h == SEED, EMPTY).otherwise(h.bitwiseAND(BITS)).cast("int"))
 
 
 def _hits(a: Column, b: Column, test: Callable[[Column, Column], Column]) -> Column:
@@ -75,24 +80,59 @@ def likeness(a: list[Column], b: list[Column], a_text: Column, b_text: Column) -
     return F.when(none(a) & none(b), (a_text == b_text).cast("double")).otherwise(F.greatest(*levels))
 
 
+def _array(values: list, kind: str = "bigint") -> Column:
+    return F.expr("array(" + ",".join("null" if v is None else f"{v}L" for v in values) + ")").cast(f"array<{kind}>")
+
+
 def _bucket(cuts: list[int], value: Column) -> Column:
     """How many of the sorted cuts lie below a value, found in two steps of about sqrt(n) comparisons."""
     width = max(1, math.isqrt(len(cuts)))
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)] or [[]]
-    array = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")" if xs else "array()"
     below = lambda xs: F.size(F.filter(xs, lambda c: c < value))
-    group = below(F.expr(array([g[-1] for g in groups[:-1]])).cast("array<bigint>"))
-    inside = F.element_at(F.expr("array(" + ",".join(array(g) for g in groups) + ")").cast("array<array<bigint>>"), group + 1)
+    group = below(_array([g[-1] for g in groups[:-1]]))
+    inside = F.element_at(F.array(*map(_array, groups)), group + 1)
     return group * width + below(inside)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text, k, h), dealt in descending order of (k, h) over buckets of about TASK_BYTES.
+
+    Adds bucket and extra: each bucket has, as extra row, a copy of the row that follows its last one
+    (after the very last: the very first).  An id that fills several buckets is split by the hash of its
+    texts, so only rows of one id and one text stay together.
+    """
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_TASKS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES)))
+    found = Counter(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])
+    cuts = sorted(found)
+    slot = _bucket(cuts, F.col("k"))
+    # a cut that is found m times is an id with m shares of the rows: it has m buckets of its own above its range's
+    shares = [m if m > 1 else 0 for m in (found[c] for c in cuts)]
+    first = list(accumulate((1 + m for m in shares), initial=0))
+    mine = F.when(F.element_at(_array([*cuts, None]), slot + 1) == F.col("k"), F.element_at(_array([*shares, 0]), slot + 1)) if cuts else F.lit(None).cast("bigint")
+    split = F.when(mine > 0, 1 + F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * mine), mine - 1)).otherwise(0)
+    placed = rows.withColumn("slot", slot.cast("int")).withColumn("bucket", (F.element_at(_array(first), F.col("slot") + 1) + split).cast("int")).drop("slot")
+    tops = {r["bucket"]: (r["top"]["k"], r["top"]["h"]) for r in placed.groupBy("bucket").agg(F.max(F.struct("k", "h")).alias("top")).collect()}
+    used = sorted(tops)
+    # the row on top of a bucket follows the last row of the next higher one; the very first follows the very last
+    target = {b: (used[i + 1] if i + 1 < len(used) else used[0]) for i, b in enumerate(used)}
+    every = range(max(used, default=0) + 1)
+    at = lambda of: F.element_at(_array([of.get(b) for b in every]), F.col("bucket") + 1)
+    top = (F.col("k") == at({b: k for b, (k, _) in tops.items()})) & (F.col("h") == at({b: h for b, (_, h) in tops.items()}))
+    place = lambda b, extra: F.struct(b.cast("int").alias("bucket"), F.lit(extra).alias("extra"))
+    both = F.when(top, F.array(place(F.col("bucket"), 0), place(at(target), 1))).otherwise(F.array(place(F.col("bucket"), 0)))
+    dealt = placed.withColumn("at", F.explode(both)).select("doc_id", "text", "k", "h", "at.bucket", "at.extra")
+    return dealt.repartition(parts, "bucket")
+
+
 def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = 1e-3, high: float = 0.2, most_broadcast: int = 2_000_000) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     The edited text's last third comes from the next document by descending id (after the last: the
     first).  Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next.  Null texts are empty; a text without lexicon terms has its own hash as fingerprint.
-    Null ids come last; rows that repeat an id follow each other in the order of their texts' hashes.
+    Null ids come last; rows that repeat an id follow each other by descending hash of their texts.
     Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -102,21 +142,8 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     words = cut(words, "lexicon")
     few = words.count() <= most_broadcast
 
-    # Descending order over all rows: ranges of ids, each with a copy of the row that follows its last.
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.coalesce("doc_id", F.lit(lowest))
-    cuts = rows.select(order.alias("k")).agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    placed = rows.withColumn("k", order).withColumn("bucket", _bucket(cuts, F.col("k")))
-    tops = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("k").alias("top")).collect()}
-    used = sorted(tops)
-    # the row on top of a bucket follows the last row of the next higher one; the very first follows the very last
-    target = {b: (used[i + 1] if i + 1 < len(used) else used[0]) for i, b in enumerate(used)}
-    at = lambda of: F.element_at(F.expr("array(" + ",".join(str(of[b]) + "L" if b in of else "null" for b in range(max(used, default=0) + 1)) + ")").cast("array<bigint>"), F.col("bucket").cast("int") + 1)
-    copy = F.when(F.col("k") == at(tops), at(target))
-    both = F.when(copy.isNull(), F.array(F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(0).alias("extra")), F.struct(copy.cast("int").alias("bucket"), F.lit(1).alias("extra"))))
-    ordered = W.partitionBy("bucket").orderBy("extra", F.desc("k"), F.xxhash64("text"), "text")
-    dealt = placed.select("doc_id", "text", "k", F.explode(both).alias("at")).select("doc_id", "text", "k", "at.bucket", "at.extra")
+    dealt = _dealt(rows.withColumn("k", F.coalesce("doc_id", F.lit(lowest))).withColumn("h", F.xxhash64("text")))
+    ordered = W.partitionBy("bucket").orderBy("extra", F.desc("k"), F.desc("h"), "text")
     edit = dealt.withColumn("row", F.row_number().over(ordered)).withColumn("after", F.lead("text").over(ordered)).withColumn("n_chars", F.char_length("text").cast("long"))
     edit = edit.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(coalesce(after, ''), cast(n_chars div 3 as int)))"))
     about = F.struct("extra", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("text")).alias("own"), F.xxhash64(F.lower("edited")).alias("edited_own"))
@@ -140,7 +167,7 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     f, e, x = ([F.col(f"{p}{i}") for i in range(n)] for p in ("f", "e", "next_f"))
 
     def text(side: list[Column], own: Column) -> Column:
-        shown = F.array_join(F.transform(F.concat(*side), lambda p: F.when(p == EMPTY, "-").otherwise(F.lower(F.right(F.lpad(F.hex(p), 16, "0"), F.lit(6))))), ".")
+        shown = F.array_join(F.transform(F.concat(*side), lambda p: F.when(p == EMPTY, "-").otherwise(F.lower(F.lpad(F.hex(p), 6, "0")))), ".")
         return F.when(F.forall(side[0], lambda p: p == EMPTY), F.concat(F.lit("text."), F.lower(F.hex(own)))).otherwise(shown)
 
     return docs_.filter("extra = 0").select(
