@@ -2,19 +2,19 @@
 
 The snapshot is a table of digests with one static binary-fuse filter per bucket of digests.  A new
 batch is first grouped within itself.  Its digests are screened by their bucket's filter: a miss is
-certainly new, a hit joins the exact bucket.  Texts that look alike are then compared byte by byte,
-by grouping on the bytes themselves.  A filter takes about 1.13 bytes a digest and a bucket holds about
+certainly new, a hit joins its exact bucket.  Texts of one digest are then compared byte by byte, by
+grouping on the bytes themselves; where they are not equal, the bytes make the groups.  A filter takes about 1.13 bytes a digest and a bucket holds about
 ``per_bucket`` digests, so no task and no filter grows with the corpus.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
@@ -111,18 +111,18 @@ def _screen(left: pa.Table, right: pa.Table) -> pa.Table:
     if right.num_rows:
         f = FuseFilter(*(right[c][0].as_py() for c in ("seed", "segment", "segments")), np.frombuffer(right["fingerprints"][0].as_py(), np.uint8))
         hit = f.may_hold(left["key"].to_numpy().view(U64))
-    return left.append_column("hit", pa.array(hit)).select(["digest", "last_id", "n", "hit"])
+    return left.append_column("hit", pa.array(hit)).select(["bucket", "digest", "last_id", "n", "hit"])
 
 
-def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and SHA-256 of each text; null counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+def sha256(text: Column) -> Column:
+    """The 32 bytes of a text's SHA-256."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
     """Distinct digests with the largest id and the count: partly summed before the shuffle, so a text that a third of all rows hold moves as one row per task."""
-    key = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("n")).withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    key = F.xxhash64("digest")
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("n")).withColumn("key", key).withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets)).cast("int"))
 
 
 def build_snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -135,48 +135,55 @@ def build_snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]
 def dedup_batch(batch: DataFrame, snapshot: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """Groups of snapshot and batch together: digest, keep_id, group_size."""
     fresh = _grouped(batch, buckets)
-    screened = cut(fresh.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "digest string, last_id long, n long, hit boolean"), "screened")
-    hits = screened.filter("hit").select("digest", F.col("last_id").alias("new_id"), F.col("n").alias("more"))
-    old = snapshot.select("digest", F.col("last_id").alias("old_id"), F.col("n").alias("had")).join(hits, "digest", "full_outer")
+    screened = cut(fresh.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "bucket int, digest binary, last_id long, n long, hit boolean"), "screened")
+    hits = screened.filter("hit").select("bucket", "digest", F.col("last_id").alias("new_id"), F.col("n").alias("more"))
+    old = snapshot.select("bucket", "digest", F.col("last_id").alias("old_id"), F.col("n").alias("had")).join(hits, ["bucket", "digest"], "full_outer")
     keep, size = F.greatest("old_id", "new_id"), F.coalesce("had", F.lit(0)) + F.coalesce("more", F.lit(0))
     return old.select("digest", keep.alias("keep_id"), size.cast("long").alias("group_size")).unionByName(screened.filter("not hit").select("digest", F.col("last_id").alias("keep_id"), F.col("n").alias("group_size")))
 
 
-def check_bytes(docs: DataFrame, groups: DataFrame, *, text_col: str = "text", most_broadcast: int = 1_000_000) -> int:
-    """How many digests of several rows stand for more than one byte string.
+def unlike_texts(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """The digests of several rows that stand for more than one byte string.
 
-    Only texts of such groups move, and equal ones are merged before the shuffle.  Their digests are
-    broadcast if a count shows at most ``most_broadcast`` (of 32 bytes); else both sides are shuffled.
+    Only texts of such groups move, and equal ones are merged before the shuffle.
     """
-    several = groups.filter("group_size > 1").select("digest")
-    if several.count() <= most_broadcast:
-        several = F.broadcast(several)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).join(several, "digest", "left_semi")
-    distinct = rows.groupBy("digest", "text").agg(F.lit(1).alias("one"))
-    return distinct.groupBy("digest").count().filter("count > 1").count()
+    distinct = rows.select("digest", "text").join(several, "digest", "left_semi").groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    return distinct.groupBy("digest").count().filter("count > 1").select("digest")
 
 
-def dedup_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000) -> DataFrame:
-    """Exact duplicates of a whole table, taken as a snapshot (the lower half of the id range) and a batch.
+def dedup_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 100_000, most_broadcast: int = 500_000, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Exact duplicates of a whole table, half of which (by a hash of the id) is the snapshot and half the batch.
 
     Returns one row per row of ``docs``: doc_id, keep_id (largest doc_id of equal texts),
     group_size, kept, text_sha256.  Null texts equal empty ones.  A null doc_id is never the one to
     keep unless its whole group has none, and then all of that group stay.  Rows that repeat an id
-    and its text are each returned and each kept.  Other columns are not read; an empty table gives
-    no rows.  Raises ValueError if two different texts share a SHA-256.
+    and its text are each returned and each kept.  Texts that share a ``digest`` and are not equal are
+    grouped by their bytes.  Other columns are not read; an empty table gives no rows.  Digests of
+    several rows are broadcast if there are at most ``most_broadcast`` (of 56 bytes); else both sides are
+    shuffled, where adaptive execution splits hot digests.
     """
-    rows = digests(docs, id_col=id_col, text_col=text_col)
-    low, high, count = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    middle = 0 if low is None else (int(low) + int(high)) // 2
-    buckets = max(1, math.ceil(count / per_bucket))
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
-    snapshot, filters = build_snapshot(rows.filter(old), buckets)
-    groups = cut(dedup_batch(rows.filter(~old), snapshot, filters, buckets), "groups")
-    if found := check_bytes(docs, groups, text_col=text_col):
-        raise ValueError(f"{found} digests stand for several texts")
-    # only digests of several rows are joined; the hot ones are split by adaptive skew joins
-    several = groups.filter("group_size > 1")
-    out = rows.join(several, "digest", "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
+    slim = rows.select("doc_id", "digest")
+    buckets = max(1, math.ceil(docs.count() / per_bucket))
+    old = F.coalesce(F.xxhash64("doc_id") % 2 == 0, F.lit(True))
+    snapshot, filters = build_snapshot(slim.filter(old), buckets)
+    groups = cut(dedup_batch(slim.filter(~old), snapshot, filters, buckets).filter("group_size > 1"), "groups")
+    few = groups.count() <= most_broadcast
+    small = lambda df: F.broadcast(df) if few else df
+    unlike = cut(unlike_texts(rows, small(groups.select("digest"))), "unlike")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.col("doc_id").isNull() & keep.isNull()).alias("kept"), F.col("digest").alias("text_sha256"))
+    shown = [
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("doc_id") == keep, F.col("doc_id").isNull() & keep.isNull()).alias("kept"),
+    ]
+    plain = digest is sha256
+    hashed = F.lower(F.hex("digest")) if plain else F.sha2("text", 256)
+    base = slim if plain else rows
+    if not unlike.head(1):
+        return base.join(small(groups), "digest", "left").select(*shown, hashed.alias("text_sha256"))
+    out = base.join(small(groups), "digest", "left").join(unlike, "digest", "left_anti").select(*shown, hashed.alias("text_sha256"))
+    # texts behind one digest: grouped by their bytes, partly before the shuffle
+    mixed = rows.join(unlike, "digest", "left_semi")
+    by_text = mixed.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return out.unionByName(mixed.join(by_text, ["digest", "text"], "left").select(*shown, F.sha2("text", 256).alias("text_sha256")))
