@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import per_worker
+from .store import cut, per_worker
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 PIECE, DICTIONARY, LEVEL = 512, 112_640, 3
@@ -78,23 +79,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 3000, most_bytes: int = 24_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = 3000, most_bytes: int = 24_000_000, longest: int = 1_500_000) -> Model:
     """Fit on at most ``per_label`` labelled rows of each label and ``most_bytes`` of their text.
 
     Rows are those first by a hash of their id, among labels whose crc32(doc_id as text) mod 3 is
     not 1.  Half of them make the dictionaries, the other half the calibration.  Rows without a label
-    or a text of their own are not used.  With no usable label every score is one half.
+    or a text of their own, and texts of more than ``longest`` bytes, are not used to fit (all are scored).
+    Of texts under one id the greatest is taken; an id with both labels counts as bad.  With no usable
+    label every score is one half.  The bound on bytes holds before anything reaches the driver.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    ordered = lambda q: usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-    ids = ordered(0).unionByName(ordered(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    one = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ordered = lambda q: one.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+    ids = cut(ordered(0).unionByName(ordered(1)), "labelled_ids")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text").between(1, longest)).join(F.broadcast(ids), "doc_id")
+    rows = cut(found.groupBy("doc_id", "quality").agg(F.max("text").alias("text")), "labelled")
+    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    lengths = rows.select("doc_id", "quality", F.octet_length("text").alias("n")).withColumn("so_far", F.sum("n").over(order)).filter(F.col("so_far") <= most_bytes // 2)
+    sample = rows.join(F.broadcast(lengths.select("doc_id")), "doc_id", "left_semi").select("doc_id", "quality", F.col("text").cast("binary").alias("text"))
     texts: dict[tuple[int, int], list[bytes]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
-    room = {0: most_bytes // 2, 1: most_bytes // 2}
-    for k, r in enumerate(rows.collect()):
-        if 0 < len(r.text) <= room[r.quality]:
-            room[r.quality] -= len(r.text)
-            texts[r.quality, k % 2].append(bytes(r.text))
+    for k, r in enumerate(sample.orderBy(F.xxhash64("doc_id"), "doc_id").collect()):
+        texts[r.quality, k % 2].append(bytes(r.text))
     good, bad = _dictionary(texts[1, 0]), _dictionary(texts[0, 0])
     meter = Meter(good, bad)
     x = np.array([meter(t) for q in (0, 1) for t in texts[q, 1]] or [(0.0, 0.0, 0.0)])
