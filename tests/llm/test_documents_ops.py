@@ -109,6 +109,33 @@ def shingles(t):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_texts_that_share_a_digest_are_told_apart(spark):
+    weak = lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1)
+    plain = Counter(map(tuple, exact.dedup_table(documents(spark), per_bucket=20).collect()))
+    for most in (10**6, 0):
+        assert Counter(map(tuple, exact.dedup_table(documents(spark), per_bucket=20, most_broadcast=most, digest=weak).collect())) == plain
+
+
+def test_signatures_miss_next_to_nothing(spark):
+    """Chance that no chunk is within its errors, for pairs at the thresholds of the query and of the stage."""
+    width = neardup.SYMBOLS // neardup.CHUNKS
+    miss = lambda s: (1 - s**width - width * s ** (width - 1) * (1 - s)) ** neardup.CHUNKS
+    assert miss(0.85) < 1e-7 and miss(0.8) < 5e-6
+
+
+def test_quality_sample_is_bounded_before_it_is_collected(spark):
+    rows = [(i, "good words here " * (i + 1) if i % 2 else "BAD!!! " * (i + 1), None, None, None) for i in range(60)]
+    rows += [(1, "again the same id", None, None, None), (3, None, None, None, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(2, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    one, two = quality.fit(docs, labels), quality.fit(docs, labels.repartition(7))
+    assert one == two
+    for few in (quality.fit(docs, labels, most_bytes=1000), quality.fit(docs, labels, longest=40), quality.fit(docs, labels, longest=1)):
+        assert all(0 <= r.score <= 1 for r in quality.score(docs, few).collect())
+    empty = documents(spark, rows).limit(0)
+    assert quality.score(empty, quality.fit(empty, labels)).collect() == [] and quality.keep_good(empty, one, 0.5).collect() == []
+
+
 def brute_components(rows, percent=85):
     """Rows and their components; rows of one id that is a class's smallest are one node, as documented."""
     sets = [shingles(t) for _, t, *_ in rows]

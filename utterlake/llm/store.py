@@ -1,7 +1,8 @@
 """Where intermediate tables go.
 
 Lineage is cut with written tables in the folder that ``spark.checkpoint.dir`` names, which all
-executors share.  Only where the setting is absent (local tests) is a temporary folder made.
+executors share.  Only in local mode, where driver and executors are one process, is a
+temporary folder made if the setting is absent.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
