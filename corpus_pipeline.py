@@ -10,7 +10,8 @@ from utterlake.llm.store import cut
 from utterlake.llm.vocab import tokenizer_path
 
 
-#: Documents whose score for a good label is below this go.
+#: Documents whose score for a good label is below this go; shared word shingles of near duplicates, in percent of all.
+NEAR_PERCENT = 80
 LEAST_QUALITY = 0.5
 
 
@@ -27,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component."""
-    return neardup.keep_one_each(docs)
+    return neardup.keep_one_each(docs, percent=NEAR_PERCENT)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
