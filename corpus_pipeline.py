@@ -10,9 +10,10 @@ from utterlake.llm.store import cut
 from utterlake.llm.vocab import tokenizer_path
 
 
-#: Documents whose score for a good label is below this go; shared word shingles of near duplicates, in percent of all.
-NEAR_PERCENT = 80
+#: Documents whose score for a good label is below this go.
 LEAST_QUALITY = 0.5
+#: Near duplicates share at least so many of a hundred word shingles.
+NEAR_PERCENT = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
