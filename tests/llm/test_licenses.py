@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from utterlake.llm import licenses as L
@@ -73,3 +74,42 @@ def test_odd_rows(spark):
     got = L.scan(documents(spark)).collect()
     assert Counter(r.doc_id for r in got) == Counter(d for d, *_ in odd_documents())
     assert L.scan(documents(spark).limit(0)).collect() == []
+
+
+def plain_alignment(words, want):
+    """Longest common subsequence: no alignment holds more words."""
+    row = [0] * (len(want) + 1)
+    for w in words:
+        before = 0
+        for k, x in enumerate(want, 1):
+            before, row[k] = row[k], before + 1 if w == x else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_coverage_against_a_plain_alignment():
+    """Of notices with words left out, put in and changed: found where the plain alignment covers enough, and never above it."""
+    r = random.Random(6)
+    scanner = L.Scanner(L.TEMPLATES, 0.8, 0.25)
+    found = 0
+    for name in ("mit", "apache-2.0", "bsd-3-clause", "isc", "zlib", "gpl-3.0", "mpl-2.0"):
+        for _ in range(12):
+            words = L.WORD.findall(L.TEMPLATES[name].lower())
+            for _ in range(r.randint(0, len(words) // 8)):
+                at, what = r.randrange(len(words)), r.random()
+                if not L.tells(words, at, name, False):
+                    words[at : at + 1] = [] if what < 0.3 else ["x" * r.randint(3, 9)] if what < 0.6 else [words[at], "y" * r.randint(3, 9)]
+            text = " ".join([*("before" for _ in range(r.randint(0, 30))), *words, *("after" for _ in range(r.randint(0, 30)))])
+            best = plain_alignment(L.WORD.findall(text), scanner.words[name]) / len(scanner.words[name])
+            got = [h for h in scanner(text) if h[0] == name]
+            assert all(h[3] <= best + 1e-9 for h in got)
+            if best >= 0.87:
+                assert len(got) == 1 and got[0][3] >= best - 0.08, (name, best, got)
+                found += 1
+    assert found > 50
+
+
+def test_many_notices_in_one_text():
+    text = " ".join(["Released under the MIT License. Some words between them."] * 20_000)
+    began = time.perf_counter()
+    assert len(L.Scanner(L.TEMPLATES, 0.8, 0.25)(text)) == 20_000
+    assert time.perf_counter() - began < 60

@@ -261,11 +261,12 @@ class Scanner:
                     done = end
         # of templates that hold the same words, the one with the most aligned words stays
         hits.sort(key=lambda h: (-h[3] * len(self.words[h[0]]), h[1], h[0]))
-        kept: list[tuple[str, int, int, float]] = []
+        kept: list[tuple[str, int, int, float]] = []  # in order of their places
         for h in hits:
-            if all(h[2] <= o[1] or h[1] >= o[2] for o in kept):
-                kept.append(h)
-        return sorted(kept, key=lambda h: h[1:3])
+            k = bisect_right(kept, h[1], key=lambda o: o[1])
+            if (k == 0 or kept[k - 1][2] <= h[1]) and (k == len(kept) or kept[k][1] >= h[2]):
+                kept.insert(k, h)
+        return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, room: float = 0.25) -> DataFrame:
