@@ -1,8 +1,12 @@
 """Golden cases of boundary text, planning and stitching."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from utterlake.functions import boundary as B
+from utterlake.functions import text as T
 from utterlake.operators import planner, stitch
 
 
@@ -12,7 +16,7 @@ from utterlake.operators import planner, stitch
     ("着下班，和朋友聊天的时候刷着手机", "刷手机的时候，又焦虑着未来。", False, "刷手机的时候，又焦虑着未来。"),
 ])
 def test_strip_overlap(prev, text, acoustic, want):
-    assert B.strip_overlap(prev, text, acoustic) == want
+    assert text[B.repeated(prev, text, acoustic, exact=False) :] == want
 
 
 @pytest.mark.parametrize(("prev", "text", "acoustic", "want"), [
@@ -21,31 +25,39 @@ def test_strip_overlap(prev, text, acoustic, want):
     ("剥削者统", "统治广大劳动人民", False, "统治广大劳动人民"), ("", "甲", False, "甲"), ("甲", "", False, ""),
 ])
 def test_strip_boundary(prev, text, acoustic, want):
-    assert B.strip_boundary(prev, text, acoustic) == want
+    assert text[B.repeated(prev, text, acoustic) :] == want
 
 
 def test_small_functions():
-    assert B.strip_forced_stop("那么这里一定有。”") == "那么这里一定有"
-    assert not B.leftover_echo("伟大飞跃。", "中")
-    assert B.leftover_echo("伟大飞跃。", "飞跃。") and B.leftover_echo("甲", "，")
-    assert B.ends_sentence("好的。") and B.ends_sentence("真的吗？") and not B.ends_sentence("我们走向，蓝色海洋。") and not B.ends_sentence("还没有说完")
+    assert B.without_forced_stop("那么这里一定有。”") == "那么这里一定有"
+    assert not B.is_leftover("伟大飞跃。", "中")
+    assert B.is_leftover("伟大飞跃。", "飞跃。") and B.is_leftover("甲", "，")
 
 
 @pytest.mark.parametrize(("prev", "text", "want"), [("实现。", "现国家富强", "实现国家富强"), ("文化自。", "自信，做到", "文化自信，做到"), ("今天天气很好。", "我们去公园。", "今天天气很好。我们去公园。"), ("美丽。", "的花", "美丽的花"), ("", "甲", "甲"), ("甲", "", "甲")])
 def test_join_text(prev, text, want):
-    assert stitch.join_text(prev, text) == want
+    assert stitch.merge(stitch.Piece(prev), stitch.Piece(text)).text == want
 
 
-def test_finalize_utterance():
+def test_settle_final():
     words = [("命", 0.0, 0.2), ("运", 0.2, 0.4), ("好", 0.5, 0.7)]
-    text, start, end, kept, d = B.finalize_utterance(words, "命运好", 10.0, 1.0, 10.4, 10.4, "改变命运。")
-    assert (text, start, end, [w[0] for w in kept], d.match_n, d.contact_old) == ("好", 10.5, 10.7, ["好"], 2, True)
-    text, *_, d = B.finalize_utterance(words, "命运好", 20.0, 1.0, 10.4, 10.4, "改变命运。")
-    assert text == "命运好" and d.contact_old is False
+    got = B.settle_final(words, "命运好", 10.0, 1.0, 10.4, 10.4, "改变命运。")
+    assert (got.text, got.start, got.end, [w[0] for w in got.words], got.decision.match_n, got.decision.contact_old) == ("好", 10.5, 10.7, ["好"], 2, True)
+    got = B.settle_final(words, "命运好", 20.0, 1.0, 10.4, 10.4, "改变命运。")
+    assert got.text == "命运好" and got.decision.contact_old is False
 
 
 def plan(duration, silences=(), **kw):
-    return list(planner.plan_chunks(duration, list(silences), planner.SplitConfig(**kw)))
+    """The chunks between the cuts, as the window over them makes them."""
+    cfg = planner.SplitConfig(**kw)
+    cuts = planner.Cuts(duration, cfg)
+    found = [c for s in silences for c in cuts.silence(*s)] + list(cuts.finish())
+    out = []
+    for k, (at, kind) in enumerate(found):
+        before, how = found[k - 1] if k else (0.0, None)
+        back = cfg.overlap(how) if how else 0.0
+        out.append((round(max(0.0, before - back), 3), round(at, 3), kind, before if how and (back > 0 or how == "hard") else None))
+    return out
 
 
 def test_plans():
@@ -88,15 +100,45 @@ def test_stitch(spark):
 
 
 def test_small_rewrites():
-    assert B.trim_fragment("决议公布。决。") == "决议公布。" and B.trim_fragment("决议公布。决") == "决议公布。" and B.trim_fragment("决议公布。") == "决议公布。"
-    assert B.trim_dangling("武装夺取政权的政。") == "武装夺取政权的"
-    assert B.drop_plain_tail("一二，三。", 2) == "一"
     assert B.fallback_final("", "", "命运好", "改变命运", 1.0) == "好" and B.fallback_final("x", "", "y") == "" and B.fallback_final("", "z", "y") == "z"
     assert B.loop_at_end("前文。" + "发文章？对。" * 6)[0] == "发文章？对。" and B.trim_loop("前文。" + "发文章？对。" * 6) == "前文。" + "发文章？对。" * 2
     assert B.loop_at_end("前文，" + "对" * 6) is None and B.loop_at_end("前文，" + "对" * 12)[0] == "对"
     assert B.rescue_dedup([("甲", 9.0, 9.5), ("乙", 10.0, 10.5)], "", "", 10.0)[0] == "乙"
 
 
+def test_column_rewrites(spark):
+    goldens = [
+        ("done", "好的。", True), ("done", "真的吗？”", True), ("done", "我们走向，蓝色海洋。", False), ("done", "我们走向，蓝色的大海洋。", True), ("done", "还没有说完", False), ("done", None, False), ("done", "", False),
+        ("fragment", "决议公布。决。", "决议公布。"), ("fragment", "决议公布。决", "决议公布。"), ("fragment", "决议公布。", "决议公布。"), ("fragment", "他说好。一二三。", "他说好。一二三。"), ("fragment", "好", "好"),
+        ("dangling", "武装夺取政权的政。", "武装夺取政权的"), ("dangling", "武装夺取政权。", "武装夺取政权。"),
+        ("tail", "一二，三。", "一"), ("tail", "一", ""), ("tail", "", ""),
+    ]
+    made = {"done": T.ends_sentence, "fragment": T.trim_fragment, "dangling": T.trim_dangling, "tail": lambda c: T.drop_sounds(c, 2)}
+    for kind, f in made.items():
+        rows = [(i, t) for i, (k, t, _) in enumerate(goldens) if k == kind]
+        got = {r.i: r.out for r in spark.createDataFrame(rows, "i int, t string").select("i", f(F.col("t")).alias("out")).collect()}
+        assert got == {i: goldens[i][2] for i, _ in rows}, kind
+
+
+def test_border_is_the_longest():
+    r = random.Random(2)
+    for _ in range(500):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert B.border(a, b) == max((n for n in range(min(len(a), len(b)) + 1) if a.endswith(b[:n])), default=0)
+
+
+def test_pieces_of_a_long_recording(spark):
+    """State is the last piece and a tail: the pieces of a recording put together are its text."""
+    schema = "rec long, chunk int, audio_start double, audio_end double, drop_before double, kind string, text string, words array<struct<word:string,start:double,end:double>>"
+    says = [f"第{'一二三四五六七八九'[k % 9]}段{'天地人山水火'[k % 6]}。" for k in range(60)]
+    rows = [(1, k, 40.0 * k, 40.0 * k + 40, None, "tail", t, [(c, i * 0.5, i * 0.5 + 0.4) for i, c in enumerate(t)]) for k, t in enumerate(says)]
+    rows += [(2, 0, 0.0, 1.0, None, "tail", "", []), (3, 0, 0.0, 1.0, None, "tail", None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.rec: r for r in stitch.stitch(df, "rec").collect()}
+    assert got[1].text == "".join(says) and len(got[1].words) == sum(map(len, says)) and got[2].text == got[3].text == "" and got[3].words == []
+    assert stitch.pieces(df, "rec").filter("rec = 1").count() == 60
+
+
 def test_settings_gate_and_segments():
     from utterlake import config
     from utterlake.functions.segments import clean_segments

@@ -49,6 +49,36 @@ def strip_forced_stop(text: Column) -> Column:
     return F.when(bare.endswith("。"), F.regexp_replace(F.left(bare, F.char_length(bare) - 1), rf"(?U)[\s{QUOTES}]+\z", "")).otherwise(bare)
 
 
+def ideographs(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[一-鿿]"))
+
+
+def ends_sentence(text: Column) -> Column:
+    """Whether a text is done: a full stop or semicolon counts only after a short reply or a long last clause."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)[\s{QUOTES}]+\z", "")
+    body = F.regexp_replace(bare, rf"(?U)[。；;]+[\s{QUOTES}]*\z", "")
+    last = F.element_at(F.split(body, f"[{SENTENCE_END}，,、：:]", -1), -1)
+    return F.when(bare.rlike(r"[！？!?]\z"), True).when(bare.rlike(r"[。；;]\z"), (ideographs(bare) <= 4) | (ideographs(last) > 4)).otherwise(False)
+
+
+def trim_fragment(text: Column) -> Column:
+    """Without one or two characters that a cut leaves after a sentence end; a bare one must be an ideograph."""
+    s = F.regexp_replace(text, r"(?U)\s+\z", "")
+    marked = rf"(?s)^(.+[{SENTENCE_END}])\s*[^{SENTENCE_END}\s][^{SENTENCE_END}]?[{SENTENCE_END} \t]+\z"
+    return F.regexp_replace(F.regexp_replace(s, rf"(?<=[{SENTENCE_END}])[一-鿿]\z", ""), marked, "$1")
+
+
+def trim_dangling(text: Column) -> Column:
+    """Without a character that was cut off after 的, 地 or 得, and its mark."""
+    return F.regexp_replace(trim_fragment(text), rf"(?<=[的地得])[一-鿿][{SENTENCE_END}]\z", "")
+
+
+def drop_sounds(text: Column, n: int) -> Column:
+    """Without the last ``n`` characters that are no punctuation, and what stands around them."""
+    silent = PUNCTUATION.replace("[", r"\[").replace("]", r"\]").replace("-", r"\-")
+    return F.regexp_replace(text, rf"(?s)(?:[^{silent}][{silent}]*+){{0,{n}}}\z", "")
+
+
 def carry_tail(text: Column, n: int = 5) -> Column:
     """The last ``n`` characters if there is any ideograph, else the last ``n`` words."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
@@ -81,27 +111,31 @@ def preview(text: Column, width: int = 48) -> Column:
 
 
 def language_name(code: Column) -> Column:
-    """Name of a language code; an unknown one with a capital letter first, an empty one null."""
-    raw = F.trim(code)
+    """Name of a language code; an unknown one with a capital letter first, an empty one and ``auto`` null."""
+    raw = F.when(F.lower(F.trim(code)) != "auto", F.trim(code))
     known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(known[F.lower(raw)], F.when(raw != "", F.concat(F.upper(F.left(raw, F.lit(1))), F.lower(F.substr(raw, F.lit(2))))))
 
 
+#: Hesitation sounds, and what follows where the same character is a word of its own.
+SOUNDS = {"呃": "逆", "嗯": "嗯哼", "哎": "哎呀哟"}
+#: A sound that is one only where no letter or ideograph stands before it.
+LONE_SOUND = "啊"
+
+
 def clean_fillers(text: Column) -> Column:
-    """Without hesitation sounds; a text that holds none is left as it is, punctuation included."""
-    cut = F.regexp_replace(text, "呃+(?!逆)|嗯+(?![嗯哼])|哎+(?![哎呀哟])", "")
-    cut = F.regexp_replace(cut, r"(?<![一-鿿A-Za-z0-9])啊+", "")
-    tidy = cut
-    for pattern, to in (
-        (r"(?U)[，,、]\s*[，,、]+", "，"),
-        (r"(?U)[。；;]\s*[。；;]+", "。"),
-        (r"(?U)[，,、]\s*([。；;！？!?])", "$1"),
-        (r"(?U)(?<=[一-鿿])\s+(?=[一-鿿])", ""),
-        (r"(?U)^\s+|\s+\z", ""),
-        (r"^[，,、。；;！？!? ]+", ""),
-        (r"[，,、 ]+\z", ""),
-    ):
-        tidy = F.regexp_replace(tidy, pattern, to)
+    """Without hesitation sounds; a text that holds none is left as it is, punctuation included.
+
+    Marks that a sound stood between become one: of two pauses a comma, of two stops a full stop, of a
+    pause and a stop the stop.  Blanks between ideographs go, and so do marks left at either end.
+    """
+    heard = "|".join(f"{c}+(?![{word}])" for c, word in SOUNDS.items())
+    cut = F.regexp_replace(text, rf"{heard}|(?<![一-鿿A-Za-z0-9]){LONE_SOUND}+", "")
+    pause, stop, halt = "，,、", "。；;", "。；;！？!?"
+    tidy = F.regexp_replace(cut, rf"(?U)[{pause}](?:\s*[{pause}])+", "，")
+    tidy = F.regexp_replace(tidy, rf"(?U)[{stop}](?:\s*[{stop}])+", "。")
+    tidy = F.regexp_replace(tidy, rf"(?U)[{pause}]\s*(?=[{halt}])|(?<=[一-鿿])\s+(?=[一-鿿])", "")
+    tidy = F.regexp_replace(strip(tidy), rf"^[{pause}{halt} ]+|[{pause} ]+\z", "")
     return F.when(cut == text, text).otherwise(tidy)
 
 

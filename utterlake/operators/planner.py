@@ -1,12 +1,17 @@
-"""Chunk plans: where to cut a long recording, at silences where they are well placed."""
+"""Chunk plans: where to cut a long recording, at silences where they are well placed.
+
+Only the cuts depend on each other; they are a fold that holds the silences of one chunk at most.  What
+a chunk is, given the cut before it, is a window over the cuts.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fold import ordered_fold
@@ -26,73 +31,95 @@ class SplitConfig:
     allow_hard_overlap: bool = True
 
     def __post_init__(self) -> None:
-        broken = [text for test, text in ((self.target < self.max_chunk, "target < max_chunk"), (self.hard_overlap < self.max_chunk, "hard_overlap < max_chunk"), (self.silence_overlap < self.max_chunk, "silence_overlap < max_chunk")) if not test]
+        broken = [f"{name} < max_chunk" for name in ("target", "hard_overlap", "silence_overlap") if getattr(self, name) >= self.max_chunk]
         if broken:
             raise ValueError("; ".join(broken))
 
+    def overlap(self, kind: str) -> float:
+        """How far the chunk after a cut of this kind reaches back."""
+        wanted = {"silence": self.silence_overlap, "hard": self.hard_overlap}[kind]
+        return min(max(wanted, 0.0), self.max_chunk - 1e-3) if self.allow_hard_overlap else 0.0
+
 
-def best_cut(silences: list[tuple[float, float]], cursor: float, lo: float, hi: float, target: float, least: float) -> float | None:
-    """Middle of the silence with the least distance to the target less 0.3 of its length; the first of equals."""
-    at = max(0, bisect_right(silences, (lo,)) - 1)
-    found = []
-    for start, end in silences[at:]:
-        if start >= hi:
-            break
-        middle = (start + end) / 2
-        if end - start >= least and min(end, hi) > max(start, lo) and cursor < middle <= hi:
-            found.append((abs(middle - target) - 0.3 * (end - start), middle))
-    return min(found, key=lambda f: f[0])[1] if found else None
-
-
-def find_cut(silences: list[tuple[float, float]], cursor: float, duration: float, cfg: SplitConfig) -> float | None:
-    """A long silence near the target, else a short one, else the same up to the longest chunk."""
-    target, end = cursor + cfg.target, min(duration, cursor + cfg.max_chunk)
-    lo, hi = max(cursor, target - cfg.search), min(end, target + cfg.search)
-    if hi <= lo:
-        return None
-    for reach in (hi, end) if end > hi else (hi,):
-        for least in (cfg.min_silence, cfg.fallback_silence):
-            if (cut := best_cut(silences, cursor, lo, reach, target, least)) is not None:
-                return cut
-    return None
-
-
-def plan_chunks(duration: float, silences: list[tuple[float, float]], cfg: SplitConfig = SplitConfig()) -> Iterator[tuple[float, float, str, float | None]]:
-    """(audio_start, audio_end, kind, drop_before) of each chunk; silences are sorted and apart."""
-    keeps = lambda overlap: max(0.0, min(overlap, cfg.max_chunk - 1e-3)) if cfg.allow_hard_overlap else 0.0
-    cursor = start = 0.0
-    drop = None
-    while cursor < duration - 1e-6:
-        if duration - cursor <= cfg.max_chunk + 1e-6:
-            yield round(start, 3), round(duration, 3), "tail", drop
-            return
-        cut = find_cut(silences, cursor, duration, cfg)
-        kind, overlap = ("silence", keeps(cfg.silence_overlap)) if cut is not None else ("hard", keeps(cfg.hard_overlap))
-        cut = min(duration, cursor + cfg.max_chunk) if cut is None else cut
-        yield round(start, 3), round(cut, 3), kind, drop
-        cursor, start = cut, max(0.0, cut - overlap)
-        drop = cut if overlap > 0 or kind == "hard" else None
-
-
-class _Plan:
-    """The silences of one recording, which its length bounds."""
+def ranked(silences: np.ndarray, cursor: float, duration: float, cfg: SplitConfig) -> np.ndarray:
+    """Middles of the silences (rows of start, end) that a chunk from ``cursor`` can end in, best first.
 
+    Tiers: long and within reach of the target, short and within reach, then both again up to the longest
+    chunk.  Within a tier the distance to the target counts, less 0.3 of the length; then the earlier one.
+    """
+    target, last = cursor + cfg.target, min(duration, cursor + cfg.max_chunk)
+    lo, hi = max(cursor, target - cfg.search), min(last, target + cfg.search)
+    start, end = silences[:, 0], silences[:, 1]
+    middle, length = (start + end) / 2, end - start
+    within = lambda reach: (end > lo) & (start < reach) & (middle <= reach)
+    tier = np.where(within(hi), 0, 2) + (length < cfg.min_silence)
+    usable = within(last) & (middle > cursor) & (length >= cfg.fallback_silence) & (np.minimum(end, last) > np.maximum(start, lo)) & (hi > lo)
+    order = np.lexsort((start, np.abs(middle - target) - 0.3 * length, tier))
+    return middle[order][usable[order]]
+
+
+class Cuts:
+    """The cuts of one recording as its silences come in order: (place, kind), and at last the end as tail."""
+
+    def __init__(self, duration: float, cfg: SplitConfig = SplitConfig()):
+        self.duration, self.cfg, self.cursor, self.near = duration, cfg, 0.0, []
+
+    def _cut(self) -> tuple[float, str]:
+        best = ranked(np.array(self.near, float).reshape(-1, 2), self.cursor, self.duration, self.cfg)
+        cut = (float(best[0]), "silence") if len(best) else (min(self.duration, self.cursor + self.cfg.max_chunk), "hard")
+        self.cursor = cut[0]
+        self.near = [s for s in self.near if s[1] > self.cursor]
+        return cut
+
+    def _short(self) -> bool:
+        return self.duration - self.cursor <= self.cfg.max_chunk + 1e-6
+
+    def silence(self, start: float, end: float) -> Iterator[tuple[float, str]]:
+        while start >= self.cursor + self.cfg.max_chunk and not self._short():
+            yield self._cut()
+        self.near.append((start, end))
+
+    def finish(self) -> Iterator[tuple[float, str]]:
+        while not self._short():
+            yield self._cut()
+        if self.cursor < self.duration - 1e-6:
+            yield self.duration, "tail"
+
+
+class _Recording:
     def __init__(self, row: dict, key: str, cfg: SplitConfig):
-        self.key, self.duration, self.cfg, self.silences = row[key], row["duration"], cfg, []
+        self.key, self.cuts, self.n = row[key], Cuts(row["duration"], cfg), 0
+
+    def _rows(self, cuts: Iterator[tuple[float, str]]) -> Iterator[tuple]:
+        for at, kind in cuts:
+            yield self.key, self.n, at, kind
+            self.n += 1
+
+    def push(self, row: dict) -> Iterator[tuple]:
+        return self._rows(self.cuts.silence(row["start"], row["end"])) if row["start"] is not None else iter(())
+
+    def close(self) -> Iterator[tuple]:
+        return self._rows(self.cuts.finish())
 
-    def push(self, row: dict) -> list[tuple]:
-        if row["start"] is not None:
-            self.silences.append((row["start"], row["end"]))
-        return []
 
-    def close(self) -> list[tuple]:
-        return [(self.key, i, *p) for i, p in enumerate(plan_chunks(self.duration, self.silences, self.cfg))]
+def chunks_of(cuts: DataFrame, key: str, cfg: SplitConfig) -> DataFrame:
+    """Chunks between the cuts (key, chunk, at, kind): each begins before the cut before it, by that one's overlap."""
+    order = W.partitionBy(key).orderBy("chunk")
+    at, kind = F.lag("at").over(order), F.lag("kind").over(order)
+    back = F.when(kind == "hard", cfg.overlap("hard")).otherwise(cfg.overlap("silence"))
+    shown: list[Column] = [
+        F.round(F.greatest(F.coalesce(at - back, F.lit(0.0)), F.lit(0.0)), 3).alias("audio_start"), F.round("at", 3).alias("audio_end"), F.col("kind"),
+        F.when((back > 0) | (kind == "hard"), at).alias("drop_before"),
+    ]
+    return cuts.select(key, "chunk", *shown)
 
 
 def chunk_plans(durations: DataFrame, silences: DataFrame, key: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """Plans of all recordings: key, chunk, audio_start, audio_end, kind, drop_before.
 
-    ``durations`` has one row per recording (key, duration); ``silences`` has key, start, end.
+    ``durations`` has one row per recording (key, duration); ``silences`` has key, start, end, sorted
+    or not, and apart from each other.
     """
     rows = durations.select(key, F.col("duration").cast("double")).join(silences.select(key, F.col("start").cast("double"), F.col("end").cast("double")), key, "left")
-    return ordered_fold(rows, [key], ["start", "end"], lambda row: _Plan(row, key, cfg), f"{key} long, chunk int, audio_start double, audio_end double, kind string, drop_before double")
+    cuts = ordered_fold(rows, [key], ["start", "end"], lambda row: _Recording(row, key, cfg), f"{key} long, chunk int, at double, kind string")
+    return chunks_of(cuts, key, cfg)

@@ -37,7 +37,8 @@ def guarded(decode: Decoder, source: int, start: float, end: float, longest: flo
         return "", []
     middle = round((start + end) / 2, 3)
     (a, left), (b, right) = decode(source, start, middle), decode(source, middle, end)
-    return stitch.join_text(a, b), stitch.join_words(left, boundary.shift(right, middle - start))
+    whole = stitch.merge(stitch.Piece(a, tuple(left)), stitch.Piece(b, tuple(boundary.shift(right, middle - start))))
+    return whole.text, list(whole.words)
 
 
 def decode_chunks(plans: DataFrame, make: Callable[[], Decoder], key: str) -> DataFrame:
