@@ -105,13 +105,13 @@ def number(s: str) -> str | None:
 
 
 def clock(m: re.Match, forced: bool) -> str | None:
-    """Hours and minutes, or the decimal that the same words can be."""
+    """Hours and minutes; without a word that tells the time, spoken minutes without a ten are a decimal's digits."""
     hour, minute = integer(m["hour"]), m["minute"]
     sure = forced or bool(m["mark"]) or bool(m["date"])
     value = integer(minute.lstrip("零")) if minute.strip("零") else 0
     if hour is None or value is None or hour > 24 or value > 59:
         return None
-    if not sure and ("十" not in minute and (minute[0] in "零0" or value < 10)):
+    if not sure and "十" not in minute and (not minute.isascii() or minute[0] == "0" or value < 10):
         return None
     out = f"{hour}:{value:02}"
     if m["second"]:
@@ -198,10 +198,14 @@ def normalise(text: Column) -> Column:
     return F.when(has, convert(F.when(has, text))).otherwise(text)
 
 
+def spell_digits(digits: Column) -> Column:
+    """Digits one by one."""
+    return F.translate(digits, "0123456789", "零一二三四五六七八九")
+
+
 def spell(n: Column) -> Column:
-    """A whole number from 1 to 99 999 999 as it is spoken."""
-    text = F.translate(F.lpad(n.cast("string"), 8, "0"), "0123456789", "零一二三四五六七八九")
-    text = F.regexp_replace(text, "^(.)(.)(.)(.)(.)(.)(.)(.)$", "$1千$2百$3十$4万$5千$6百$7十$8")
-    for pattern, to in (("零[千百十]", "零"), ("零+", "零"), ("零万", "万零"), ("零+", "零"), ("零$|^[零万]+", "")):
+    """A whole number from 0 to 999 999 999 999 as it is spoken."""
+    text = F.regexp_replace(spell_digits(F.lpad(n.cast("string"), 12, "0")), "^(.)(.)(.)(.)(.)(.)(.)(.)(.)(.)(.)(.)$", "$1千$2百$3十$4亿$5千$6百$7十$8万$9千$10百$11十$12")
+    for pattern, to in (("零[千百十]", "零"), ("零+", "零"), ("零([亿万])", "$1零"), ("亿零*万", "亿零"), ("零+", "零"), ("零$|^[零万亿]+", "")):
         text = F.regexp_replace(text, pattern, to)
-    return F.when(n < 20, F.regexp_replace(text, "^一十", "十")).otherwise(text)
+    return F.when(n == 0, "零").when(n < 20, F.regexp_replace(text, "^一十", "十")).otherwise(text)

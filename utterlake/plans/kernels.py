@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,26 +13,26 @@ from ..functions import hotwords, numbers, tokensync
 from ..functions import text as T
 from ..operators import planner, stitch, tokens
 from ..streaming import realtime
-from .native import ENDS, HOUR, QUERIES, SQL, frames, fuzzy_lexicon, gap_sessions, query, silence_islands, table, turns
+from .native import ENDS, HOUR, PUNCT, QUERIES, SQL, frames, fuzzy_lexicon, gap_sessions, query, silence_islands, table, turns
 
 __all__ = ["QUERIES", "SQL"]
 
-SPOKEN = "'共' || CASE WHEN o_orderkey % 10000 = 0 THEN (o_orderkey // 10000) || '万' ELSE CAST(o_orderkey AS VARCHAR) END || '元'"
+SPOKEN = "'共' || CASE WHEN o_orderkey <= 10 THEN substr('零一二三四五六七八九十', CAST(o_orderkey AS INT) + 1, 1) WHEN o_orderkey % 100000000 = 0 THEN (o_orderkey // 100000000) || '亿' WHEN o_orderkey % 10000 = 0 THEN (o_orderkey // 10000) || '万' ELSE CAST(o_orderkey AS VARCHAR) END || '元'"
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys of two digits and more as they are spoken, in a phrase."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").filter("o_orderkey between 11 and 99999999")
+    """Order keys as they are spoken, in a phrase; one digit alone stays a word."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
     return rows.withColumn("spoken", F.concat(F.lit("共"), numbers.spell(F.col("o_orderkey")), F.lit("元")))
 
 
-@query(f"SELECT o_orderkey, {SPOKEN} AS text FROM orders WHERE o_orderkey BETWEEN 11 AND 99999999")
+@query(f"SELECT o_orderkey, {SPOKEN} AS text FROM orders")
 def spoken_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ITN1, ITN8-12: numbers spelled out by Spark and turned back into digits."""
     return spoken(spark, sf_dir).select("o_orderkey", numbers.normalise(F.col("spoken")).alias("text"))
 
 
-@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 10000 = 0 THEN 4 ELSE 3 END AS BIGINT) AS n_words, CAST(100 AS BIGINT) AS number_ms FROM orders WHERE o_orderkey BETWEEN 11 AND 99999999")
+@query(f"""WITH t AS (SELECT o_orderkey, {SPOKEN} AS text FROM orders) SELECT o_orderkey, CAST(CASE WHEN regexp_matches(text, '[0-9]') THEN length(regexp_replace(text, '[0-9]+', '0')) ELSE length(text) END AS BIGINT) AS n_words, CAST(100 AS BIGINT) AS number_ms FROM t""")
 def spoken_token_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK1-4, JON13: timed characters follow the rewrite; a number takes the time of all it replaces."""
 
@@ -48,6 +48,80 @@ def spoken_token_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken(spark, sf_dir).mapInPandas(run, "o_orderkey long, n_words long, number_ms long")
 
 
+def _normalised(rows: DataFrame, key: str, said: dict[str, Column]) -> DataFrame:
+    """Phrases of a row, each with its numbers in digits."""
+    return rows.select(key, *(numbers.normalise(phrase).alias(name) for name, phrase in said.items()))
+
+
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+@query("""SELECT o_orderkey, '价格' || CAST(o_totalprice * 100 AS BIGINT) // 100 || '.' || lpad(CAST(CAST(o_totalprice * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0') || '元' AS price,
+    '百分之零点' AS none, '约' || (o_custkey % 98 + 2) || '/' || (o_orderkey % 97 + 3) AS part, '以' || (o_custkey % 98 + 11) || ':' || (o_orderkey % 97 + 12) || '计' AS ratio,
+    '增长' || (o_orderkey % 99 + 1) || '%左右' AS percent, '增长' || (o_orderkey % 99 + 1) || '‰左右' AS permille, '零下-' || (o_custkey % 80 + 11) || '米' AS below FROM orders""")
+def spoken_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITN3, ITN4, ITN6: decimals, fractions, ratios, percentages and signs."""
+    a, b = F.col("o_custkey") % 98, F.col("o_orderkey") % 97
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    said = {
+        "price": _say("价格", numbers.spell(F.floor(cents / 100)), "点", numbers.spell_digits(F.lpad((cents % 100).cast("string"), 2, "0")), "元"), "none": F.lit("百分之零点"),
+        "part": _say("约", numbers.spell(b + 3), "分之", numbers.spell(a + 2)), "ratio": _say("以", numbers.spell(a + 11), "比", numbers.spell(b + 12), "计"),
+        "percent": _say("增长百分之", numbers.spell(F.col("o_orderkey") % 99 + 1), "左右"), "permille": _say("增长千分之", numbers.spell(F.col("o_orderkey") % 99 + 1), "左右"),
+        "below": _say("零下负", numbers.spell(F.col("o_custkey") % 80 + 11), "米"),
+    }
+    return _normalised(table(spark, sf_dir, "orders"), "o_orderkey", said)
+
+
+@query("""SELECT o_orderkey, '在' || year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日发货' AS day, month(o_orderdate) || '月' || day(o_orderdate) || '号' AS short FROM orders""")
+def spoken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITN7, HLP2: dates, the year digit by digit."""
+    d = F.col("o_orderdate")
+    short = _say(numbers.spell(F.month(d)), "月", numbers.spell(F.day(d)))
+    return _normalised(table(spark, sf_dir, "orders"), "o_orderkey", {"day": _say("在", numbers.spell_digits(F.year(d).cast("string")), "年", short, "日发货"), "short": _say(short, "号")})
+
+
+@query("""SELECT event_id, '上午' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS told, '今天' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') || ':' || lpad(CAST(second(ts) AS VARCHAR), 2, '0') AS full,
+    CASE WHEN minute(ts) >= 10 THEN hour(ts) || ':' || minute(ts) ELSE hour(ts) || '.0' || minute(ts) END AS bare, hour(ts) || '.' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') || '米' AS measure FROM events""")
+def spoken_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITN5: clock times by a word of the day, by their marks or by a ten, and the decimals that are none."""
+    hour, minute, second = (numbers.spell(f("ts")) for f in (F.hour, F.minute, F.second))
+    two = lambda f, said: F.when(f("ts") < 10, _say("零", said)).otherwise(said)
+    plain = numbers.spell_digits(F.lpad(F.minute("ts").cast("string"), 2, "0"))
+    said = {"told": _say("上午", hour, "点", two(F.minute, minute)), "full": _say("今天", hour, "点", two(F.minute, minute), "分", two(F.second, second), "秒"), "bare": _say(hour, "点", two(F.minute, minute)), "measure": _say(hour, "点", plain, "米")}
+    return _normalised(table(spark, sf_dir, "events"), "event_id", said)
+
+
+#: Letters of the tables as ideographs, so that rules on ideographs have texts to work on.
+LATIN, IDEOGRAPHS = "abcdefghijklmnopqrstuvwxyz.,", "一天人水的火山石地田土木金文得字上下左右大小中日月星。，"
+
+
+def ideographic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns and their words (distinct) in ideographs: text."""
+    rows = table(spark, sf_dir, "conversations").select(F.translate(F.lower("text"), LATIN, IDEOGRAPHS).alias("text")).filter("text is not null")
+    words = rows.select(F.explode(F.split("text", " ", -1)).alias("text")).filter("text <> ''")
+    return rows.select(F.replace("text", F.lit(" "), F.lit("")).alias("text")).union(words).distinct()
+
+
+_IDEOGRAPHIC = f"""t AS (SELECT translate(lower(text), '{LATIN}', '{IDEOGRAPHS}') AS text FROM conversations WHERE text IS NOT NULL),
+    x AS (SELECT replace(text, ' ', '') AS text FROM t UNION SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM t) WHERE w <> '')"""
+_END, _QUOTE = T.SENTENCE_END, T.QUOTES.replace("'", "''")
+_SILENT = PUNCT.replace("[", "\\[").replace("]", "\\]").replace("-", "\\-")
+
+
+@query(rf"""WITH {_IDEOGRAPHIC}, b AS (SELECT text, regexp_replace(text, '[\s{_QUOTE}]+$', '') AS bare, regexp_replace(text, '\s+$', '') AS s FROM x),
+    c AS (SELECT *, regexp_replace(bare, '[。；;]+[\s{_QUOTE}]*$', '') AS body, regexp_replace(CASE WHEN regexp_matches(s, '[{_END}][一-鿿]$') THEN left(s, -1) ELSE s END, '(?s)^(.+[{_END}])\s*[^{_END}\s][^{_END}]?[{_END} \t]+$', '\1') AS fragment FROM b),
+    d AS (SELECT *, len(regexp_extract_all(bare, '[一-鿿]')) AS n, len(regexp_extract_all(regexp_split_to_array(body, '[{_END}，,、：:]')[-1], '[一-鿿]')) AS last FROM c)
+    SELECT text, CASE WHEN regexp_matches(bare, '[！？!?]$') THEN true WHEN regexp_matches(bare, '[。；;]$') THEN n <= 4 OR last > 4 ELSE false END AS done, fragment,
+        regexp_replace(fragment, '([的地得])[一-鿿][{_END}]$', '\1') AS dangling, regexp_replace(text, '(?s)(?:[^{_SILENT}][{_SILENT}]*){{0,3}}$', '') AS dropped,
+        regexp_replace(text, '[{_END}]+([{_QUOTE}]*)$', '\1') AS terminal, CASE WHEN ends_with(bare, '。') THEN regexp_replace(left(bare, -1), '[\s{_QUOTE}]+$', '') ELSE bare END AS forced,
+        CASE WHEN regexp_matches(text, '[一-鿿]') THEN right(trim(text), 5) ELSE text END AS tail FROM d""")
+def boundary_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL3, SCL6, SCL7, SCL10-13, FLT11: what is stripped at the end of a piece, and whether it ends a sentence."""
+    t = F.col("text")
+    return ideographic(spark, sf_dir).select("text", T.ends_sentence(t).alias("done"), T.trim_fragment(t).alias("fragment"), T.trim_dangling(t).alias("dangling"), T.drop_sounds(t, 3).alias("dropped"), T.strip_terminal(t).alias("terminal"), T.strip_forced_stop(t).alias("forced"), T.carry_tail(t).alias("tail"))
+
+
 @query("SELECT conv_id, turn, rtrim(ltrim(trim(text, ' \t\r\n'), '，,、。；;！？!? '), '，,、 ') AS text FROM conversations")
 def filler_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL1: hesitation sounds put before every word, and taken out again."""
