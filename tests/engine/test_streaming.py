@@ -86,3 +86,21 @@ def test_hotwords():
     assert hotwords.correct("use cafka now", terms)[0] == "use Kafka now"
     assert hotwords.correct("the novel cafka wrote", terms)[0] == "the novel cafka wrote"
     assert hotwords.correct("Kafka", terms) == ("Kafka", [])
+
+
+def test_the_lexicon_index_loses_no_hit():
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 9)))
+    table = {c: (i, f, t) for c, i, f, t in zip("天地人山水火", ["t", "d", "r", "sh", "s", "h"], ["ian", "i", "en", "an", "ui", "uo"], "143112")}
+    hanzi = lambda: "".join(r.choice("天地人山水火") for _ in range(r.randint(1, 4)))
+    terms = [hotwords.Term(w, (w, v), ()) for w, v in ((r.choice([word, hanzi])(), word()) for _ in range(150))]
+    for least in (0.6, 0.85):
+        index = hotwords.Lexicon(terms, table, least)
+        for _ in range(20):
+            text = " ".join(r.choice([word, hanzi])() for _ in range(12))
+            heard = hotwords.phonemes(text, table)
+            all_ = {k for k, (_, alias) in enumerate(index.aliases) if hotwords.alignments(alias, heard, least)}
+            assert all_ <= set(index.candidates(heard))
+            whole = {(t.target, score, heard[i].start, heard[j - 1].end) for t, alias in index.aliases for score, i, j in hotwords.alignments(alias, heard, least)}
+            assert {(target, score, s, e) for score, _, s, e, target in index.matches(text)} == whole
+    assert len(hotwords.Lexicon(terms, table, 0.85).candidates(hotwords.phonemes("zzz qqq", table))) < 10

@@ -9,6 +9,9 @@ tone, which the caller gives; without one a character is its own phoneme.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -88,25 +91,105 @@ def alignments(term: list[Phoneme], text: list[Phoneme], least: float) -> list[t
     return [(round(1 - d / n, 3), s, j) for j, (d, s) in enumerate(row) if j > s and d <= limit and text[j - 1].last]
 
 
-def correct(text: str, terms: list[Term], table: dict[str, tuple[str, str, str]] | None = None, least: float = 0.85, window: int = 5) -> tuple[str, list[tuple[int, int, str, float]]]:
-    """The text with terms put right, and the replaced spans (start, end, target, score)."""
-    heard = phonemes(text, table)
-    words = [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(text)]
-    hits = []
-    for t in terms:
-        for alias in t.aliases:
-            for score, i, j in alignments(phonemes(alias, table), heard, least):
+def _grams(values: list[str], size: int) -> set[tuple[str, ...]]:
+    return set(zip(*(values[k:] for k in range(size)), strict=False))
+
+
+class Lexicon:
+    """Terms with an index of the pairs of phonemes that follow each other, so that only terms that can reach
+    ``least`` are aligned.
+
+    Each edit takes at most two pairs from an alias and one phoneme; with its cost limit an alias keeps
+    so many that fewer hits rule it out.  No hit above ``least`` is lost.
+    """
+
+    def __init__(self, terms: list[Term], table: dict[str, tuple[str, str, str]] | None = None, least: float = 0.85):
+        self.table, self.least = table, least
+        self.aliases = [(t, made) for t in terms for alias in t.aliases if (made := phonemes(alias, table))]
+        self.pairs: dict[tuple[str, ...], list[int]] = {}
+        self.single: dict[tuple[str, ...], list[int]] = {}
+        self.need: dict[int, int] = {}
+        self.about: dict[int, tuple[int, int, set]] = {}
+        self.always: list[int] = []
+        for k, (_, made) in enumerate(self.aliases):
+            values = [p.value for p in made]
+            edits = int(((1 - least) * len(made) + 1e-9) / (0.5 if any(p.lang == "zh" for p in made) else 1.0))
+            for index, size, lost in ((self.pairs, 2, 2), (self.single, 1, 1)):
+                grams = _grams(values, size)
+                if len(grams) > lost * edits:
+                    self.need[k] = len(grams) - lost * edits
+                    self.about[k] = size, len(made) + edits, grams
+                    for g in grams:
+                        index.setdefault(g, []).append(k)
+                    break
+            else:
+                self.always.append(k)
+
+    def candidates(self, heard: list[Phoneme]) -> list[int]:
+        """Aliases that may be in a text, by their number."""
+        values = [p.value for p in heard]
+        hits: Counter = Counter()
+        for index, size in ((self.pairs, 2), (self.single, 1)):
+            for g in _grams(values, size):
+                hits.update(index.get(g, ()))
+        return sorted([k for k, n in hits.items() if n >= self.need[k]] + self.always)
+
+    def places(self, k: int, heard: list[Phoneme], at: dict[tuple[str, ...], list[int]]) -> Iterator[tuple[int, int]]:
+        """Stretches of a text in which an alias can lie: what it keeps stands in it, and it is at most so long."""
+        if k not in self.about:
+            yield 0, len(heard)
+            return
+        size, reach, grams = self.about[k]
+        low = high = -1
+        for p in sorted(p for g in grams for p in at.get(g, ())):
+            if low >= 0 and p - reach <= high:
+                high = p + reach + size
+                continue
+            if low >= 0:
+                yield low, high
+            low, high = max(0, p - reach), p + reach + size
+        if low >= 0:
+            yield low, high
+
+    def matches(self, text: str, window: int = 5) -> list[tuple[float, int, int, int, str]]:
+        """(score, length, start, end, target) of every hit that stands near no blacklisted word."""
+        heard = phonemes(text, self.table)
+        words = [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(text)]
+        begins = [w[0] for w in words]
+        at: dict[tuple[str, ...], list[int]] = {}
+        for size in (1, 2):
+            for p in range(len(heard) - size + 1):
+                at.setdefault(tuple(x.value for x in heard[p : p + size]), []).append(p)
+        hits = []
+        for k in self.candidates(heard):
+            term, alias = self.aliases[k]
+            found = {(score, low + i, low + j) for low, high in self.places(k, heard, at) for score, i, j in alignments(alias, heard[low:high], self.least)}
+            for score, i, j in sorted(found):
                 start, end = heard[i].start, heard[j - 1].end
-                inside = [k for k, w in enumerate(words) if w[0] < end and w[1] > start]
-                near = "".join(w[2] for w in words[max(0, inside[0] - window) : inside[-1] + 1 + window])
-                if not any(b.lower() in near for b in t.black):
-                    hits.append((score, end - start, start, end, t.target))
-    taken: list[tuple[int, int, str, float]] = []
-    for score, _, start, end, target in sorted(hits, key=lambda h: (-h[0], -h[1])):
-        if all(end <= s or start >= e for s, e, _, _ in taken):
-            taken.append((start, end, target, score))
-    taken.sort()
-    changed = [t for t in taken if text[t[0] : t[1]] != t[2]]
-    for s, e, target, _ in reversed(changed):
-        text = text[:s] + target + text[e:]
-    return text, changed
+                first, last = bisect_right(begins, start) - 1, bisect_left(begins, end)
+                near = "".join(w[2] for w in words[max(0, first - window) : last + window])
+                if not any(b.lower() in near for b in term.black):
+                    hits.append((score, end - start, start, end, term.target))
+        return hits
+
+    def correct(self, text: str, window: int = 5) -> tuple[str, list[tuple[int, int, str, float]]]:
+        """The text with terms put right, and the replaced spans (start, end, target, score).
+
+        The best and longest hits come first; one that overlaps a better one is left out.
+        """
+        taken: list[tuple[int, int, str, float]] = []  # in order of their places
+        for score, _, start, end, target in sorted(self.matches(text, window), key=lambda h: (-h[0], -h[1])):
+            k = bisect_left(taken, end, key=lambda t: t[0])
+            if k == 0 or taken[k - 1][1] <= start:
+                taken.insert(k, (start, end, target, score))
+        changed = [t for t in taken if text[t[0] : t[1]] != t[2]]
+        out, at = [], 0
+        for start, end, target, _ in changed:
+            out += [text[at:start], target]
+            at = end
+        return "".join([*out, text[at:]]), changed
+
+
+def correct(text: str, terms: list[Term], table: dict[str, tuple[str, str, str]] | None = None, least: float = 0.85, window: int = 5) -> tuple[str, list[tuple[int, int, str, float]]]:
+    """One text by a lexicon that is used once; see :class:`Lexicon`."""
+    return Lexicon(terms, table, least).correct(text, window)

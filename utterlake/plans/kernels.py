@@ -13,7 +13,7 @@ from ..functions import hotwords, numbers, tokensync
 from ..functions import text as T
 from ..operators import planner, stitch, tokens
 from ..streaming import realtime
-from .native import ENDS, HOUR, PUNCT, QUERIES, SQL, frames, fuzzy_lexicon, gap_sessions, query, silence_islands, table, turns
+from .native import ENDS, HOUR, PUNCT, QUERIES, SQL, frames, gap_sessions, query, silence_islands, table, turns
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -137,16 +137,23 @@ def repetition_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def lexicon_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HOT1-10, SRT3, SRT4: coarse by deletion keys, fine by aligned phonemes, per distinct token."""
-    pairs = fuzzy_lexicon(spark, sf_dir).groupBy("token").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+def lexicon_correction(spark: SparkSession, sf_dir: str, least: float = 0.75, most_terms: int = 100_000) -> DataFrame:
+    """HOT4-6, HOT8-10, JON6, JON10, SRT3, SRT4: terms of the parts put right in whole turns, unless a manufacturer's word stands near.
+
+    The lexicon goes to every task if a count shows at most ``most_terms``; texts are not shuffled.
+    """
+    rows = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"), F.lower(F.element_at(F.split("p_type", " "), -1)).alias("black")).groupBy("term").agg(F.sort_array(F.collect_set("black")).alias("black"))
+    if rows.count() > most_terms:
+        raise ValueError("the lexicon is too large to hold in a task")
+    terms = [hotwords.Term(r["term"], (r["term"],), tuple(r["black"])) for r in rows.orderBy("term").collect()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = hotwords.Lexicon(terms, least=least)
         for b in batches:
-            out = [hotwords.correct(t, [hotwords.Term(x, (x,), ()) for x in xs], least=0.7) for t, xs in zip(b["token"], b["terms"], strict=True)]
-            yield pd.DataFrame({"token": b["token"], "corrected": [o[0] for o in out], "score": [max((m[3] for m in o[1]), default=1.0) for o in out]})
+            out = [found.correct(t or "") for t in b["text"]]
+            yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "corrected": [o[0] for o in out], "n_changed": [len(o[1]) for o in out], "score": [min((m[3] for m in o[1]), default=1.0) for o in out]})
 
-    return pairs.mapInPandas(run, "token string, corrected string, score double")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, corrected string, n_changed long, score double")
 
 
 @query()
