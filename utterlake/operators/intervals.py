@@ -73,8 +73,13 @@ def latest_before(targets: DataFrame, quiet: DataFrame, key: str, at: str, row:
     return found.select(row, F.when(near, F.col("cut.start_us")).alias("cut_start_us"), F.when(near, F.col("cut.end_us")).alias("cut_end_us"))
 
 
-def gap_sessions(frames: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
-    """Sessions that end where the next frame is more than ``gap`` away."""
+def session_numbers(frames: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
+    """Frames with the number of their session (from 0), and whether they begin one (new_)."""
     order = W.partitionBy(key).orderBy(at, tie)
     new = F.coalesce((F.col(at) - F.lag(at).over(order) > gap).cast("int"), F.lit(0))
-    return frames.withColumn("new_", new).withColumn("session", F.sum("new_").over(order)).groupBy(key, "session").agg(F.min(at).alias("start_us"), F.max(at).alias("end_us"), F.count("*").alias("n"))
+    return frames.withColumn("new_", new).withColumn("session", F.sum("new_").over(order))
+
+
+def gap_sessions(frames: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
+    """Sessions that end where the next frame is more than ``gap`` away."""
+    return session_numbers(frames, key, at, tie, gap).groupBy(key, "session").agg(F.min(at).alias("start_us"), F.max(at).alias("end_us"), F.count("*").alias("n"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hotwords, numbers, tokensync
 from ..functions import text as T
-from ..operators import planner, stitch, tokens
+from ..operators import intervals, planner, stitch
 from ..streaming import realtime
-from .native import ENDS, HOUR, PUNCT, QUERIES, SQL, frames, gap_sessions, query, silence_islands, table, turns
+from .native import FRAMES, HOUR, ISLANDS, PUNCT, QUERIES, SQL, frames, query, silence_islands, table, turns
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -156,9 +156,17 @@ def lexicon_correction(spark: SparkSession, sf_dir: str, least: float = 0.75, mo
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, corrected string, n_changed long, score double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ISLANDS}, f AS (SELECT user_id, min(us) AS t0, (max(us) - min(us)) / {HOUR} AS duration FROM frames GROUP BY user_id),
+    q AS (SELECT user_id, list({{'s': (start_us - t0) / {HOUR}, 'e': (end_us - t0) / {HOUR}}} ORDER BY start_us) AS q FROM islands JOIN f USING (user_id) GROUP BY user_id),
+    r AS (SELECT f.user_id, -1 AS chunk, 0.0::DOUBLE AS place, 'start' AS kind, 0.0::DOUBLE AS before, 'none' AS how, duration, coalesce(q, []) AS q FROM f LEFT JOIN q USING (user_id)
+        UNION ALL SELECT user_id, chunk + 1, CASE WHEN tail THEN duration ELSE coalesce(best.m, least(duration, place + 40)) END, CASE WHEN tail THEN 'tail' WHEN best IS NULL THEN 'hard' ELSE 'silence' END, place, kind, duration, q
+        FROM (SELECT *, duration - place <= 40 + 1e-6 AS tail, list_sort(list_filter(list_transform(q, lambda x: CASE
+                WHEN x.e - x.s >= 0.2 AND least(x.e, least(duration, place + 40)) > greatest(x.s, place + 30) AND x.s < least(duration, place + 40) AND (x.s + x.e) / 2 > place AND (x.s + x.e) / 2 <= least(duration, place + 40)
+                THEN {{'t': CAST(x.e - x.s < 0.4 AS INT), 'k': abs((x.s + x.e) / 2 - (place + 35)) - 0.3 * (x.e - x.s), 's': x.s, 'm': (x.s + x.e) / 2}} END), lambda c: c IS NOT NULL))[1] AS best FROM r WHERE kind <> 'tail' AND place < duration - 1e-6))
+    SELECT user_id, chunk, round(greatest(0.0, CASE how WHEN 'hard' THEN before - 1.5 WHEN 'silence' THEN before - 0.4 ELSE 0.0 END), 3) AS audio_start, round(place, 3) AS audio_end, kind, CASE WHEN how IN ('hard', 'silence') THEN before END AS drop_before
+    FROM r WHERE chunk >= 0""")
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORC1, ORC2, HLP1: plans for recordings made of events, an hour as a second."""
+    """ORC1, HLP1, JON3: plans for recordings made of events, an hour as a second."""
     rows = frames(spark, sf_dir)
     first = rows.groupBy("user_id").agg(F.min("us").alias("t0"), ((F.max("us") - F.min("us")) / HOUR).alias("duration"))
     quiet = silence_islands(spark, sf_dir).join(first, "user_id").select("user_id", ((F.col("start_us") - F.col("t0")) / HOUR).alias("start"), ((F.col("end_us") - F.col("t0")) / HOUR).alias("end"))
@@ -184,13 +192,22 @@ def stitched_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch.stitch(chunks, "conv_id").select("conv_id", F.md5("text").alias("text_md5"), F.size("words").alias("n_words"))
 
 
-@query()
+@query(f"""WITH {FRAMES}, m AS (SELECT *, coalesce(CAST(us - lag(us) OVER w > {6 * HOUR} AS INT), 0) AS b FROM frames WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+    s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session, CAST(event_type = 'purchase' AS INT) AS is_end FROM m),
+    n AS (SELECT *, sum(is_end) OVER (PARTITION BY user_id, session ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) - is_end AS sent FROM s)
+    SELECT user_id, session, row_number() OVER (PARTITION BY user_id, session ORDER BY sent) AS index, min(us) AS start_ms, max(us) AS end_ms, count(*) AS n_tokens,
+        string_agg(event_type || CASE WHEN is_end = 1 THEN '.' ELSE '' END, ' ' ORDER BY us, event_id) AS text FROM n GROUP BY user_id, session, sent""")
 def session_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEG1 over stitched sessions of events: sentences of the event names of each session."""
-    sessions = gap_sessions(spark, sf_dir).select("user_id", "session", "start_us", "end_us")
-    events = frames(spark, sf_dir).select(F.col("user_id").alias("u"), "us", "event_id", "event_type")
-    inside = sessions.join(events, (F.col("user_id") == F.col("u")) & F.col("us").between(F.col("start_us"), F.col("end_us")))
-    named = F.when(F.col("event_type") == "purchase", F.concat("event_type", F.lit("."))).otherwise(F.col("event_type"))
-    words = F.array_sort(F.collect_list(F.struct("us", "event_id", named.alias("word"))))
-    rows = inside.groupBy("user_id", "session").agg(F.transform(words, lambda w: F.struct(w["word"].alias("word"), w["us"].alias("start"), w["us"].alias("end"))).alias("words"))
-    return tokens.sentences(rows, "words", ENDS)
+    """SEG1 over sessions of events: sentences of the event names of each session.
+
+    An event keeps its session's number, and a sentence is a run within it: two windows over one sort, no join.
+    """
+    order = W.partitionBy("user_id").orderBy("us", "event_id")
+    rows = intervals.session_numbers(frames(spark, sf_dir), "user_id", "us", "event_id", 6 * HOUR).withColumn("end_", F.col("event_type") == "purchase")
+    # sentences of a user are numbered on: one begins after each end and with each session
+    begins = (F.coalesce(F.lag("end_").over(order), F.lit(True)) | (F.col("new_") == 1)).cast("int")
+    runs = rows.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    word = F.struct("us", "event_id", F.concat("event_type", F.when(F.col("end_"), ".").otherwise("")).alias("word"))
+    made = runs.groupBy("user_id", "session", "run").agg(F.min("us").alias("start_ms"), F.max("us").alias("end_ms"), F.count("*").alias("n_tokens"), F.array_sort(F.collect_list(word)).alias("words"))
+    index = F.row_number().over(W.partitionBy("user_id", "session").orderBy("run")).cast("long")
+    return made.select("user_id", "session", index.alias("index"), "start_ms", "end_ms", "n_tokens", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import intervals, lexicon, sessions, tokens
+from ..operators import aggregates, intervals, lexicon, sessions, tokens
 from ..sources import lexicons
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,12 +197,17 @@ def span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.on_spans(placed, spans, ["conv_id", "turn"])
 
 
-@query("""SELECT conv_id, turn, md5(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE NOT ends_with(text, '.')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS prefix_md5 FROM conversations""".replace("string_agg(text, '' ORDER BY turn)", "string_agg(text, '')"))
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN NOT ends_with(text, '.') THEN length(text) END AS n FROM conversations)
+    SELECT conv_id, turn, count(n) OVER w AS n_held, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS held_chars, max(CASE WHEN n IS NOT NULL THEN turn END) OVER w AS last_held
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def pending_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN13, STR19: what of the earlier turns of a conversation is not final yet."""
+    """WIN13, STR19: what of the earlier turns of a conversation is not final yet: how many, their length, and the last.
+
+    The held texts stay in their own rows; a row of the window carries three numbers, however long the prefix.
+    """
     before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    held = F.collect_list(F.when(~F.endswith("text", F.lit(".")), F.col("text"))).over(before)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(held, "")).alias("prefix_md5"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(~F.endswith("text", F.lit(".")), F.char_length("text")).alias("n"))
+    return rows.select("conv_id", "turn", F.count("n").over(before).alias("n_held"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("held_chars"), F.max(F.when(F.col("n").isNotNull(), F.col("turn"))).over(before).alias("last_held"))
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS arrived FROM frames)
@@ -219,7 +224,9 @@ def reorder_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lag_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG12, AGG13, AGG14: exact percentiles and counts by kind."""
     rows = table(spark, sf_dir, "events").select("event_type", "value").filter("value >= 0")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 3).alias("p50"), F.round(F.percentile("value", 0.95), 3).alias("p95"), F.count_if(F.col("value") >= 100).alias("slow"))
+    counts = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 100).alias("slow"))
+    found = aggregates.percentiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return counts.join(F.broadcast(found), "event_type").select("event_type", "n", *(F.round(p, 3).alias(p) for p in ("p50", "p95")), "slow")
 
 
 @query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n FROM events GROUP BY ALL""")
