@@ -103,7 +103,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(MOST_TASKS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES)))
+    usual = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_TASKS, max(usual, math.ceil(size / TASK_BYTES)))
     found = Counter(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])
     cuts = sorted(found)
     slot = _bucket(cuts, F.col("k"))
@@ -123,7 +124,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     place = lambda b, extra: F.struct(b.cast("int").alias("bucket"), F.lit(extra).alias("extra"))
     both = F.when(top, F.array(place(F.col("bucket"), 0), place(at(target), 1))).otherwise(F.array(place(F.col("bucket"), 0)))
     dealt = placed.withColumn("at", F.explode(both)).select("doc_id", "text", "k", "h", "at.bucket", "at.extra")
-    return dealt.repartition(parts, "bucket")
+    # the window that follows deals by bucket over the usual partitions; more buckets need more tasks
+    return dealt if parts <= usual else dealt.repartition(parts, "bucket")
 
 
 def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", low: float = 1e-3, high: float = 0.2, most_broadcast: int = 2_000_000) -> DataFrame:
