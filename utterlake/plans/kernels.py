@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hotwords, numbers, tokensync
 from ..functions import text as T
-from ..operators import intervals, planner, stitch
-from ..streaming import realtime
-from .native import FRAMES, HOUR, ISLANDS, PUNCT, QUERIES, SQL, frames, query, silence_islands, table, turns
+from ..operators import intervals, planner, segments, stitch
+from ..streaming import finals, realtime
+from .native import ENDS, FRAMES, HOUR, ISLANDS, PUNCT, QUERIES, SQL, frames, query, silence_islands, table, turns
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -173,9 +173,60 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.chunk_plans(first.select("user_id", "duration"), quiet, "user_id")
 
 
+_MARKS = T.PUNCTUATION.strip().replace("'", "''").replace("[", "\\[").replace("]", "\\]").replace("-", "\\-")
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN replace(replace(text, '.', ' .'), ',', ' ,') ELSE text END AS t FROM conversations),
+    k AS (SELECT conv_id, turn, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS pos FROM x),
+    c AS (SELECT *, turn * 120.0::DOUBLE + pos * 0.25::DOUBLE AS s, turn * 120.0::DOUBLE + pos * 0.25::DOUBLE + 0.125::DOUBLE AS e, regexp_matches(word, '[^\s\pP]') AS spoken FROM k),
+    l AS (SELECT *, CASE WHEN spoken THEN regexp_extract(word, '(?s)^(.*?)[{_MARKS}\pP]*$', 1) ELSE '' END AS lead FROM c),
+    m AS (SELECT *, regexp_replace(substr(word, length(lead) + 1), '\s+', '', 'g') AS marks, CAST(regexp_matches(substr(word, length(lead) + 1), '[{ENDS}]') AS INT) AS closes FROM l),
+    w AS (SELECT *, sum(closes) OVER o - closes AS sent, coalesce(last_value(CASE WHEN spoken THEN e END IGNORE NULLS) OVER o, s) AS anchor FROM m WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT conv_id, turn, sent, trim(string_agg(word, '' ORDER BY pos), ' 	
+') AS text, arg_min(s, pos) FILTER (WHERE spoken) AS start, arg_max(e, pos) FILTER (WHERE spoken) AS "end", CAST(sum(CAST(spoken AS INT) + length(marks)) AS BIGINT) AS n_chars, sum(anchor * length(marks)) AS marks_s FROM w GROUP BY ALL)
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sent) AS index, start, "end", text, regexp_extract(text, '[{ENDS}]*$') AS punctuation, n_chars, marks_s FROM g WHERE regexp_matches(text, '[^\s\pP]')""")
+def subtitle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SEG1, WIN8-10, AGG15, SNK1: turns as subtitle segments, marks at the end of what was spoken before them."""
+    spaced = F.when(F.col("turn") % 2 == 1, F.replace(F.replace("text", F.lit("."), F.lit(" .")), F.lit(","), F.lit(" ,"))).otherwise(F.col("text"))
+    at = lambda i: F.col("turn") * 120.0 + i * 0.25
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(spaced, " ", -1), lambda w, i: F.struct(w.alias("word"), at(i).alias("start"), (at(i) + 0.125).alias("end"))).alias("words"))
+    made = segments.transcript_segments(rows, ["conv_id", "turn"], "words", None, ENDS)
+    marks = F.aggregate(F.filter("chars", lambda c: c["start"] == c["end"]), F.lit(0.0), lambda x, c: x + c["start"])
+    return made.select("conv_id", "turn", "index", "start", "end", "text", "punctuation", F.size("chars").cast("long").alias("n_chars"), marks.alias("marks_s"))
+
+
+_BARE = f"translate(%s, '{PUNCT}', '')"
+_LEFT = T.TRAILING.replace("'", "''")
+
+
+@query(rf"""WITH RECURSIVE x AS (SELECT conv_id, turn, replace(replace(translate(lower(text), '{LATIN}', '{IDEOGRAPHS}'), ' ', ''), '一', '永') AS t FROM conversations WHERE text IS NOT NULL),
+    y AS (SELECT conv_id, turn, coalesce(right({_BARE % "lag(t) OVER w"}, 6), '') || t AS said, row_number() OVER w AS k FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS text, '' AS prefix FROM y WHERE k = 1
+        UNION ALL SELECT conv_id, k, turn, CASE WHEN echo THEN NULL ELSE out END, CASE WHEN echo OR length(rtrim(regexp_replace(out, '^\s+|\s+$', '', 'g'), '{_END}')) < 4 THEN prefix ELSE right(regexp_replace(out, '^\s+|\s+$', '', 'g'), 16) END
+        FROM (SELECT *, {_BARE % "out"} = '' OR (length({_BARE % "out"}) <= 4 AND contains(right(sp, length({_BARE % "out"}) + 2), {_BARE % "out"})) AS echo
+        FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN CASE WHEN ends_with(bare, '。') THEN regexp_replace(left(bare, -1), '[\s{_QUOTE}]+$', '') ELSE bare END ELSE new END AS out
+        FROM (SELECT *, regexp_replace(new, '[\s{_QUOTE}]+$', '') AS bare
+        FROM (SELECT *, CASE WHEN n < 2 THEN said WHEN {_BARE % "rest"} = '' THEN '' ELSE rest END AS new
+        FROM (SELECT *, CASE WHEN n >= 2 THEN regexp_replace(said, '^(?s:[{_SILENT}]*[^{_SILENT}]){{' || n || '}}[{_LEFT}]*', '') ELSE said END AS rest
+        FROM (SELECT *, coalesce(list_max(list_filter(range(1, 17), lambda i: i <= least(length(sp), length(st)) AND right(sp, i) = left(st, i))), 0) AS n
+        FROM (SELECT y.conv_id, y.k, y.turn, y.said, r.prefix, {_BARE % "r.prefix"} AS sp, {_BARE % "y.said"} AS st FROM r JOIN y ON y.conv_id = r.conv_id AND y.k = r.k + 1))))))))
+    SELECT conv_id AS session_id, turn AS utt, text, text IS NULL AS dropped FROM r WHERE k > 0""")
+def realtime_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR17-19, SCL16, SCL24, FLT12, ITN12, HOT10, FIL1: turns as finals that repeat the end of the one before, to what goes out."""
+    said = F.replace(F.replace(F.translate(F.lower("text"), LATIN, IDEOGRAPHS), F.lit(" "), F.lit("")), F.lit("一"), F.lit("永"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", said.alias("t"))
+    before = F.right(T.plain(F.lag("t").over(W.partitionBy("conv_id").orderBy("turn"))), F.lit(6))
+    start = F.col("turn") * 10.0
+    given = rows.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("utt"), F.when(F.col("turn") % 3 == 0, "hard_cut").otherwise("vad_end").alias("reason"), F.concat(F.coalesce(before, F.lit("")), "t").alias("text"),
+        F.lit(None).cast(finals.WORDS).alias("words"), start.alias("audio_start"), F.lit(9.0).alias("duration"), (start + 1).alias("commit"), (start + 1).alias("drop_before"), F.lit(None).cast("string").alias("partial"),
+    )
+    return finals.finish(finals.settle(given), []).select("session_id", "utt", "text", F.col("text").isNull().alias("dropped"))
+
+
 @query()
 def realtime_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1-19, WIN4-6, WIN15: events of a user as packets of 400 ms, folded to utterances."""
+    """STR1-3, STR5-7, STR11, STR16, WIN4, WIN5: events of a user as packets of 400 ms, folded to utterances."""
     seq = W.partitionBy("user_id").orderBy("us", "event_id")
     packets = frames(spark, sf_dir).select(F.col("user_id").alias("session_id"), (F.row_number().over(seq) - 1).cast("long").alias("seq"), F.when(F.col("event_type") == "signup", "flush").otherwise("audio").alias("kind"), (F.col("value") / 1000).alias("rms"), F.lit(400).alias("length_ms"))
     return realtime.utterances(packets)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary, numbers, tokensync
 from ..functions.text import clean_fillers
-from ..operators import planner, stitch, tokens
+from ..operators import planner, stitch
 from ..operators.planner import SplitConfig
+from ..operators.segments import transcript_segments
 
 WORDS = "array<struct<word:string,start:double,end:double>>"
 
@@ -70,9 +71,9 @@ def transcripts(durations: DataFrame, silences: DataFrame, make: Callable[[], De
     return stitched.mapInPandas(run, f"{key} long, text string, words {WORDS}").withColumn("text", clean_fillers(F.col("text")))
 
 
-def segments(done: DataFrame) -> DataFrame:
-    """Sentences of transcripts, with the fields of a result file; the speaker is always null."""
-    return tokens.sentences(done.drop("text"), "words").withColumn("text", F.replace("text", F.lit(" "), F.lit(""))).withColumn("speaker", F.lit(None).cast("string"))
+def segments(done: DataFrame, key: str = "rec") -> DataFrame:
+    """Segments of transcripts with the fields of a result file; the speaker is always null."""
+    return transcript_segments(done, [key], "words", "text")
 
 
 def write_segments(rows: DataFrame, path: str) -> None:
