@@ -182,7 +182,7 @@ _MARKS = T.PUNCTUATION.strip().replace("'", "''").replace("[", "\\[").replace("]
     l AS (SELECT *, CASE WHEN spoken THEN regexp_extract(word, '(?s)^(.*?)[{_MARKS}\pP]*$', 1) ELSE '' END AS lead FROM c),
     m AS (SELECT *, regexp_replace(substr(word, length(lead) + 1), '\s+', '', 'g') AS marks, CAST(regexp_matches(substr(word, length(lead) + 1), '[{ENDS}]') AS INT) AS closes FROM l),
     w AS (SELECT *, sum(closes) OVER o - closes AS sent, coalesce(last_value(CASE WHEN spoken THEN e END IGNORE NULLS) OVER o, s) AS anchor FROM m WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-    g AS (SELECT conv_id, turn, sent, trim(string_agg(word, '' ORDER BY pos), ' 	
+    g AS (SELECT conv_id, turn, sent, trim(string_agg(word, '' ORDER BY pos), ' 	
 ') AS text, arg_min(s, pos) FILTER (WHERE spoken) AS start, arg_max(e, pos) FILTER (WHERE spoken) AS "end", CAST(sum(CAST(spoken AS INT) + length(marks)) AS BIGINT) AS n_chars, sum(anchor * length(marks)) AS marks_s FROM w GROUP BY ALL)
     SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sent) AS index, start, "end", text, regexp_extract(text, '[{ENDS}]*$') AS punctuation, n_chars, marks_s FROM g WHERE regexp_matches(text, '[^\s\pP]')""")
 def subtitle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,38 @@ def realtime_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finals.finish(finals.settle(given), []).select("session_id", "utt", "text", F.col("text").isNull().alias("dropped"))
 
 
-@query()
+_UTTERANCES = f"""WITH RECURSIVE {FRAMES}, p AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, event_type = 'signup' AS flush, value / 1000 >= 0.01 AS loud FROM frames),
+    r AS (SELECT session_id, CAST(0 AS BIGINT) AS k, 0::BIGINT AS clock, 0::BIGINT AS utt, NULL::BIGINT AS start, 0::BIGINT AS commit_, NULL::BIGINT AS drp, 0::BIGINT AS speech, 0::BIGINT AS silence, 0::BIGINT AS partial_at, -1::BIGINT AS waiting,
+            false AS resumed, NULL::BIGINT AS quiet_from, []::STRUCT(a BIGINT, b BIGINT)[] AS quiet, NULL::STRUCT(kind VARCHAR, utt BIGINT, reason VARCHAR, s BIGINT, e BIGINT, c BIGINT, d BIGINT) AS m FROM p WHERE k = 1
+        UNION ALL SELECT session_id, k, now, utt + CAST(act IN ('hard_cut', 'soft_cut') OR (act IN ('flush', 'vad_end') AND start IS NOT NULL) AS BIGINT),
+            CASE WHEN act IN ('flush', 'vad_end') THEN NULL WHEN act IN ('hard_cut', 'soft_cut') THEN begin_ WHEN act IN ('idle', 'grace') THEN start ELSE start3 END,
+            CASE WHEN act IN ('hard_cut', 'soft_cut') THEN cut_at WHEN phase = 'run' THEN commit3 ELSE commit_ END,
+            CASE WHEN act IN ('flush', 'vad_end') THEN NULL WHEN act IN ('hard_cut', 'soft_cut') THEN cut_at ELSE drp END,
+            CASE WHEN act IN ('flush', 'vad_end') OR (phase = 'run' AND ended) THEN 0 WHEN phase = 'run' AND loud THEN speech + 400 ELSE speech END,
+            CASE WHEN act IN ('flush', 'vad_end') OR (phase = 'run' AND (ended OR loud)) THEN 0 WHEN phase = 'run' AND speech > 0 THEN silence + 400 ELSE silence END,
+            CASE WHEN act IN ('hard_cut', 'soft_cut', 'cadence') THEN now WHEN phase = 'run' THEN partial3 ELSE partial_at END,
+            CASE WHEN act = 'grace' THEN waiting + 400 WHEN act = 'ended' THEN 0 WHEN act = 'idle' THEN waiting ELSE -1 END,
+            CASE WHEN act IN ('flush', 'vad_end', 'hard_cut', 'soft_cut') THEN false WHEN phase = 'run' THEN resumed OR waiting >= 0 ELSE resumed END, quiet_from2,
+            CASE WHEN act IN ('flush', 'vad_end') THEN [] WHEN act IN ('hard_cut', 'soft_cut') THEN list_filter(quiet2, lambda q: q.a >= cut_at) ELSE quiet2 END,
+            CASE WHEN act IN ('flush', 'vad_end') AND start IS NOT NULL THEN {{'kind': 'final', 'utt': utt, 'reason': act, 's': start, 'e': now, 'c': commit_, 'd': drp}} WHEN act IN ('hard_cut', 'soft_cut') THEN {{'kind': 'final', 'utt': utt, 'reason': act, 's': start3, 'e': cut_at, 'c': commit3, 'd': drp}}
+                WHEN act = 'cadence' THEN {{'kind': 'partial', 'utt': utt, 'reason': act, 's': start3, 'e': now, 'c': commit3, 'd': drp}} END
+        FROM (SELECT *, CASE WHEN act = 'soft_cut' THEN before_ - gap // 2 WHEN best IS NULL THEN now ELSE (best.a + best.b) // 2 END AS cut_at,
+            CASE WHEN act = 'soft_cut' THEN greatest(start3, before_ - gap - 200) WHEN best IS NULL THEN now - 800 ELSE greatest((best.a + best.b) // 2 - 200, best.a) END AS begin_
+        FROM (SELECT *, CASE WHEN phase = 'flush' THEN 'flush' WHEN phase = 'grace' THEN CASE WHEN waiting + 400 >= 1200 THEN 'vad_end' ELSE 'grace' END WHEN phase = 'idle' THEN 'idle' WHEN now - commit3 >= 20000 THEN 'hard_cut' WHEN ended THEN 'ended'
+                WHEN NOT (resumed OR waiting >= 0) AND gap >= 500 AND gap < 600 AND now - commit3 >= 12000 THEN 'soft_cut' WHEN now - partial3 >= 1500 THEN 'cadence' ELSE 'none' END AS act,
+            list_sort(list_transform(list_filter(quiet2, lambda q: q.b <= now AND q.b - q.a >= 300 AND (q.a + q.b) / 2 >= now - 14000), lambda q: {{'far': now - (q.a + q.b) / 2, 'len': q.a - q.b, 'a': q.a, 'b': q.b}}))[1] AS best
+        FROM (SELECT *, CASE WHEN start IS NULL THEN start3 ELSE commit_ END AS commit3, CASE WHEN start IS NULL THEN now ELSE partial_at END AS partial3
+        FROM (SELECT *, coalesce(start, CASE WHEN drp IS NULL THEN greatest(0, before_ - 800) ELSE before_ END) AS start3, NOT loud AND speech > 0 AND silence + 400 >= CASE WHEN speech >= 800 THEN 600 ELSE 1000 END AS ended,
+            CASE WHEN flush THEN 'flush' WHEN waiting >= 0 AND NOT loud THEN 'grace' WHEN start IS NULL AND NOT loud THEN 'idle' ELSE 'run' END AS phase,
+            CASE WHEN heard THEN list_append(quiet, {{'a': quiet_from, 'b': before_}}) ELSE quiet END AS quiet2, CASE WHEN heard THEN before_ - quiet_from ELSE 0 END AS gap,
+            CASE WHEN flush THEN quiet_from WHEN loud THEN NULL ELSE coalesce(quiet_from, before_) END AS quiet_from2
+        FROM (SELECT r.* EXCLUDE (k, m), p.k, p.flush, p.loud, r.clock AS before_, r.clock + CASE WHEN p.flush THEN 0 ELSE 400 END AS now, NOT p.flush AND p.loud AND r.quiet_from IS NOT NULL AND r.start IS NOT NULL AS heard
+            FROM r JOIN p ON p.session_id = r.session_id AND p.k = r.k + 1))))))
+    SELECT session_id, m.kind AS kind, m.utt AS utt, m.reason AS reason, m.s AS start_ms, m.e AS end_ms, m.c AS commit_ms, m.d AS drop_ms FROM r WHERE m IS NOT NULL
+    UNION ALL SELECT session_id, 'final', utt, 'disconnect', start, clock, commit_, drp FROM r WHERE start IS NOT NULL AND (session_id, k) IN (SELECT (session_id, max(k)) FROM p GROUP BY session_id)"""
+
+
+@query(_UTTERANCES)
 def realtime_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1-3, STR5-7, STR11, STR16, WIN4, WIN5: events of a user as packets of 400 ms, folded to utterances."""
     seq = W.partitionBy("user_id").orderBy("us", "event_id")
@@ -232,7 +263,30 @@ def realtime_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return realtime.utterances(packets)
 
 
-@query()
+_SKIP = f"(length(text) - length(ltrim(substr(text, %s + 1), '{_LEFT}')))"
+_LEFTOVER = f"({_BARE % '%s'} = '' OR (length({_BARE % '%s'}) <= 4 AND contains(right(sp, length({_BARE % '%s'}) + 2), {_BARE % '%s'})))"
+_OFFSET = f"length(regexp_extract(text, '^(?s:[{_SILENT}]*[^{_SILENT}]){{' || n2 || '}}'))"
+_AT = "CASE WHEN substr(text, lead + 1, n) = right(core, n) THEN 0 WHEN substr(text, lead + 2, n) = right(core, n) THEN 1 WHEN substr(text, lead + 3, n) = right(core, n) THEN 2 END"
+_STRAY = _BARE % f"substr(text, lead + 1, {_AT})"
+_AGAIN = f"{_STRAY} <> '' AND n < 4 AND ends_with(sc, right(core, n)) AND (" + " OR ".join(f"(length(sc) >= length({_STRAY}) + {g} + n AND starts_with(right(sc, length({_STRAY}) + {g} + n), {_STRAY}))" for g in (1, 2)) + ")"
+
+
+@query(rf"""WITH RECURSIVE c AS (SELECT conv_id, text || ' ' AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL),
+    r AS (SELECT conv_id, CAST(0 AS BIGINT) AS k, '' AS acc, CAST(0 AS BIGINT) AS n_words FROM c WHERE k = 1
+        UNION ALL SELECT conv_id, k, CASE WHEN NOT keep THEN acc WHEN joins THEN rtrim(acc, ' {chr(9)}{_END}') || substr(ltrim(rest, ' {chr(9)}'), 2) ELSE acc || rest END,
+            n_words + CASE WHEN NOT keep THEN 0 WHEN cut = 0 THEN length(text) - length(replace(text, ' ', '')) ELSE length(tail) - length(replace(tail, ' ', '')) END
+        FROM (SELECT *, substr(text, cut, length(text) - cut) AS tail, acc = '' OR (NOT {_LEFTOVER % (("text",) * 4)} AND rest <> '' AND NOT {_LEFTOVER % (("rest",) * 4)}) AS keep,
+            acc <> '' AND rtrim(acc, ' {chr(9)}{_END}') <> '' AND left(ltrim(rest, ' {chr(9)}'), 1) = right(rtrim(acc, ' {chr(9)}{_END}'), 1) AS joins
+        FROM (SELECT *, substr(text, cut + 1) AS rest
+        FROM (SELECT *, CASE WHEN acc = '' OR found = 0 OR {_BARE % "substr(text, found + 1)"} <> '' THEN CASE WHEN acc = '' THEN 0 ELSE found END ELSE length(text) END AS cut
+        FROM (SELECT *, CASE WHEN n1 >= 2 THEN {_SKIP % "n1"} WHEN n2 >= least_n THEN {_SKIP % _OFFSET}
+            WHEN n3 IS NOT NULL THEN length(text) - length(ltrim(substr(text, lead + {_AT.replace(", n)", ", n3)")} + n3 + 1), '{T.JOINERS}')) ELSE 0 END AS found
+        FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(length(acc), length(text)) + 1), lambda n: right(acc, n) = left(text, n))), 0) AS n1,
+            coalesce(list_max(list_filter(range(1, least(length(sp), length(st)) + 1), lambda n: right(sp, n) = left(st, n))), 0) AS n2,
+            list_max(list_filter(range(least_n, least(length(core), length(text) - lead, 12) + 1), lambda n: {_AT} = 0 OR ({_AT} IS NOT NULL AND n > 1 AND length({_STRAY}) <= 1 AND NOT ({_AGAIN})))) AS n3
+        FROM (SELECT r.conv_id, c.k, c.text, r.acc, r.n_words, {_BARE % "r.acc"} AS sp, {_BARE % "c.text"} AS st, rtrim(r.acc, '{_LEFT}') AS core, {_BARE % f"rtrim(r.acc, '{_LEFT}')"} AS sc,
+            length(c.text) - length(ltrim(c.text, ' {chr(9)}')) AS lead, CASE WHEN regexp_matches(r.acc, '[{_END}][\s{_QUOTE}]*$') THEN 2 ELSE 1 END AS least_n FROM r JOIN c ON c.conv_id = r.conv_id AND c.k = r.k + 1)))))))
+    SELECT conv_id, md5(arg_max(acc, k)) AS text_md5, CAST(max(n_words) AS INT) AS n_words FROM r GROUP BY conv_id""")
 def stitched_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL19-23, JON15, FLT2, UDF-free part of ORC5: turns as chunks of one recording that overlap by two tokens."""
     tail = F.lag("words").over(W.partitionBy("conv_id").orderBy("turn"))
