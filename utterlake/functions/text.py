@@ -38,9 +38,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-def strip_terminal(text: Column) -> Column:
+def strip_terminal(text: Column, ends: str = SENTENCE_END) -> Column:
     """Without sentence ends at the end; closing quotes stay."""
-    return F.regexp_replace(text, rf"[{SENTENCE_END}]+([{QUOTES}]*)\z", "$1")
+    return F.regexp_replace(text, rf"[{ends}]+([{QUOTES}]*)\z", "$1")
 
 
 def strip_forced_stop(text: Column) -> Column:

@@ -224,7 +224,7 @@ def realtime_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finals.finish(finals.settle(given), []).select("session_id", "utt", "text", F.col("text").isNull().alias("dropped"))
 
 
-_UTTERANCES = f"""WITH RECURSIVE {FRAMES}, p AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, event_type = 'signup' AS flush, value / 1000 >= 0.01 AS loud FROM frames),
+UTTERANCES = f"""WITH RECURSIVE {FRAMES}, p AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, event_type = 'signup' AS flush, value / 1000 >= 0.01 AS loud FROM frames),
     r AS (SELECT session_id, CAST(0 AS BIGINT) AS k, 0::BIGINT AS clock, 0::BIGINT AS utt, NULL::BIGINT AS start, 0::BIGINT AS commit_, NULL::BIGINT AS drp, 0::BIGINT AS speech, 0::BIGINT AS silence, 0::BIGINT AS partial_at, -1::BIGINT AS waiting,
             false AS resumed, NULL::BIGINT AS quiet_from, []::STRUCT(a BIGINT, b BIGINT)[] AS quiet, NULL::STRUCT(kind VARCHAR, utt BIGINT, reason VARCHAR, s BIGINT, e BIGINT, c BIGINT, d BIGINT) AS m FROM p WHERE k = 1
         UNION ALL SELECT session_id, k, now, utt + CAST(act IN ('hard_cut', 'soft_cut') OR (act IN ('flush', 'vad_end') AND start IS NOT NULL) AS BIGINT),
@@ -255,7 +255,7 @@ _UTTERANCES = f"""WITH RECURSIVE {FRAMES}, p AS (SELECT user_id AS session_id, r
     UNION ALL SELECT session_id, 'final', utt, 'disconnect', start, clock, commit_, drp FROM r WHERE start IS NOT NULL AND (session_id, k) IN (SELECT (session_id, max(k)) FROM p GROUP BY session_id)"""
 
 
-@query(_UTTERANCES)
+@query(UTTERANCES)
 def realtime_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1-3, STR5-7, STR11, STR16, WIN4, WIN5: events of a user as packets of 400 ms, folded to utterances."""
     seq = W.partitionBy("user_id").orderBy("us", "event_id")

@@ -135,7 +135,7 @@ def hard_cut_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TOKENS}, k AS (SELECT conv_id, turn, s + 5000 AS s, e + 5000 AS e FROM timed)
     SELECT conv_id, turn, count(*) FILTER (WHERE s + e >= 2 * (turn * 120000 + 10000 - 150)) AS n_kept, min(s) FILTER (WHERE s + e >= 2 * (turn * 120000 + 10000 - 150)) AS first_ms FROM k GROUP BY ALL""")
 def drop_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ1, FLT1, AGG6: tokens shifted by a chunk's start, those before its cut dropped."""
+    """PRJ1, FLT1: tokens shifted by a chunk's start, those before its cut dropped."""
     kept = tokens.drop_overlap(tokens.shift(F.col("words"), 5000), F.col("turn") * 120_000 + 10_000, 150)
     rows = turns(spark, sf_dir).filter("words is not null").select("conv_id", "turn", kept.alias("kept"))
     return rows.select("conv_id", "turn", F.size("kept").cast("long").alias("n_kept"), F.array_min(F.transform("kept", lambda w: w["start"])).alias("first_ms"))
@@ -151,12 +151,11 @@ def suffix_prefix_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", T.suffix_prefix(F.col("p"), F.col("t")).cast("long").alias("overlap"), T.leftover_echo(F.col("p"), F.col("t")).alias("echo"))
 
 
-@query(f"""SELECT doc_id, regexp_replace(text, '[{ENDS}]+(["'']*)$', '\\1') AS bare, array_to_string(list_slice(w, greatest(len(w) - 4, 1), len(w)), ' ') AS tail
+@query(f"""SELECT doc_id, regexp_replace(text, '[{ENDS}]+(["''“”‘’]*)$', '\\1') AS bare, array_to_string(list_slice(w, greatest(len(w) - 4, 1), len(w)), ' ') AS tail
     FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents)""")
 def strip_and_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL7, SCL10: terminal marks stripped, and the words that are carried to the next chunk."""
-    bare = F.regexp_replace("text", rf"[{ENDS}]+([\"']*)\z", "$1")
-    return table(spark, sf_dir, "documents").select("doc_id", bare.alias("bare"), T.carry_tail(F.col("text")).alias("tail"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_terminal(F.col("text"), ENDS).alias("bare"), T.carry_tail(F.col("text")).alias("tail"))
 
 
 @query("""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part)
@@ -245,7 +244,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(greatest(0, event_id * 320 - 12800) AS BIGINT) AS origin, event_id * 320 // 8192 AS full_windows, round(greatest(0.3, value + 0.05), 3) AS window_s, CAST(least(512, greatest(32, floor(value * 8))) AS INT) AS budget FROM events""")
 def stream_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRJ4, PRJ5, PRJ6, PRJ7, SCL27: cursors of a packet stream by plain arithmetic."""
+    """PRJ4, PRJ5, PRJ7, SCL27: cursors of a packet stream by plain arithmetic."""
     n = F.col("event_id") * 320
     return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0), n - 12800).cast("long").alias("origin"), F.floor(n / 8192).cast("long").alias("full_windows"), F.round(F.greatest(F.lit(0.3), F.col("value") + 0.05), 3).alias("window_s"), T.token_budget(F.col("value")).alias("budget"))
 
@@ -270,7 +269,7 @@ def chunk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations)
     SELECT DISTINCT conv_id, turn, word FROM w WHERE NOT EXISTS (SELECT 1 FROM w p WHERE p.conv_id = w.conv_id AND p.turn = w.turn - 1 AND p.word = w.word)""")
 def new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET1, SET2: words of a turn that the turn before does not have, duplicates removed altogether."""
+    """SET2: words of a turn that the turn before does not have, duplicates removed altogether."""
     words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("word"))
     before = words.select("conv_id", (F.col("turn") + 1).alias("turn"), "word")
     return words.join(before, ["conv_id", "turn", "word"], "left_anti")
