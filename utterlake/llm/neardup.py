@@ -44,7 +44,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z is lower-cased, words end at ASCII white space."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.hashes = most, Cache(xxhash.xxh64_intdigest)
 
     def __call__(self, text: bytes) -> np.ndarray:

@@ -53,7 +53,7 @@ class WordIds:
     The cache is emptied when it holds ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         import tiktoken
         from tokenizers import Tokenizer
 
