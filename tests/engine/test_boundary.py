@@ -139,15 +139,12 @@ def test_pieces_of_a_long_recording(spark):
     assert stitch.pieces(df, "rec").filter("rec = 1").count() == 60
 
 
-def test_settings_gate_and_segments():
+def test_settings_and_segments():
     from utterlake import config
     from utterlake.functions.segments import clean_segments
-    from utterlake.streaming.gate import PartialGate
 
     s = config.load({"UTTERLAKE_OFFLINE_TARGET_S": "50", "UTTERLAKE_FLUSH_SILENCE_MS": "x", "UTTERLAKE_ITN": "off", "UTTERLAKE_SOFT_CUT_SILENCE_MS": "700"})
     assert not s.itn and s.flush_silence_ms == 600 and s.broken() == ["soft_cut_silence_ms < flush_silence_ms", "offline_target_s < offline_max_chunk_s"]
-    g = PartialGate()
-    assert g.ask(1) and not g.ask(1) and not g.ask(1) and g.done(1) and not g.done(1) and g.ask(1)
     seg = {"index": 1, "start": 0.0, "end": 1.0, "text": "呃好。", "punctuation": "。", "speaker": None, "chars": [{"text": c, "start": i / 10, "end": i / 10 + 0.1} for i, c in enumerate("呃好。")]}
     out = clean_segments([seg | {"text": "呃", "chars": []}, seg], lambda t: t.replace("呃", ""))
     assert [(x["index"], x["text"], x["start"], len(x["chars"])) for x in out] == [(1, "好。", 0.1, 2)]

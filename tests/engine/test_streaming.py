@@ -1,4 +1,5 @@
 import random
+import time
 
 from utterlake.functions import hotwords, tokensync
 from utterlake.streaming import realtime as R
@@ -30,13 +31,36 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(shuffled[k::3] + shuffled[:20], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = R.utterance_stream(stream).writeStream.format("memory").queryName("utterances").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.sql("select * from utterances").collect()), key=repr) == batch
+    q = R.utterance_stream(stream, patience_ms=600_000).writeStream.format("memory").queryName("utterances").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:  # timers keep a stream busy, so its end is awaited by what it gave
+        for _ in range(200):
+            got = sorted(map(tuple, spark.sql("select * from utterances").collect()), key=repr)
+            if len(got) >= len(batch):
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert got == batch
     assert {m[3] for m in batch} >= {"vad_end", "cadence", "stop"}
 
 
+def test_lost_packets_do_not_hold_a_stream(spark, tmp_path):
+    rows = [(1, k, "audio", 0.05 if k < 6 else 0.0, 400) for k in range(12) if k != 3] + [(2, k, "audio", 0.05, 400) for k in range(4)]
+    spark.createDataFrame(rows, "session_id long, seq long, kind string, rms double, length_ms int").coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = R.utterance_stream(stream, patience_ms=500, forget_ms=500).writeStream.format("memory").queryName("lost").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:
+        got = set()
+        for _ in range(240):
+            got = {(r.session_id, r.reason) for r in spark.sql("select * from lost where kind = 'final'").collect()}
+            if {s for s, _ in got} == {1, 2}:
+                break
+            time.sleep(0.5)
+        assert (2, "disconnect") in got and 1 in {s for s, _ in got}
+    finally:
+        q.stop()
+
+
 def run(pattern):
     s, out = R.State(), []
     for loud, n in pattern:

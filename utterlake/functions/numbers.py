@@ -188,11 +188,20 @@ def to_digits(text: str | None) -> str | None:
 
 
 def normalise(text: Column) -> Column:
-    """:func:`to_digits` on a column; texts without a numeral do not go through Python's work."""
+    """:func:`to_digits` on a column; texts without a numeral do not go through Python's work.
+
+    A text whose numerals cannot be read (one of thousands of digits) stays as it is.
+    """
+
+    def safe(text: str) -> str:
+        try:
+            return to_digits(text)
+        except ValueError:
+            return text
 
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:
-        return texts.map(to_digits, na_action="ignore")
+        return texts.map(safe, na_action="ignore")
 
     has = text.rlike(f"[{N}]|[0-9]点")
     return F.when(has, convert(F.when(has, text))).otherwise(text)

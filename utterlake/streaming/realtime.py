@@ -59,6 +59,7 @@ class State:
 
 
 Message = tuple[str, int, str, int, int, int, int | None]
+FIELDS = ["session_id", "kind", "utt", "reason", "start_ms", "end_ms", "commit_ms", "drop_ms"]
 OUT = "kind string, utt long, reason string, start_ms long, end_ms long, commit_ms long, drop_ms long"
 
 
@@ -167,23 +168,43 @@ def utterances(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return ordered_fold(packets, ["session_id"], ["seq"], lambda row: _Session(row, limits), f"session_id long, {OUT}")
 
 
-def utterance_stream(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
+#: Kinds after which a session says nothing more.
+LAST = ("end", "stop")
+
+
+def utterance_stream(packets: DataFrame, limits: Limits = Limits(), patience_ms: int = 10_000, forget_ms: int = 3_600_000) -> DataFrame:
     """Streaming: the same messages.  Packets that come early are held until those before them are there;
-    late and repeated ones are dropped, so a replayed batch adds nothing."""
+    late and repeated ones are dropped, so a replayed batch adds nothing.
+
+    After ``patience_ms`` without a packet of a session, one that is missing counts as lost and those held
+    go on; with none held the open utterance is closed.  A session that has ended, or said nothing more,
+    is forgotten after ``forget_ms``, so that neither packets nor sessions stay for ever.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(group.get[0]) if group.exists else {"next": 0, "held": {}, "state": asdict(State())}
-        state, held, following = State(**saved["state"]), saved["held"], saved["next"]
-        for b in batches:
-            for r in b[["seq", "kind", "rms", "length_ms"]].itertuples(index=False):
-                if r.seq >= following:
-                    held[str(r.seq)] = [None if pd.isna(r.rms) else float(r.rms), int(r.length_ms), r.kind]
-        out = []
-        while (p := held.pop(str(following), None)) is not None:
+        saved = json.loads(group.get[0]) if group.exists else {"next": 0, "held": [], "state": asdict(State()), "quiet": False}
+        state, held, following = State(**saved["state"]), dict(saved["held"]), saved["next"]
+        out: list[tuple] = []
+        lost = group.hasTimedOut
+        if lost and saved["quiet"]:
+            group.remove()
+            yield pd.DataFrame(out, columns=FIELDS)
+            return
+        if lost:
+            following = min(held, default=following)
+        else:
+            for b in batches:
+                for r in b[["seq", "kind", "rms", "length_ms"]].itertuples(index=False):
+                    if r.seq >= following:
+                        held[int(r.seq)] = [None if pd.isna(r.rms) else float(r.rms), int(r.length_ms), r.kind]
+        ended = saved["quiet"] and not held
+        while (p := held.pop(following, None)) is not None:
             out += [(key[0], *m) for m in step(state, *p, limits)]
-            following += 1
-        group.update((json.dumps({"next": following, "held": held, "state": asdict(state)}),))
-        frame = pd.DataFrame(out, columns=["session_id", "kind", "utt", "reason", "start_ms", "end_ms", "commit_ms", "drop_ms"])
-        yield frame.astype({"drop_ms": "Int64"})
-
-    return packets.groupBy("session_id").applyInPandasWithState(run, f"session_id long, {OUT}", "saved string", "append", GroupStateTimeout.NoTimeout)
+            following, ended = following + 1, p[2] in LAST
+        if lost and not out and not held:
+            out, ended = [(key[0], *m) for m in _close(state, "disconnect")], True
+        group.update((json.dumps({"next": following, "held": sorted(held.items()), "state": asdict(state), "quiet": ended}),))
+        group.setTimeoutDuration(forget_ms if ended else patience_ms)
+        yield pd.DataFrame(out, columns=FIELDS).astype({"drop_ms": "Int64"})
+
+    return packets.groupBy("session_id").applyInPandasWithState(run, f"session_id long, {OUT}", "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
