@@ -4,7 +4,7 @@ import wave
 
 import numpy as np
 
-from utterlake.operators.planner import plan_chunks
+from utterlake.operators.planner import Cuts
 from utterlake.sources import audio, logs
 
 
@@ -26,7 +26,8 @@ def test_scan_of_wav_files(spark, tmp_path):
     got = sorted((r.source_id[-5:], r.start, r.end) for r in audio.silences(frames).collect())
     assert [g[0] for g in got] == ["a.wav", "a.wav"]
     assert abs(got[0][1] - 1) < 0.04 and abs(got[0][2] - 2) < 0.04 and got[1][2] == 3.5
-    assert list(plan_chunks(3.5, [g[1:] for g in got])) == [(0.0, 3.5, "tail", None)]
+    cuts = Cuts(3.5)
+    assert [c for g in got for c in cuts.silence(*g[1:])] + list(cuts.finish()) == [(3.5, "tail")]
     loud = audio.resample(tone(1, 8_000), 8_000)
     assert len(loud) == 16_000 and abs(np.abs(loud[2000:14_000]).max() - 0.5) < 0.01
     assert np.abs(audio.band_pass(np.sin(2 * math.pi * 50 * np.arange(16_000) / 16_000))).max() < 0.05

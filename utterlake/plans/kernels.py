@@ -81,14 +81,14 @@ def spoken_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normalised(table(spark, sf_dir, "orders"), "o_orderkey", {"day": _say("在", numbers.spell_digits(F.year(d).cast("string")), "年", short, "日发货"), "short": _say(short, "号")})
 
 
-@query("""SELECT event_id, '上午' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS told, '今天' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') || ':' || lpad(CAST(second(ts) AS VARCHAR), 2, '0') AS full,
+@query("""SELECT event_id, '上午' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') AS told, '今天' || hour(ts) || ':' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') || ':' || lpad(CAST(second(ts) AS VARCHAR), 2, '0') AS whole,
     CASE WHEN minute(ts) >= 10 THEN hour(ts) || ':' || minute(ts) ELSE hour(ts) || '.0' || minute(ts) END AS bare, hour(ts) || '.' || lpad(CAST(minute(ts) AS VARCHAR), 2, '0') || '米' AS measure FROM events""")
 def spoken_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ITN5: clock times by a word of the day, by their marks or by a ten, and the decimals that are none."""
     hour, minute, second = (numbers.spell(f("ts")) for f in (F.hour, F.minute, F.second))
     two = lambda f, said: F.when(f("ts") < 10, _say("零", said)).otherwise(said)
     plain = numbers.spell_digits(F.lpad(F.minute("ts").cast("string"), 2, "0"))
-    said = {"told": _say("上午", hour, "点", two(F.minute, minute)), "full": _say("今天", hour, "点", two(F.minute, minute), "分", two(F.second, second), "秒"), "bare": _say(hour, "点", two(F.minute, minute)), "measure": _say(hour, "点", plain, "米")}
+    said = {"told": _say("上午", hour, "点", two(F.minute, minute)), "whole": _say("今天", hour, "点", two(F.minute, minute), "分", two(F.second, second), "秒"), "bare": _say(hour, "点", two(F.minute, minute)), "measure": _say(hour, "点", plain, "米")}
     return _normalised(table(spark, sf_dir, "events"), "event_id", said)
 
 
@@ -183,8 +183,8 @@ _MARKS = T.PUNCTUATION.strip().replace("'", "''").replace("[", "\\[").replace("]
     m AS (SELECT *, regexp_replace(substr(word, length(lead) + 1), '\s+', '', 'g') AS marks, CAST(regexp_matches(substr(word, length(lead) + 1), '[{ENDS}]') AS INT) AS closes FROM l),
     w AS (SELECT *, sum(closes) OVER o - closes AS sent, coalesce(last_value(CASE WHEN spoken THEN e END IGNORE NULLS) OVER o, s) AS anchor FROM m WINDOW o AS (PARTITION BY conv_id, turn ORDER BY pos ROWS UNBOUNDED PRECEDING)),
     g AS (SELECT conv_id, turn, sent, trim(string_agg(word, '' ORDER BY pos), ' 	
-') AS text, arg_min(s, pos) FILTER (WHERE spoken) AS start, arg_max(e, pos) FILTER (WHERE spoken) AS "end", CAST(sum(CAST(spoken AS INT) + length(marks)) AS BIGINT) AS n_chars, sum(anchor * length(marks)) AS marks_s FROM w GROUP BY ALL)
-    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sent) AS index, start, "end", text, regexp_extract(text, '[{ENDS}]*$') AS punctuation, n_chars, marks_s FROM g WHERE regexp_matches(text, '[^\s\pP]')""")
+') AS text, arg_min(s, pos) FILTER (WHERE spoken) AS start_s, arg_max(e, pos) FILTER (WHERE spoken) AS end_s, CAST(sum(CAST(spoken AS INT) + length(marks)) AS BIGINT) AS n_chars, sum(anchor * length(marks)) AS marks_s FROM w GROUP BY ALL)
+    SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sent) AS index, start_s, end_s, text, regexp_extract(text, '[{ENDS}]*$') AS punctuation, n_chars, marks_s FROM g WHERE regexp_matches(text, '[^\s\pP]')""")
 def subtitle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEG1, WIN8-10, AGG15, SNK1: turns as subtitle segments, marks at the end of what was spoken before them."""
     spaced = F.when(F.col("turn") % 2 == 1, F.replace(F.replace("text", F.lit("."), F.lit(" .")), F.lit(","), F.lit(" ,"))).otherwise(F.col("text"))
@@ -192,7 +192,7 @@ def subtitle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(spaced, " ", -1), lambda w, i: F.struct(w.alias("word"), at(i).alias("start"), (at(i) + 0.125).alias("end"))).alias("words"))
     made = segments.transcript_segments(rows, ["conv_id", "turn"], "words", None, ENDS)
     marks = F.aggregate(F.filter("chars", lambda c: c["start"] == c["end"]), F.lit(0.0), lambda x, c: x + c["start"])
-    return made.select("conv_id", "turn", "index", "start", "end", "text", "punctuation", F.size("chars").cast("long").alias("n_chars"), marks.alias("marks_s"))
+    return made.select("conv_id", "turn", "index", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "punctuation", F.size("chars").cast("long").alias("n_chars"), marks.alias("marks_s"))
 
 
 _BARE = f"translate(%s, '{PUNCT}', '')"

@@ -39,11 +39,11 @@ def pre_roll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS size FROM events), b AS (SELECT event_id, size, unnest(range(0, (size - 1) // 4000 + 1)) AS k FROM e WHERE size > 0)
-    SELECT event_id, k * 4000 AS start, least((k + 1) * 4000, size) AS "end", (k + 1) * 4000 <= size AS complete FROM b""")
+    SELECT event_id, k * 4000 AS start, least((k + 1) * 4000, size) AS stop, (k + 1) * 4000 <= size AS complete FROM b""")
 def partial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN15, STR12: the blocks in which a growing utterance is decoded."""
     size = F.floor(F.col("value") * 100).cast("long")
-    return table(spark, sf_dir, "events").select("event_id", F.explode(P.partial_blocks(size, 4000)).alias("b")).select("event_id", F.col("b.start").cast("long").alias("start"), F.col("b.end").alias("end"), "b.complete")
+    return table(spark, sf_dir, "events").select("event_id", F.explode(P.partial_blocks(size, 4000)).alias("b")).select("event_id", F.col("b.start").cast("long").alias("start"), F.col("b.end").alias("stop"), "b.complete")
 
 
 @query(f"""WITH u AS ({UTTERANCES}), b AS (SELECT *, end_ms // 4000 AS batch FROM u),
