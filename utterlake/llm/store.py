@@ -7,11 +7,14 @@ temporary folder made if the setting is absent.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -44,6 +47,17 @@ _HELD: dict[tuple, Any] = {}
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """A Python worker's encoder or cache.  A worker outlives its tasks, so what another operator left is let go first."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def _give_back() -> None:
+    """Hands freed memory of this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
