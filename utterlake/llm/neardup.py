@@ -15,7 +15,7 @@ reach the threshold: links inside a component change nothing.  Every link is con
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles; A-Z is lower-cased, words end at ASCII white space."""
 
-    def __init__(self, most: int = 150_000):
-        self.most, self.hashes = most, Cache(xxhash.xxh64_intdigest)
+    def __init__(self, words: int = WORDS, most: int = 150_000):
+        self.words, self.most, self.hashes = words, most, Cache(xxhash.xxh64_intdigest)
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
@@ -54,7 +54,7 @@ class Shingler:
         w = np.fromiter(map(self.hashes.__getitem__, words), U64, len(words))
         if not len(w):
             return w
-        span = min(WORDS, len(w))
+        span = min(self.words, len(w))
         h = np.full(len(w) - span + 1, span, U64)
         for k in range(span):
             h = h * P + w[k : len(w) - span + 1 + k]
@@ -70,7 +70,7 @@ def signature(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut_up = per_worker(("shingles",), Shingler)
+    cut_up = per_worker(("shingles", WORDS), Shingler)
     for batch in batches:
         n, key, sig = [], [], []
         for t in batch.column(1):
@@ -101,14 +101,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(rep), pa.array(n)], names=["key", "rep", "n"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut_up = per_worker(("shingles",), Shingler)
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            sets = [cut_up(t.as_py()).view(np.int64) for t in part.column(1)]
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["rep", "shingles"])
+def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_up = per_worker(("shingles", words), lambda: Shingler(words))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [cut_up(t.as_py()).view(np.int64) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["rep", "shingles"])
+
+    return run
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -134,7 +137,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000, words: int = WORDS) -> DataFrame:
     """Full sets of some documents, written: rep, shingles.
 
     The ids are broadcast if a count shows at most ``most_broadcast`` (of 8 bytes); else both sides
@@ -143,17 +146,16 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_00
     ids = cut(ids, "ids")
     if ids.count() <= most_broadcast:
         ids = F.broadcast(ids)
-    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>"), "sets")
+    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
 
 
-def rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of unlike labels among ``members`` (rep, label) that may meet the threshold; exact.
+def rare_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of unlike labels among ``members`` (rep, label), whose ``sets`` are given, that may meet the threshold; exact.
 
     Shingles are ordered from the rarest to the most frequent.  Of two sets that meet the threshold, the
     first shared one lies so early in both that what follows still holds the least overlap.  Shingles of a
     passage that many documents share come last, and own edits of near copies first, so neither makes pairs.
     """
-    sets = shingle_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct())
     tokens = sets.join(members, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = tokens.groupBy("s").agg(F.count("*").alias("df"))
     order = W.partitionBy("rep", "n").orderBy("df", "s")
@@ -205,8 +207,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     label = F.coalesce("label", "rep").alias("label")
     now = grouped.join(labels, grouped["rep"] == labels["node"], "left").select("key", "rep", "n", label)
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = cut(now.join(mixed, "key"), "rest")
-    more = confirm(source, rare_pairs(source, rest.select("rep", "label").distinct(), percent).join(stars, ["a", "b"], "left_anti"), percent)
+    rest = cut(now.join(mixed, "key").select("rep", "label").distinct(), "rest")
+    sets = shingle_sets(source, rest.select(F.col("rep").alias("doc_id")))
+    more = confirm(source, rare_pairs(sets, rest, percent).join(stars, ["a", "b"], "left_anti"), percent)
     ends = cut(components(links.unionByName(more)), "ends")
 
     label = F.coalesce("label", "rep").alias("component_id")
@@ -225,7 +228,7 @@ def keep_one_each(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """
     own = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(2**62))
     named = docs.select(own.alias("doc_id"), "text")
-    kept = cut(near_duplicates(named, percent=percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    out = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    rest = docs.filter("doc_id is null").join(kept, own == F.col("kept_id"), "left_semi")
-    return out.unionByName(rest.dropDuplicates(["text"]))
+    kept = cut(near_duplicates(named, percent=percent).filter("kept").select(F.col("doc_id").alias("own")).distinct(), "kept")
+    # a row travels as one column, so that no name of its own meets one made here
+    rows = docs.select(own.alias("own"), "text", F.struct(*docs.columns).alias("row")).join(kept, "own", "left_semi")
+    return rows.filter("row.doc_id is not null").unionByName(rows.filter("row.doc_id is null").dropDuplicates(["own", "text"])).select("row.*")
