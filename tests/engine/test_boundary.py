@@ -139,12 +139,42 @@ def test_pieces_of_a_long_recording(spark):
     assert stitch.pieces(df, "rec").filter("rec = 1").count() == 60
 
 
-def test_settings_and_segments():
+def test_settings():
     from utterlake import config
-    from utterlake.functions.segments import clean_segments
 
     s = config.load({"UTTERLAKE_OFFLINE_TARGET_S": "50", "UTTERLAKE_FLUSH_SILENCE_MS": "x", "UTTERLAKE_ITN": "off", "UTTERLAKE_SOFT_CUT_SILENCE_MS": "700"})
     assert not s.itn and s.flush_silence_ms == 600 and s.broken() == ["soft_cut_silence_ms < flush_silence_ms", "offline_target_s < offline_max_chunk_s"]
-    seg = {"index": 1, "start": 0.0, "end": 1.0, "text": "呃好。", "punctuation": "。", "speaker": None, "chars": [{"text": c, "start": i / 10, "end": i / 10 + 0.1} for i, c in enumerate("呃好。")]}
-    out = clean_segments([seg | {"text": "呃", "chars": []}, seg], lambda t: t.replace("呃", ""))
-    assert [(x["index"], x["text"], x["start"], len(x["chars"])) for x in out] == [(1, "好。", 0.1, 2)]
+
+
+def test_fillers_leave_finished_segments(spark):
+    """Only segments that change lose characters and take new times; pieces kept in part stay in part."""
+    from utterlake.functions.segments import clean_segments
+
+    schema = "rec long, index long, start double, end double, text string, punctuation string, speaker string, chars array<struct<text:string,start:double,end:double>>"
+    c = lambda *xs: [(t, float(s), float(e)) for t, s, e in xs]
+    rows = [
+        (1, 1, 1.0, 1.2, "呃，", "", None, c(("呃", 1, 1.2), ("，", 1.2, 1.2))),
+        (1, 2, 1.0, 2.3, "嗯，对。", "。", None, c(("嗯", 1, 1.2), ("，", 1.2, 1.2), ("对", 2, 2.3), ("。", 2.3, 2.3))),
+        (1, 3, 0.0, 4.0, "，好", "", None, c(("，", 0, 0), ("好", 3, 4))),
+        (1, 4, 5.0, 6.0, "呃我说", "", None, c(("呃我", 5, 5.5), ("说", 5.5, 6))),
+        (1, 5, 7.0, 8.0, "呃好！", "！", None, c(("别", 7, 8))),
+        (2, 1, 0.0, 1.0, "嗯嗯", "", None, None),
+    ]
+    got = [(r.rec, r["index"], r.start, r.end, r.text, r.punctuation, [tuple(x) for x in r.chars]) for r in clean_segments(spark.createDataFrame(rows, schema), ["rec"]).orderBy("rec", "index").collect()]
+    assert got == [
+        (1, 1, 2.0, 2.3, "对。", "。", [("对", 2.0, 2.3), ("。", 2.3, 2.3)]), (1, 2, 0.0, 4.0, "，好", "", [("，", 0.0, 0.0), ("好", 3.0, 4.0)]),
+        (1, 3, 5.0, 6.0, "我说", "", [("我", 5.0, 5.5), ("说", 5.5, 6.0)]), (1, 4, 7.0, 8.0, "好！", "！", []),
+    ]
+
+
+def test_words_follow_a_rewrite():
+    from utterlake.functions.tokensync import sync_to_rewrite
+
+    timed = lambda *ws: [(w, float(i), float(i + 1)) for i, w in enumerate(ws)]
+    assert sync_to_rewrite(timed(*"五千克"), "5kg") == [("5kg", 0.0, 3.0)]
+    assert sync_to_rewrite(timed("1", "5"), "15") == [("15", 0.0, 2.0)]
+    assert sync_to_rewrite(timed(*"你好"), "") == timed(*"你好")
+    assert sync_to_rewrite(timed(*"有十五个人"), "有15个人") == [("有", 0.0, 1.0), ("15", 1.0, 3.0), ("个", 3.0, 4.0), ("人", 4.0, 5.0)]
+    assert sync_to_rewrite(timed("用", "Chat", "GPT", "写"), "用ChatGPT写。") == [("用", 0.0, 1.0), ("ChatGPT", 1.0, 3.0), ("写", 3.0, 4.0), ("。", 4.0, 4.0)]
+    assert sync_to_rewrite(timed("A1", "2"), "A12") == timed("A1", "2")
+    assert sync_to_rewrite([], "x") == []

@@ -68,16 +68,6 @@ def test_finals_in_order(spark):
     assert "".join(x.word for x in out[1, 1].words) == "15个人来了。" and out[1, 1].words[0].word == "15" and out[1, 1].start == 0.8
 
 
-def test_guard():
-    calls = []
-
-    def decode(source, start, end):
-        calls.append((start, end))
-        return ("", []) if end - start > 20 else (f"{start:.0f}", [])
-
-    assert offline.guarded(decode, 0, 0.0, 30.0)[0] == "015" and calls == [(0.0, 30.0), (0.0, 30.0), (0.0, 15.0), (15.0, 30.0)]
-
-
 def test_registry_runs_without_llm():
     from utterlake.plans import registry
 

@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
-def clean_segments(segments: list[dict], clean: Callable[[str], str]) -> list[dict]:
-    """Segments with cleaned text; empty ones go and the rest are numbered anew from 1.
+from .text import SENTENCE_END, clean_fillers
 
-    Character times that the cleaned text still has stay; where characters and text do not match, all go.
-    """
-    out = []
-    for s in segments:
-        text = clean(s["text"])
-        if not text:
-            continue
-        chars = s["chars"] or []
-        if text != s["text"] and chars:
-            raw = "".join(c["text"] for c in chars)
-            whole = re.sub(r"\s", "", s["text"]) == re.sub(r"\s", "", raw)
-            held = {i for m in SequenceMatcher(None, raw, text, autojunk=False).get_matching_blocks() for i in range(m.a, m.a + m.size)}
-            at, kept = 0, []
-            for c in chars:
-                if all(i in held for i in range(at, at + len(c["text"]))):
-                    kept.append(c)
-                at += len(c["text"])
-            chars = kept if whole else []
-        spoken = [c for c in chars if re.search(r"\w", c["text"])]
-        start, end = (spoken[0]["start"], spoken[-1]["end"]) if spoken else (s["start"], s["end"])
-        out.append(s | {"index": len(out) + 1, "text": text, "chars": chars, "start": start, "end": end, "punctuation": re.search("[。！？；!?]*$", text)[0]})
+CHARS = ArrayType(StructType().add("text", StringType()).add("start", DoubleType()).add("end", DoubleType()))
+
+
+def kept_chars(chars: list[dict], text: str, clean: str) -> list[dict]:
+    """What of the timed pieces of ``text`` a shorter text still has; none if a piece is not in the text."""
+    left = [False] * len(text)
+    for at, _, n in SequenceMatcher(None, text, clean, autojunk=False).get_matching_blocks():
+        left[at : at + n] = [True] * n
+    out, at = [], 0
+    for c in chars:
+        at = text.find(c["text"], at)
+        if at < 0:
+            return []
+        piece = "".join(x for x, stays in zip(c["text"], left[at:], strict=False) if stays)
+        at += len(c["text"])
+        if piece:
+            out.append({"text": piece, "start": c["start"], "end": c["end"]})
     return out
+
+
+@F.pandas_udf(CHARS)
+def _kept(chars: pd.Series, text: pd.Series, clean: pd.Series) -> pd.Series:
+    return pd.Series([kept_chars(list(c if c is not None else ()), t, n) for c, t, n in zip(chars, text, clean, strict=True)], dtype=object)
+
+
+def clean_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments (``keys``, index, start, end, text, punctuation, chars, ...) with cleaned text.
+
+    Empty ones go and the rest are numbered anew from 1.  Only segments that change lose characters, and take
+    start and end from those that are left; the others need no worker.
+    """
+    rows = segments.withColumn("clean", clean_fillers(F.col("text"))).filter(F.coalesce(F.col("clean"), F.lit("")) != "")
+    same, other = rows.filter(F.col("clean") == F.col("text")), rows.filter(F.col("clean") != F.col("text"))
+    other = other.withColumn("chars", _kept("chars", "text", "clean"))
+    some = F.size("chars") > 0
+    other = other.withColumn("start", F.when(some, F.element_at("chars", 1)["start"]).otherwise(F.col("start"))).withColumn("end", F.when(some, F.element_at("chars", -1)["end"]).otherwise(F.col("end")))
+    other = other.withColumn("punctuation", F.regexp_extract("clean", f"[{SENTENCE_END}]*$", 0))
+    found = same.unionByName(other).withColumn("text", F.col("clean")).drop("clean")
+    return found.withColumn("index", F.row_number().over(W.partitionBy(*keys).orderBy("index")).cast("long"))

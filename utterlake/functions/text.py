@@ -117,10 +117,9 @@ def language_name(code: Column) -> Column:
     return F.coalesce(known[F.lower(raw)], F.when(raw != "", F.concat(F.upper(F.left(raw, F.lit(1))), F.lower(F.substr(raw, F.lit(2))))))
 
 
-#: Hesitation sounds, and what follows where the same character is a word of its own.
-SOUNDS = {"呃": "逆", "嗯": "嗯哼", "哎": "哎呀哟"}
-#: A sound that is one only where no letter or ideograph stands before it.
-LONE_SOUND = "啊"
+#: Hesitation sounds, less words that begin with them; and one that is a filler only where no word ends.
+SOUNDS = "呃+(?!逆)|嗯+(?![嗯哼])|哎+(?![哎呀哟])"
+LONE_SOUND = "(?<![\u4e00-\u9fffA-Za-z0-9])啊+"
 
 
 def clean_fillers(text: Column) -> Column:
@@ -129,8 +128,7 @@ def clean_fillers(text: Column) -> Column:
     Marks that a sound stood between become one: of two pauses a comma, of two stops a full stop, of a
     pause and a stop the stop.  Blanks between ideographs go, and so do marks left at either end.
     """
-    heard = "|".join(f"{c}+(?![{word}])" for c, word in SOUNDS.items())
-    cut = F.regexp_replace(text, rf"{heard}|(?<![一-鿿A-Za-z0-9]){LONE_SOUND}+", "")
+    cut = F.regexp_replace(F.regexp_replace(text, SOUNDS, ""), LONE_SOUND, "")
     pause, stop, halt = "，,、", "。；;", "。；;！？!?"
     tidy = F.regexp_replace(cut, rf"(?U)[{pause}](?:\s*[{pause}])+", "，")
     tidy = F.regexp_replace(tidy, rf"(?U)[{stop}](?:\s*[{stop}])+", "。")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hotwords, numbers, tokensync
 from ..functions import text as T
 from ..operators import intervals, planner, segments, stitch
-from ..streaming import finals, realtime
+from ..streaming import finals
 from .native import ENDS, FRAMES, HOUR, ISLANDS, PUNCT, QUERIES, SQL, frames, query, silence_islands, table, turns
 
 __all__ = ["QUERIES", "SQL"]
@@ -156,21 +156,34 @@ def lexicon_correction(spark: SparkSession, sf_dir: str, least: float = 0.75, mo
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, corrected string, n_changed long, score double")
 
 
-@query(f"""WITH RECURSIVE {ISLANDS}, f AS (SELECT user_id, min(us) AS t0, (max(us) - min(us)) / {HOUR} AS duration FROM frames GROUP BY user_id),
-    q AS (SELECT user_id, list({{'s': (start_us - t0) / {HOUR}, 'e': (end_us - t0) / {HOUR}}} ORDER BY start_us) AS q FROM islands JOIN f USING (user_id) GROUP BY user_id),
-    r AS (SELECT f.user_id, -1 AS chunk, 0.0::DOUBLE AS place, 'start' AS kind, 0.0::DOUBLE AS before, 'none' AS how, duration, coalesce(q, []) AS q FROM f LEFT JOIN q USING (user_id)
-        UNION ALL SELECT user_id, chunk + 1, CASE WHEN tail THEN duration ELSE coalesce(best.m, least(duration, place + 40)) END, CASE WHEN tail THEN 'tail' WHEN best IS NULL THEN 'hard' ELSE 'silence' END, place, kind, duration, q
-        FROM (SELECT *, duration - place <= 40 + 1e-6 AS tail, list_sort(list_filter(list_transform(q, lambda x: CASE
-                WHEN x.e - x.s >= 0.2 AND least(x.e, least(duration, place + 40)) > greatest(x.s, place + 30) AND x.s < least(duration, place + 40) AND (x.s + x.e) / 2 > place AND (x.s + x.e) / 2 <= least(duration, place + 40)
-                THEN {{'t': CAST(x.e - x.s < 0.4 AS INT), 'k': abs((x.s + x.e) / 2 - (place + 35)) - 0.3 * (x.e - x.s), 's': x.s, 'm': (x.s + x.e) / 2}} END), lambda c: c IS NOT NULL))[1] AS best FROM r WHERE kind <> 'tail' AND place < duration - 1e-6))
-    SELECT user_id, chunk, round(greatest(0.0, CASE how WHEN 'hard' THEN before - 1.5 WHEN 'silence' THEN before - 0.4 ELSE 0.0 END), 3) AS audio_start, round(place, 3) AS audio_end, kind, CASE WHEN how IN ('hard', 'silence') THEN before END AS drop_before
-    FROM r WHERE chunk >= 0""")
-def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ORC1, HLP1, JON3: plans for recordings made of events, an hour as a second."""
+_RECORDINGS = f"""{ISLANDS}, f AS (SELECT user_id, min(us) AS t0, (max(us) - min(us)) / {HOUR} AS duration FROM frames GROUP BY user_id),
+    sil AS (SELECT user_id, (start_us - t0) / {HOUR} AS s, (end_us - t0) / {HOUR} AS e FROM islands JOIN f USING (user_id))"""
+
+
+def plan_sql(name: str, recordings: str, silences: str, key: str, target: float, search: float, longest: float) -> str:
+    """Recursive SQL of the plans of ``recordings`` (key, duration) with ``silences`` (key, s, e)."""
+    return f"""{name}_q AS (SELECT {key}, list({{'s': s, 'e': e}} ORDER BY s) AS q FROM {silences} GROUP BY {key}),
+    {name}_r AS (SELECT f.{key}, -1 AS chunk, 0.0::DOUBLE AS place, 'start' AS kind, 0.0::DOUBLE AS before, 'none' AS how, duration, coalesce(q, []) AS q FROM {recordings} f LEFT JOIN {name}_q USING ({key})
+        UNION ALL SELECT {key}, chunk + 1, CASE WHEN tail THEN duration ELSE coalesce(best.m, least(duration, place + {longest})) END, CASE WHEN tail THEN 'tail' WHEN best IS NULL THEN 'hard' ELSE 'silence' END, place, kind, duration, q
+        FROM (SELECT *, duration - place <= {longest} + 1e-6 AS tail, list_sort(list_filter(list_transform(q, lambda x: CASE
+                WHEN x.e - x.s >= 0.2 AND least(x.e, least(duration, place + {longest})) > greatest(x.s, place + {target - search}) AND x.s < least(duration, place + {longest}) AND (x.s + x.e) / 2 > place AND (x.s + x.e) / 2 <= least(duration, place + {longest})
+                THEN {{'t': CAST(x.e - x.s < 0.4 AS INT), 'k': abs((x.s + x.e) / 2 - (place + {target})) - 0.3 * (x.e - x.s), 's': x.s, 'm': (x.s + x.e) / 2}} END), lambda c: c IS NOT NULL))[1] AS best FROM {name}_r WHERE kind <> 'tail' AND place < duration - 1e-6)),
+    {name} AS (SELECT {key}, chunk, round(greatest(0.0, CASE how WHEN 'hard' THEN before - 1.5 WHEN 'silence' THEN before - 0.4 ELSE 0.0 END), 3) AS audio_start, round(place, 3) AS audio_end, kind, CASE WHEN how IN ('hard', 'silence') THEN before END AS drop_before
+        FROM {name}_r WHERE chunk >= 0)"""
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as recordings, an hour as a second: durations and silences."""
     rows = frames(spark, sf_dir)
     first = rows.groupBy("user_id").agg(F.min("us").alias("t0"), ((F.max("us") - F.min("us")) / HOUR).alias("duration"))
     quiet = silence_islands(spark, sf_dir).join(first, "user_id").select("user_id", ((F.col("start_us") - F.col("t0")) / HOUR).alias("start"), ((F.col("end_us") - F.col("t0")) / HOUR).alias("end"))
-    return planner.chunk_plans(first.select("user_id", "duration"), quiet, "user_id")
+    return first.select("user_id", "duration"), quiet
+
+
+@query(f"WITH RECURSIVE {_RECORDINGS}, {plan_sql('p', 'f', 'sil', 'user_id', 35, 5, 40)} SELECT * FROM p")
+def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ORC1, HLP1, JON3: plans for recordings made of events, an hour as a second."""
+    return planner.chunk_plans(*recordings(spark, sf_dir), "user_id")
 
 
 _MARKS = T.PUNCTUATION.strip().replace("'", "''").replace("[", "\\[").replace("]", "\\]").replace("-", "\\-")
@@ -224,45 +237,6 @@ def realtime_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finals.finish(finals.settle(given), []).select("session_id", "utt", "text", F.col("text").isNull().alias("dropped"))
 
 
-UTTERANCES = f"""WITH RECURSIVE {FRAMES}, p AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, event_type = 'signup' AS flush, value / 1000 >= 0.01 AS loud FROM frames),
-    r AS (SELECT session_id, CAST(0 AS BIGINT) AS k, 0::BIGINT AS clock, 0::BIGINT AS utt, NULL::BIGINT AS start, 0::BIGINT AS commit_, NULL::BIGINT AS drp, 0::BIGINT AS speech, 0::BIGINT AS silence, 0::BIGINT AS partial_at, -1::BIGINT AS waiting,
-            false AS resumed, NULL::BIGINT AS quiet_from, []::STRUCT(a BIGINT, b BIGINT)[] AS quiet, NULL::STRUCT(kind VARCHAR, utt BIGINT, reason VARCHAR, s BIGINT, e BIGINT, c BIGINT, d BIGINT) AS m FROM p WHERE k = 1
-        UNION ALL SELECT session_id, k, now, utt + CAST(act IN ('hard_cut', 'soft_cut') OR (act IN ('flush', 'vad_end') AND start IS NOT NULL) AS BIGINT),
-            CASE WHEN act IN ('flush', 'vad_end') THEN NULL WHEN act IN ('hard_cut', 'soft_cut') THEN begin_ WHEN act IN ('idle', 'grace') THEN start ELSE start3 END,
-            CASE WHEN act IN ('hard_cut', 'soft_cut') THEN cut_at WHEN phase = 'run' THEN commit3 ELSE commit_ END,
-            CASE WHEN act IN ('flush', 'vad_end') THEN NULL WHEN act IN ('hard_cut', 'soft_cut') THEN cut_at ELSE drp END,
-            CASE WHEN act IN ('flush', 'vad_end') OR (phase = 'run' AND ended) THEN 0 WHEN phase = 'run' AND loud THEN speech + 400 ELSE speech END,
-            CASE WHEN act IN ('flush', 'vad_end') OR (phase = 'run' AND (ended OR loud)) THEN 0 WHEN phase = 'run' AND speech > 0 THEN silence + 400 ELSE silence END,
-            CASE WHEN act IN ('hard_cut', 'soft_cut', 'cadence') THEN now WHEN phase = 'run' THEN partial3 ELSE partial_at END,
-            CASE WHEN act = 'grace' THEN waiting + 400 WHEN act = 'ended' THEN 0 WHEN act = 'idle' THEN waiting ELSE -1 END,
-            CASE WHEN act IN ('flush', 'vad_end', 'hard_cut', 'soft_cut') THEN false WHEN phase = 'run' THEN resumed OR waiting >= 0 ELSE resumed END, quiet_from2,
-            CASE WHEN act IN ('flush', 'vad_end') THEN [] WHEN act IN ('hard_cut', 'soft_cut') THEN list_filter(quiet2, lambda q: q.a >= cut_at) ELSE quiet2 END,
-            CASE WHEN act IN ('flush', 'vad_end') AND start IS NOT NULL THEN {{'kind': 'final', 'utt': utt, 'reason': act, 's': start, 'e': now, 'c': commit_, 'd': drp}} WHEN act IN ('hard_cut', 'soft_cut') THEN {{'kind': 'final', 'utt': utt, 'reason': act, 's': start3, 'e': cut_at, 'c': commit3, 'd': drp}}
-                WHEN act = 'cadence' THEN {{'kind': 'partial', 'utt': utt, 'reason': act, 's': start3, 'e': now, 'c': commit3, 'd': drp}} END
-        FROM (SELECT *, CASE WHEN act = 'soft_cut' THEN before_ - gap // 2 WHEN best IS NULL THEN now ELSE (best.a + best.b) // 2 END AS cut_at,
-            CASE WHEN act = 'soft_cut' THEN greatest(start3, before_ - gap - 200) WHEN best IS NULL THEN now - 800 ELSE greatest((best.a + best.b) // 2 - 200, best.a) END AS begin_
-        FROM (SELECT *, CASE WHEN phase = 'flush' THEN 'flush' WHEN phase = 'grace' THEN CASE WHEN waiting + 400 >= 1200 THEN 'vad_end' ELSE 'grace' END WHEN phase = 'idle' THEN 'idle' WHEN now - commit3 >= 20000 THEN 'hard_cut' WHEN ended THEN 'ended'
-                WHEN NOT (resumed OR waiting >= 0) AND gap >= 500 AND gap < 600 AND now - commit3 >= 12000 THEN 'soft_cut' WHEN now - partial3 >= 1500 THEN 'cadence' ELSE 'none' END AS act,
-            list_sort(list_transform(list_filter(quiet2, lambda q: q.b <= now AND q.b - q.a >= 300 AND (q.a + q.b) / 2 >= now - 14000), lambda q: {{'far': now - (q.a + q.b) / 2, 'len': q.a - q.b, 'a': q.a, 'b': q.b}}))[1] AS best
-        FROM (SELECT *, CASE WHEN start IS NULL THEN start3 ELSE commit_ END AS commit3, CASE WHEN start IS NULL THEN now ELSE partial_at END AS partial3
-        FROM (SELECT *, coalesce(start, CASE WHEN drp IS NULL THEN greatest(0, before_ - 800) ELSE before_ END) AS start3, NOT loud AND speech > 0 AND silence + 400 >= CASE WHEN speech >= 800 THEN 600 ELSE 1000 END AS ended,
-            CASE WHEN flush THEN 'flush' WHEN waiting >= 0 AND NOT loud THEN 'grace' WHEN start IS NULL AND NOT loud THEN 'idle' ELSE 'run' END AS phase,
-            CASE WHEN heard THEN list_append(quiet, {{'a': quiet_from, 'b': before_}}) ELSE quiet END AS quiet2, CASE WHEN heard THEN before_ - quiet_from ELSE 0 END AS gap,
-            CASE WHEN flush THEN quiet_from WHEN loud THEN NULL ELSE coalesce(quiet_from, before_) END AS quiet_from2
-        FROM (SELECT r.* EXCLUDE (k, m), p.k, p.flush, p.loud, r.clock AS before_, r.clock + CASE WHEN p.flush THEN 0 ELSE 400 END AS now, NOT p.flush AND p.loud AND r.quiet_from IS NOT NULL AND r.start IS NOT NULL AS heard
-            FROM r JOIN p ON p.session_id = r.session_id AND p.k = r.k + 1))))))
-    SELECT session_id, m.kind AS kind, m.utt AS utt, m.reason AS reason, m.s AS start_ms, m.e AS end_ms, m.c AS commit_ms, m.d AS drop_ms FROM r WHERE m IS NOT NULL
-    UNION ALL SELECT session_id, 'final', utt, 'disconnect', start, clock, commit_, drp FROM r WHERE start IS NOT NULL AND (session_id, k) IN (SELECT (session_id, max(k)) FROM p GROUP BY session_id)"""
-
-
-@query(UTTERANCES)
-def realtime_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1-3, STR5-7, STR11, STR16, WIN4, WIN5: events of a user as packets of 400 ms, folded to utterances."""
-    seq = W.partitionBy("user_id").orderBy("us", "event_id")
-    packets = frames(spark, sf_dir).select(F.col("user_id").alias("session_id"), (F.row_number().over(seq) - 1).cast("long").alias("seq"), F.when(F.col("event_type") == "signup", "flush").otherwise("audio").alias("kind"), (F.col("value") / 1000).alias("rms"), F.lit(400).alias("length_ms"))
-    return realtime.utterances(packets)
-
-
 _SKIP = f"(length(text) - length(ltrim(substr(text, %s + 1), '{_LEFT}')))"
 _LEFTOVER = f"({_BARE % '%s'} = '' OR (length({_BARE % '%s'}) <= 4 AND contains(right(sp, length({_BARE % '%s'}) + 2), {_BARE % '%s'})))"
 _OFFSET = f"length(regexp_extract(text, '^(?s:[{_SILENT}]*[^{_SILENT}]){{' || n2 || '}}'))"

@@ -1,7 +1,7 @@
 """Offline transcription as one Spark job, around a decoder that the caller gives.
 
-Durations and silences give chunk plans; each planned chunk is decoded on its own, in parallel; chunks of a
-recording are settled in order; text and words are normalised and cut into sentences.
+Durations and silences give chunk plans; planned chunks are decoded side by side under the coverage guard; chunks
+of a recording are settled in order; text and words are normalised and cut into sentences.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import boundary, numbers, tokensync
+from ..functions.segments import clean_segments
 from ..functions.text import clean_fillers
-from ..operators import planner, stitch
+from ..operators import guard, planner, stitch
 from ..operators.planner import SplitConfig
 from ..operators.segments import transcript_segments
+from ..store import written
 
-WORDS = "array<struct<word:string,start:double,end:double>>"
+WORDS = guard.WORDS
 
 
 class Decoder(Protocol):
@@ -28,35 +31,25 @@ class Decoder(Protocol):
     def __call__(self, source: int, start: float, end: float) -> tuple[str, list[boundary.Word]]: ...
 
 
-def guarded(decode: Decoder, source: int, start: float, end: float, longest: float = 20.0) -> tuple[str, list[boundary.Word]]:
-    """A decoder call that is repeated once if it gives nothing, and then made in two halves if the slice is long."""
-    for _ in range(2):
-        text, words = decode(source, start, end)
-        if text.strip():
-            return text, words
-    if end - start <= longest:
-        return "", []
-    middle = round((start + end) / 2, 3)
-    (a, left), (b, right) = decode(source, start, middle), decode(source, middle, end)
-    whole = stitch.merge(stitch.Piece(a, tuple(left)), stitch.Piece(b, tuple(boundary.shift(right, middle - start))))
-    return whole.text, list(whole.words)
+def decoding(make: Callable[[], Decoder], key: str) -> guard.Decode:
+    """A decoder over tables of slices (``key``, start, end, ...): one per task, made where it is used."""
 
+    def decode(slices: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            call = make()
+            for b in batches:
+                got = [call(k, s, e) for k, s, e in zip(b[key], b["start"], b["end"], strict=True)]
+                yield b.assign(text=[t for t, _ in got], words=[[{"word": w, "start": s, "end": e} for w, s, e in ws or ()] for _, ws in got])
 
-def decode_chunks(plans: DataFrame, make: Callable[[], Decoder], key: str) -> DataFrame:
-    """Decoded chunks; one decoder per task, made where it is used."""
+        return slices.mapInPandas(run, StructType([*slices.schema.fields, *_parse_datatype_string(f"text string, words {WORDS}").fields]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = make()
-        for b in batches:
-            got = [guarded(decode, k, s, e) for k, s, e in zip(b[key], b["audio_start"], b["audio_end"], strict=True)]
-            yield b.assign(text=[t for t, _ in got], words=[[{"word": w, "start": s, "end": e} for w, s, e in ws] for _, ws in got])
-
-    return plans.mapInPandas(run, f"{key} long, chunk int, audio_start double, audio_end double, kind string, drop_before double, text string, words {WORDS}")
+    return decode
 
 
 def transcripts(durations: DataFrame, silences: DataFrame, make: Callable[[], Decoder], key: str, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """One row per recording: text, words, after stitching and normalisation."""
-    stitched = stitch.stitch(decode_chunks(planner.chunk_plans(durations, silences, key, cfg), make, key), key)
+    decoded = written(guard.guard(planner.chunk_plans(durations, silences, key, cfg), silences, key, decoding(make, key)), "decoded")
+    stitched = stitch.stitch(decoded, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -72,8 +65,8 @@ def transcripts(durations: DataFrame, silences: DataFrame, make: Callable[[], De
 
 
 def segments(done: DataFrame, key: str = "rec") -> DataFrame:
-    """Segments of transcripts with the fields of a result file; the speaker is always null."""
-    return transcript_segments(done, [key], "words", "text")
+    """Segments of transcripts with the fields of a result file, without hesitation sounds; the speaker is always null."""
+    return clean_segments(transcript_segments(done, [key], "words", "text"), [key])
 
 
 def write_segments(rows: DataFrame, path: str) -> None:

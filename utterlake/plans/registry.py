@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels, stream  # noqa: F401  (each adds its queries)
+from . import kernels, live, rescue, stream  # noqa: F401  (each adds its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

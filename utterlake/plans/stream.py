@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokensync
 from ..operators import packets as P
-from .kernels import UTTERANCES, realtime_utterances
+from .live import UTTERANCES, realtime_utterances
 from .native import FRAMES, TOKENS, frames, query, table, turns
 
 
