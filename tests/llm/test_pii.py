@@ -4,6 +4,8 @@ import re
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from utterlake.llm import pii
 
 from .fixtures import documents, odd_documents
@@ -85,36 +87,46 @@ def test_scans_are_linear_and_take_any_token():
 
 def brute_discover(texts, confident, support):
     """The rounds of the pattern graph over plain dictionaries."""
-    seeds, refused, edges = {}, {}, {}
-    for t in texts:
-        for x in pii.scan_text(t)[1]:
+    seeds, edges, small = {}, {}, Counter()
+    for t in set(texts):
+        found = pii.scan_text(t)[1]
+        small.update(pii.background(t, found))
+        for x in found:
             for p in x["patterns"]:
                 k, r = edges.get((p, x["value"]), (-1, False))
                 edges[p, x["value"]] = max(k, x["kind"]), r or x["refused"]
             if x["kind"] >= 0:
                 seeds[x["value"]] = max(x["kind"], seeds.get(x["value"], -1))
-    degree = Counter(p for p, _ in edges)
-    degree.update({p: support for p in degree if not p.startswith(pii.SHAPE) and len(p.split(" ")) == 2})
-    known, before = {v: (k, 1.0) for v, k in seeds.items()}, None
-    while known != before:
-        mass, n = Counter(), Counter()
-        for p, v in edges:
-            if v in known:
-                mass[p, known[v][0]] += known[v][1]
-                n[p, known[v][0]] += 1
+    at = {}
+    for (p, v), (k, bad) in edges.items():
+        at.setdefault(p, []).append((v, k, bad))
+    known = {v: (k, 1.0) for v, k in seeds.items()}
+    while True:
         left = {}
-        for (p, v), (k, bad) in edges.items():
-            if k != -1 or bad and p.startswith(pii.SHAPE):
-                continue
+        for p, held in at.items():
             for kind in range(4):
-                w = mass[p, kind] / degree[p]
-                if n[p, kind] >= support and w >= confident:
-                    left[v, kind] = left.get((v, kind), 1.0) * max(1e-9, 1 - w)
-        before, known = known, {v: (k, 1.0) for v, k in seeds.items()}
+                mine = [known[v][1] for v, *_ in held if v in known and known[v][0] == kind]
+                if len(mine) < support or len(held) < support:
+                    continue
+                mass = sum(mine)
+                if p.startswith(pii.SHAPE):
+                    w = mass / len(held)
+                else:
+                    unknown = [v for v, _, bad in held if v not in known and not bad]
+                    alike = sum(("@" in v) == (kind == 0) for v in unknown)
+                    against = sum(k not in (-1, kind) for _, k, _ in held) + sum(bad for *_, bad in held) + small[p] + len(unknown) - alike
+                    w = mass / (mass + against + alike / (4 * mass))
+                if w >= confident:
+                    for v, k, bad in held:
+                        if k == -1 and not bad and v not in known and ("@" in v) == (kind == 0):
+                            left[v, kind] = left.get((v, kind), 1.0) * max(1e-9, 1 - w)
+        fresh = {}
         for (v, kind), rest in sorted(left.items(), key=lambda x: (x[1], x[0][1])):
             if 1 - rest >= confident:
-                known.setdefault(v, (kind, 1 - rest))
-    return {v: k for v, (k, _) in known.items()}
+                fresh.setdefault(v, (kind, 1 - rest))
+        if not fresh:
+            return {v: k for v, (k, _) in known.items()}
+        known |= fresh
 
 
 def test_discovery_against_plain_rounds(spark):
@@ -138,3 +150,39 @@ def test_shapes_discover_identifiers_behind_noise(spark):
 
 def test_spans_within_others_are_not_shown_twice():
     assert pii.outermost([(0, 3, 5)], [(10, 3, 20), (12, 3, 15), (10, 3, 12), (30, 0, 31)]) == [(0, 3, 5), (10, 3, 20), (30, 0, 31)]
+
+
+def test_contexts_find_most_of_what_is_unseen_at_every_share(spark):
+    """A seeded context: of 400 phone numbers a share has the base form, the rest is written without a plus."""
+    for share in (0.1, 0.3, 0.6, 0.75, 0.85, 0.95):
+        r = random.Random(int(100 * share))
+        rows = []
+        for i in range(400):
+            number = f"{r.randint(200, 999)} {r.randint(200, 999)} {r.randint(1000, 9999)}"
+            rows.append((i, f"w{i} my phone number is {'+1 ' if i < 400 * share else ''}{number} thanks w{i}", None, None, None))
+        rows += [(1000 + i, f"w{i} there were {i} of them on {r.randint(1, 28)} may {r.randint(1990, 2020)} for {r.randint(10**6, 10**8)} units", None, None, None) for i in range(100)]
+        found = {x.doc_id: x.spans for x in pii.find(documents(spark, rows)).collect()}
+        unseen = [i for i in range(400) if i >= 400 * share]
+        assert sum(found[i].startswith("phone:") for i in unseen) >= 0.9 * len(unseen), share
+        assert not any(found[1000 + i] for i in range(100)), share
+
+
+def test_spelled_addresses_beside_plain_ones(spark):
+    rows = [(i, f"w{i} contact me at u{i}{'@' if i % 2 else ' [at] '}m{i}{'.' if i % 2 else ' [dot] '}com w{i + 1}", None, None, None) for i in range(200)]
+    found = pii.find(documents(spark, rows)).collect()
+    assert all(x.spans.startswith("email:") for x in found)
+
+
+def test_contexts_of_small_numbers_are_no_contexts(spark):
+    rows = [(i, f"w{i} one of the +1 555 010 {1000 + i} x{i}", None, None, None) for i in range(20)]
+    rows += [(100 + i, f"v{i} one of the {i + 2} y{i}", None, None, None) for i in range(30)]
+    rows += [(200, "one of the 77665544 books", None, None, None)]
+    assert {x.doc_id: x.spans for x in pii.find(documents(spark, rows)).collect()}[200] == ""
+
+
+def test_stage_takes_any_column_name(spark):
+    rows = documents(spark, [(1, "mail a.b@c.de now", "en", "s", 17), (None, None, None, None, None), (2, "none", "en", "s", 4)])
+    for c in ("mark_id", "mark_key", "mark_spans", "mark_text", "row", "spans", "clean", "text_key", "value"):
+        rows = rows.withColumn(c, F.lit("y"))
+    out = pii.redact_documents(rows)
+    assert out.columns == rows.columns and {x.doc_id: x.text for x in out.collect()} == {1: "mail [EMAIL] now", None: None, 2: "none"}

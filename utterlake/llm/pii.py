@@ -4,9 +4,13 @@ One pass over the texts finds the base spans and the other identifier-like insta
 digits or an at sign, digit groups (also with noise between them, as in table cells), account numbers
 and spelled-out addresses.  Every instance has lexical patterns: the words beside it (contextual
 rules) and the shape of its own spelling (spelling rules).  Base spans are the seeds of a graph whose
-sides are patterns and values.  Spark scores that graph until nothing changes: a pattern by the share of
-its values that are known, a value by the patterns it stands in.  Values that confident patterns
-discover become further spans, wherever they stand.
+sides are patterns and values.  Spark scores that graph until it grows no more: a pattern by the known values
+in it against those that speak against it, a value by the patterns it stands in.  Values that confident
+patterns discover become further spans, wherever they stand.
+
+What is not known yet does not speak against a context much, and the less the more of it is known, for contexts
+are there to find the unknown.  Against it speak values that fail a base check, values of another kind, and short
+numbers: a context that small numbers share is no context of identifiers.
 
 All scans take time linear in the text.
 """
@@ -113,20 +117,33 @@ def shape(value: str) -> str:
     return FIGURES.sub(lambda m: "9" * min(len(m[0]), 20), LETTERS.sub("a", GAP.sub(r"\1", value)))
 
 
+def bare(value: str) -> bool:
+    """Whether a plain value is digits alone that are no card: its spelling says nothing."""
+    return bool(CARD.fullmatch(value)) and not _card(value)
+
+
 def refused(value: str) -> bool:
-    """Whether a plain value has the form of a base pattern and fails its check."""
-    return bool(CARD.fullmatch(value) and not _card(value) or IP.fullmatch(value) and not all(map(_octet, value.split("."))))
+    """Whether a plain value has the form of a base pattern, digits of a card included, and fails its check."""
+    return bare(value) and 14 <= len(DIGIT.findall(value)) <= 19 or bool(IP.fullmatch(value)) and not all(map(_octet, value.split(".")))
 
 
 def patterns(text: str, start: int, end: int, value: str) -> list[str]:
-    """Lexical patterns of an instance: up to three words before it, up to two after it, one on either side, and its shape."""
-    before = WORD.findall(text[max(0, start - CONTEXT) : start].lower())[-3:]
-    after = WORD.findall(text[end : end + CONTEXT].lower())[:2]
-    found = [" ".join([*before[-k:], "_"]) for k in range(1, len(before) + 1)]
-    found += [" ".join(["_", *after[:k]]) for k in range(1, len(after) + 1)]
+    """Lexical patterns of an instance: its contexts, and its shape if that tells anything."""
+    return [*contexts(text, start, end), *([] if bare(value) or refused(value) else [SHAPE + shape(value)])]
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Two and three words before a place, two after it, and one on either side; numbers in them are alike.
+
+    A single word is no context: every common one stands beside some identifier.
+    """
+    near = lambda part: [FIGURES.sub("0", w) for w in WORD.findall(part.lower())]
+    before, after = near(text[max(0, start - CONTEXT) : start])[-3:], near(text[end : end + CONTEXT])[:2]
+    found = [" ".join([*before[-k:], "_"]) for k in range(2, len(before) + 1)]
+    if len(after) == 2:
+        found.append(" ".join(["_", *after]))
     if before and after:
         found.append(f"{before[-1]} _ {after[0]}")
-    found.append(SHAPE + shape(value))
     return found
 
 
@@ -167,7 +184,24 @@ def spelled(text: str) -> Iterator[tuple[int, int]]:
             yield start, host.end()
 
 
-SCAN = "doc_id long, text_key long, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,refused:boolean,patterns:array<string>>>"
+#: Numbers of up to four digits, which identify nobody.
+SMALL = re.compile(r"(?<![\w.+-])[0-9]{1,4}(?![\w]|[.-][0-9])")
+
+
+def background(text: str, found: list[dict]) -> list[str]:
+    """Contexts of the small numbers of a text that stand in no instance, each once."""
+    out, k, reach = set(), 0, 0
+    spans = sorted((x["start"], x["end"]) for x in found)
+    for m in SMALL.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= m.start():
+            out.update(contexts(text, *m.span()))
+    return sorted(out)
+
+
+SCAN = "doc_id long, text_key long, small array<string>, base string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind:int,start:int,end:int,value:string,refused:boolean,patterns:array<string>>>"
 FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("refused", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
 
 
@@ -199,13 +233,13 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_worker(("pii",), bool)
         for batch in batches:
-            base, counts, found = [], [[], [], [], []], []
+            base, counts, found, small = [], [[], [], [], []], [], []
             for t in batch.column(1):
                 spans, more = scan_text(t.as_py())
-                base.append(shown(spans)), found.append(more)
+                base.append(shown(spans)), found.append(more), small.append(background(t.as_py(), more))
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, FOUND)], names=["doc_id", "text_key", "base", "n_email", "n_ip", "n_card", "n_phone", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(small, pa.list_(pa.string())), pa.array(base, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(found, FOUND)], names=["doc_id", "text_key", "small", "base", "n_email", "n_ip", "n_card", "n_phone", "found"])
 
     return docs.mapInArrow(run, SCAN)
 
@@ -213,35 +247,45 @@ def scan(docs: DataFrame) -> DataFrame:
 def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int, most_broadcast: int = 1_000_000) -> DataFrame:
     """Values that the pattern graph makes known beyond the seeds: value, new_kind.
 
-    Edges are (pattern, value), once each however often they occur, so a frequent pattern or value is
-    summed before it moves.  In each round a pattern of a kind scores the mean score of its values
-    (unknown ones and those that fail a base check count 0) if at least ``support`` known values stand in
-    it; a context of one word is common, so it counts ``support`` unknown values more.  A value scores
-    1 - product of (1 - score) over its patterns.  Patterns and values below
-    ``confident`` do not count, and a value that fails the check of a base form is not discovered by its
-    shape.  Scores only rise; the rounds end when neither they nor the known values change, or after
-    ``rounds``.  Patterns that count are broadcast if at most ``most_broadcast`` of them (of some 40
-    bytes) are found; else both sides are shuffled.
+    Edges are (pattern, value), once each however often they occur; small numbers count once a text.  A pattern
+    counts for a kind if at least ``support`` known values of it stand there.  A context scores
+    ``known / (known + against + open / (4 * known))``: known values by their scores; against it seeds of other
+    kinds, values that fail a base check, small numbers, and open ones of another form (addresses among numbers, or
+    numbers among addresses).  A shape scores its share of known values, as open ones say that it is common.  An open
+    value of the right form scores 1 - product of (1 - score) over the patterns that reach ``confident``, and is
+    known from then on if its own score does.  Known values only grow; the rounds end when none is new, or after
+    ``rounds``.  Only patterns with ``support`` values take part.  Those that count are broadcast if at most
+    ``most_broadcast`` of them (of some 40 bytes) are found; else both sides are shuffled.
     """
     found = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", "x.refused", F.explode("x.patterns").alias("pattern"))
-    edges = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("refused").alias("refused")), "edges")
-    one_word = ~F.col("pattern").startswith(SHAPE) & (F.size(F.split("pattern", " ")) == 2)
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("degree")).withColumn("degree", F.col("degree") + F.when(one_word, support).otherwise(0))
-    seeds = cut(edges.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
-    open_ = edges.filter("kind = -1").filter(~(F.col("refused") & F.col("pattern").startswith(SHAPE)))
-    known, seen = seeds, None
+    every = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("refused").alias("refused")), "every")
+    seeds = cut(every.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
+    common = every.groupBy("pattern").agg(F.count("*").alias("n"), F.max("kind").alias("most"), F.min("kind").alias("least")).filter((F.col("n") >= support) & (F.col("least") < 0))
+    edges = cut(every.join(common.select("pattern"), "pattern", "left_semi").withColumn("address", F.col("value").contains("@")), "edges")
+    small = scanned.select("text_key", F.explode("small").alias("pattern")).join(edges.select("pattern").distinct(), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias("small"))
+    number = lambda c: F.sum(c.cast("long"))
+    kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"seeds{k}") for k in range(len(KINDS))]
+    sides = cut(edges.groupBy("pattern").agg(F.count("*").alias("n"), number(F.col("address")).alias("addresses"), number(F.col("refused")).alias("refused"), *kinds).join(small, "pattern", "left").fillna(0, ["small"]), "sides")
+    open_ = edges.filter((F.col("kind") == -1) & ~F.col("refused"))
+    known = seeds
     for _ in count() if rounds is None else range(rounds):
-        scored = edges.select("pattern", "value").join(known, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("n")).filter(F.col("n") >= support)
-        good = cut(scored.join(degree, "pattern").select("pattern", F.col("kind").alias("new_kind"), (F.col("mass") / F.col("degree")).alias("weight")).filter(F.col("weight") >= confident), "good")
-        new = open_.select("pattern", "value").join(F.broadcast(good) if good.count() <= most_broadcast else good, "pattern")
+        scored = edges.select("pattern", "value", "address").join(known, "value").groupBy("pattern", F.col("kind").alias("new_kind")).agg(F.sum("score").alias("mass"), F.count("*").alias("held"), number(F.col("address")).alias("held_addresses"))
+        whole = scored.groupBy("pattern").agg(F.sum("held").alias("all_held"), F.sum("held_addresses").alias("all_addresses"))
+        at = scored.filter(F.col("held") >= support).join(whole, "pattern").join(sides, "pattern")
+        addresses = F.col("addresses") - F.col("all_addresses")
+        numbers = F.col("n") - F.col("addresses") - F.col("refused") - (F.col("all_held") - F.col("all_addresses"))
+        email, others = F.col("new_kind") == 0, sum((F.when(F.col("new_kind") == k, 0).otherwise(F.col(f"seeds{k}")) for k in range(len(KINDS))), F.lit(0))
+        alike, unlike = F.when(email, addresses).otherwise(numbers), F.when(email, numbers).otherwise(addresses)
+        against = others + F.col("refused") + F.col("small") + unlike + alike / (4 * F.col("mass"))
+        weight = F.when(F.col("pattern").startswith(SHAPE), F.col("mass") / F.col("n")).otherwise(F.col("mass") / (F.col("mass") + against))
+        good = cut(at.select("pattern", "new_kind", weight.alias("weight")).filter(F.col("weight") >= confident), "good")
+        new = open_.join(F.broadcast(good) if good.count() <= most_broadcast else good, "pattern").filter(F.col("address") == (F.col("new_kind") == 0))
         new = new.groupBy("value", "new_kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
         best = new.groupBy("value").agg(F.max(F.struct("score", (-F.col("new_kind")).alias("first"))).alias("b")).select("value", (-F.col("b.first")).alias("kind"), F.col("b.score").alias("score"))
-        best = best.filter(F.col("score") >= confident).join(seeds, "value", "left_anti")
-        known = cut(seeds.unionByName(best.select("value", "kind", "score")), "known")
-        state = known.agg(F.count("*"), F.round(F.sum("score"), 3)).first()
-        if state == seen:
+        fresh = cut(best.filter(F.col("score") >= confident).join(known, "value", "left_anti"), "fresh")
+        if fresh.isEmpty():
             break
-        seen = state
+        known = cut(known.unionByName(fresh), "known")
     # a seed's value is known wherever it stands, also where noise hides it from the base pattern
     return known.select("value", F.col("kind").alias("new_kind"))
 
@@ -295,19 +339,22 @@ def redact_documents(docs: DataFrame, *, rounds: int | None = None, confident: f
 
     Only rows with spans change; null texts stay null and other columns stay as they are.
     """
-    text = F.coalesce("text", F.lit(""))
-    spans = _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), rounds, confident, support)
-    marks = spans.filter("spans <> ''").select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), F.col("spans").alias("mark_spans")).dropDuplicates(["mark_id", "mark_key"])
-    joined = docs.alias("d").join(marks, F.col("d.doc_id").cast("long").eqNullSafe(F.col("mark_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("mark_key")), "left")
+    # a row travels as one column, so that no name of its own meets one made here
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    named = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), text.alias("text"), "row")
+    spans = _spans(named.select("doc_id", "text"), rounds, confident, support)
+    marks = spans.filter("spans <> ''").select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), "spans").dropDuplicates(["mark_id", "mark_key"])
+    joined = named.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.xxhash64("text") == F.col("mark_key")), "left")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else redact(t, s) for t, s in zip(texts, found, strict=True)])
 
-    has = F.col("mark_spans").isNotNull()
-    out = joined.withColumn("mark_text", clean(F.when(has, F.col("d.text")), "mark_spans"))
-    new = {"text": F.when(has, F.col("mark_text")).otherwise(F.col("d.text")), "n_chars": F.when(has, F.char_length("mark_text").cast("long")).otherwise(F.col("d.n_chars"))}
-    return out.select(*(new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns))
+    has = F.col("spans").isNotNull()
+    out = joined.withColumn("clean", clean(F.when(has, F.col("text")), "spans"))
+    new = {"text": F.when(has, F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(has, F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def redact(text: str, spans: str) -> str:
