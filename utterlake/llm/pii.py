@@ -36,7 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Identifier-like instances beyond them.
-TOKEN = re.compile(r"\S+")
+#: A token that holds a digit or an at sign; it is looked for at the start of tokens only, so the scan stays linear.
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 DIGIT, AT = re.compile(r"[0-9]"), re.compile(r"\w@\w")
 #: Marks that carry no meaning inside an identifier: cell borders and decoration.
 NOISE = r"|$&#%*!~^\\\[\]{}<>=_"
