@@ -1,19 +1,19 @@
 """The realtime fold: packets of a session to partial and final utterances.
 
 ``step`` is a pure function of state and packet, in milliseconds of stream time.  The batch query folds
-it over sorted packets; the stream keeps the same state between micro-batches.  Voice is detected by
-loudness; a detector of one's own goes into the packet's ``speech`` flag.
+it over sorted packets; the stream keeps the same state between micro-batches.  A buffer of audio always ends
+with the stream, so where it starts is all that is kept of it.  A packet counts as voice by its ``speech`` flag
+or, where that is null, by its loudness.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import ordered_fold
 
@@ -28,6 +28,7 @@ class Limits:
     early_silence: int = 1000
     committed: int = 800
     grace: int = 1200
+    hangover: int = 800
     pre_roll: int = 800
     partial: int = 1500
     longest: int = 20_000
@@ -38,117 +39,188 @@ class Limits:
     soft_silence: int = 500
     soft_back: int = 200
 
+    def needed(self, speech: int) -> int:
+        """Silence that ends an utterance with so much speech."""
+        return self.end_silence if speech >= self.committed else self.early_silence
+
 
 @dataclass
 class State:
-    """All that a session carries; ``quiet`` holds the silences of the open utterance only."""
+    """All that a session carries.
+
+    ``start`` is where the open buffer begins, if there is one; ``commit`` where its own audio does; ``shown`` its
+    size at the last partial.  ``waiting`` counts the grace after an end (-1: none), ``hang`` what is left of the
+    hangover after a turn, ``kept`` where audio of a hangover without speech begins, as long as nothing was
+    ``skipped`` since; ``ring`` where the pre-roll begins.  ``held`` says that loudness alone keeps the
+    utterance open.  ``quiet`` holds the silences that a cut can still reach.
+    """
 
     clock: int = 0
     utt: int = 0
-    start: int | None = None
-    commit: int = 0
-    drop: int | None = None
+    active: bool = False
     speech: int = 0
     silence: int = 0
     energy: int = 0
-    partial_at: int = 0
+    held: bool = False
+    held_silence: int = 0
+    start: int | None = None
+    commit: int = 0
+    drop: int | None = None
+    shown: int = 0
     waiting: int = -1
-    resumed: bool = False
+    hang: int = 0
+    kept: int | None = None
+    skipped: bool = False
+    fresh: bool = False
+    ring: int = 0
     quiet_from: int | None = None
     quiet: list[list[int]] = field(default_factory=list)
 
 
-Message = tuple[str, int, str, int, int, int, int | None]
-FIELDS = ["session_id", "kind", "utt", "reason", "start_ms", "end_ms", "commit_ms", "drop_ms"]
-OUT = "kind string, utt long, reason string, start_ms long, end_ms long, commit_ms long, drop_ms long"
+Message = tuple[str, int, str, int, int, int, int | None, bool]
+FIELDS = ["session_id", "kind", "utt", "reason", "start_ms", "end_ms", "commit_ms", "drop_ms", "fresh"]
+OUT = "kind string, utt long, reason string, start_ms long, end_ms long, commit_ms long, drop_ms long, fresh boolean"
 
 
-def _final(s: State, reason: str, end: int) -> Message:
-    return "final", s.utt, reason, s.start, end, s.commit, s.drop
+def _message(s: State, kind: str, reason: str, end: int) -> Message:
+    return kind, s.utt, reason, s.start, end, s.commit, s.drop, s.fresh
 
 
-def _close(s: State, reason: str) -> list[Message]:
-    """Emits the open utterance and begins the next with nothing."""
-    out = [_final(s, reason, s.clock)] if s.start is not None else []
-    s.utt += bool(out)
-    s.start, s.drop, s.speech, s.silence, s.waiting, s.resumed, s.quiet = None, None, 0, 0, -1, False, []
+def _turn(s: State, reason: str, hangover: int = 0) -> list[Message]:
+    """Emits the whole buffer, if there is one, and begins anew: after an end of speech with a hangover, else with a fresh detector."""
+    if s.start is None:
+        return []
+    out = [_message(s, "final", reason, s.clock)]
+    if hangover:
+        s.ring = s.clock
+    else:
+        s.active, s.speech, s.silence = False, 0, 0
+    s.utt, s.start, s.drop, s.shown, s.waiting, s.hang, s.kept, s.fresh = s.utt + 1, None, None, 0, -1, hangover, None, False
+    s.energy, s.held, s.held_silence = 0, False, 0
     return out
 
 
-def _cut(s: State, reason: str, at: int, begin: int) -> list[Message]:
+def _cut(s: State, reason: str, at: int, begin: int, shown: int = 0) -> list[Message]:
     """Emits up to a cut and keeps the rest as the next utterance."""
-    out = [_final(s, reason, at)]
-    s.utt += 1
-    s.start, s.commit, s.drop, s.partial_at = begin, at, at, s.clock
-    s.quiet = [q for q in s.quiet if q[0] >= at]
-    s.resumed = False
+    out = [_message(s, "final", reason, at)]
+    s.utt, s.start, s.commit, s.drop, s.shown, s.waiting, s.kept, s.fresh = s.utt + 1, begin, at, at, shown, -1, None, False
     return out
 
 
+def _around(s: State, quiet: list[int], limits: Limits) -> tuple[int, int]:
+    """A cut in a silence of the buffer: its middle, and where the next utterance begins, a little before it."""
+    from_ = max(s.start, quiet[0])
+    return (from_ + quiet[1]) // 2, max(s.start, from_ - limits.soft_back)
+
+
 def latest_silence(quiet: list[list[int]], target: int, search: int, least: int) -> list[int] | None:
     """The silence that ends last by the target, long enough and with its middle within reach; of equals the longer."""
     fits = [q for q in quiet if q[1] <= target and q[1] - q[0] >= least and (q[0] + q[1]) / 2 >= target - search]
     return min(fits, key=lambda q: (target - (q[0] + q[1]) / 2, q[0] - q[1]), default=None)
 
 
+def _detect(s: State, spoken: bool, length: int, limits: Limits) -> tuple[bool, bool, int]:
+    """Whether speech goes on (short silences included), has just ended, and the silence that it resumed after."""
+    if spoken:
+        gap, s.speech, s.silence, s.active = s.silence, (s.speech if s.active else 0) + length, 0, True
+        return True, False, gap
+    if not s.active:
+        return False, False, 0
+    s.silence += length
+    if s.silence < limits.needed(s.speech):
+        return True, False, 0
+    s.active, s.speech, s.silence = False, 0, 0
+    return False, True, 0
+
+
+def _open(s: State, voice: bool, before: int, limits: Limits) -> None:
+    """Begins a buffer: with the hangover itself, with the audio kept from one, or with the pre-roll."""
+    if s.hang > 0 and not voice:
+        s.start, s.commit, s.drop = before, before, None
+    elif s.kept is not None:
+        s.start, s.commit, s.drop, s.kept = s.kept, before, before, None
+    else:
+        s.start = min(before, max(s.ring, s.clock - limits.pre_roll))
+        s.commit, s.drop = s.start, None
+
+
 def step(s: State, rms: float | None, length: int, kind: str, limits: Limits = Limits(), speech: bool | None = None) -> list[Message]:
     """One packet or control message; the order of the tests is part of the meaning."""
     if kind != "audio":
         if kind == "reset":
-            s.__dict__.update(State(clock=s.clock, utt=s.utt + 1).__dict__)
+            s.__dict__.update(State(clock=s.clock, utt=s.utt + 1, skipped=s.skipped, ring=s.clock).__dict__)
             return []
-        return _close(s, kind) if kind in ("flush", "end", "stop") else [("error", s.utt, f"unknown kind {kind}", s.clock, s.clock, s.clock, None)]
+        return _turn(s, kind) if kind in ("flush", "end", "stop") else [("error", s.utt, f"unknown kind {kind}", s.clock, s.clock, s.clock, None, False)]
     before, s.clock = s.clock, s.clock + length
     loud = (rms or 0.0) >= limits.loud
     spoken = loud if speech is None else speech
     s.energy = s.energy + length if loud else 0
-
-    # silences of the open utterance
-    silence = 0
-    if spoken:
-        if s.quiet_from is not None and s.start is not None:
-            s.quiet.append([s.quiet_from, before])
-            silence = before - s.quiet_from
-        s.quiet_from = None
-    elif s.quiet_from is None:
-        s.quiet_from = before
-
-    # after an end: wait for speech to resume
-    if s.waiting >= 0:
-        if spoken or s.energy >= limits.onset:
-            s.waiting, s.resumed = -1, True
-        else:
-            s.waiting += length
-            return _close(s, "vad_end") if s.waiting >= limits.grace else []
-
+    voice, ended, gap = _detect(s, spoken, length, limits)
+    if spoken and s.quiet_from is not None:
+        s.quiet.append([s.quiet_from, before])
+    s.quiet_from = None if spoken else before if s.quiet_from is None else s.quiet_from
+    reach = s.clock - limits.pre_roll if s.start is None else min(s.clock, s.commit + limits.longest) - limits.search
+    s.quiet = [q for q in s.quiet if q[1] >= reach]
+
+    # after an end: speech or confirmed loudness goes on with the utterance, else the grace runs out
+    resumed = s.waiting >= 0 and (voice or s.energy >= limits.onset)
+    if resumed:
+        s.waiting = -1
+        if not voice:
+            s.held, s.held_silence = True, 0
+    elif s.waiting >= 0:
+        s.waiting += length
+        if s.clock - s.commit >= limits.longest:
+            return _turn(s, "hard_cut")
+        # loudness that is not confirmed yet gets a little longer
+        candidate = s.energy > 0 and s.waiting < limits.grace + limits.onset
+        return _turn(s, "vad_end", limits.hangover) if s.waiting >= limits.grace and not candidate else []
+
+    by_energy = not voice and s.start is None and s.hang <= 0 and s.energy >= limits.onset
+    if by_energy:
+        s.held, s.held_silence = True, 0
+    if not (voice or s.start is not None or s.hang > 0 or by_energy):
+        s.skipped = True
+        return []
+    if s.skipped:
+        s.skipped, s.kept, s.fresh = False, None, True
     if s.start is None:
-        if not spoken and s.energy < limits.onset:
+        _open(s, voice, before, limits)
+    if s.hang > 0:
+        s.hang = 0 if voice else s.hang - length
+        if not voice and s.hang <= 0:
+            s.hang, s.kept, s.start, s.shown = 0, s.start, None, 0
             return []
-        s.start = max(0, before - limits.pre_roll) if s.drop is None else before
-        s.commit, s.partial_at = s.start, s.clock
 
-    ended = False
-    if spoken:
-        s.speech, s.silence = s.speech + length, 0
-    elif s.speech:
-        s.silence += length
-        if s.silence >= (limits.end_silence if s.speech >= limits.committed else limits.early_silence):
-            ended, s.speech, s.silence = True, 0, 0
+    # an utterance that loudness alone holds open ends by loudness alone
+    forced = False
+    if s.held and not ended:
+        if voice:
+            s.held, s.held_silence = False, 0
+        elif loud:
+            s.held_silence = 0
+        else:
+            s.held_silence += length
+            sound = s.clock - s.start - s.held_silence
+            if sound > 0 and s.held_silence >= limits.needed(sound):
+                forced, s.held, s.held_silence, s.energy = True, False, 0, 0
 
     if s.clock - s.commit >= limits.longest:
-        if found := latest_silence(s.quiet, s.clock, limits.search, limits.cut_silence):
-            at = (found[0] + found[1]) // 2
-            return _cut(s, "hard_cut", at, max(at - limits.soft_back, found[0]))
-        return _cut(s, "hard_cut", s.clock, s.clock - limits.overlap)
-    if ended:
+        target = min(s.clock, s.commit + limits.longest)
+        runs = [*s.quiet, *([] if s.quiet_from is None else [[s.quiet_from, s.clock]])]
+        inside = [[max(a, s.start), b] for a, b in runs if b > s.start]
+        found = latest_silence(inside, target, limits.search, limits.cut_silence)
+        out = _cut(s, "hard_cut", *_around(s, found, limits)) if found else _cut(s, "hard_cut", s.clock, max(s.start, s.clock - limits.overlap), min(limits.overlap, s.clock - s.start))
+        s.ring = s.clock
+        return out
+    if ended or forced:
         s.waiting = 0
         return []
-    if not s.resumed and limits.soft_silence <= silence < limits.end_silence and s.clock - s.commit >= limits.soft_after:
-        at = before - silence // 2
-        return _cut(s, "soft_cut", at, max(s.start, before - silence - limits.soft_back))
-    if s.clock - s.partial_at >= limits.partial:
-        s.partial_at = s.clock
-        return [("partial", s.utt, "cadence", s.start, s.clock, s.commit, s.drop)]
+    if not resumed and limits.soft_silence <= gap < limits.end_silence and max(before, s.start) - s.start >= limits.soft_after:
+        return _cut(s, "soft_cut", *_around(s, [before - gap, before], limits))
+    if s.clock - s.start >= max(s.shown, 0) + limits.partial:
+        s.shown = s.clock - s.start
+        return [_message(s, "partial", "cadence", s.clock)]
     return []
 
 
@@ -157,54 +229,105 @@ class _Session:
         self.id, self.state, self.limits = row["session_id"], State(), limits
 
     def push(self, row: dict) -> list[tuple]:
-        return [(self.id, *m) for m in step(self.state, row["rms"], row["length_ms"], row["kind"], self.limits)]
+        return [(self.id, *m) for m in step(self.state, row["rms"], row["length_ms"], row["kind"], self.limits, row.get("speech"))]
 
     def close(self) -> list[tuple]:
-        return [(self.id, *m) for m in _close(self.state, "disconnect")]
+        return [(self.id, *m) for m in _turn(self.state, "disconnect")]
 
 
 def utterances(packets: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Batch: all messages of all sessions.  ``packets``: session_id, seq, kind, rms, length_ms."""
+    """Batch: all messages of all sessions.  ``packets``: session_id, seq, kind, rms, length_ms, and speech where a detector is at hand."""
     return ordered_fold(packets, ["session_id"], ["seq"], lambda row: _Session(row, limits), f"session_id long, {OUT}")
 
 
 #: Kinds after which a session says nothing more.
 LAST = ("end", "stop")
+#: The columns of the state between micro-batches; silences are a list of their own.
+SCALARS = [f.name for f in fields(State) if f.name != "quiet"]
+_KINDS = {"active": "boolean", "held": "boolean", "skipped": "boolean", "fresh": "boolean"}
 
 
-def utterance_stream(packets: DataFrame, limits: Limits = Limits(), patience_ms: int = 10_000, forget_ms: int = 3_600_000) -> DataFrame:
-    """Streaming: the same messages.  Packets that come early are held until those before them are there;
-    late and repeated ones are dropped, so a replayed batch adds nothing.
+class Sessions(StatefulProcessor):
+    """A session between micro-batches: the fold's state, its silences, and packets that came before their turn.
 
-    After ``patience_ms`` without a packet of a session, one that is missing counts as lost and those held
-    go on; with none held the open utterance is closed.  A session that has ended, or said nothing more,
-    is forgotten after ``forget_ms``, so that neither packets nor sessions stay for ever.
+    Packets wait for those before them, one row of state each; late and repeated ones are dropped, so a replayed
+    batch adds nothing.  A timer gives up on lost packets, closes silent sessions and forgets ended ones.
     """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(group.get[0]) if group.exists else {"next": 0, "held": [], "state": asdict(State()), "quiet": False}
-        state, held, following = State(**saved["state"]), dict(saved["held"]), saved["next"]
+    def __init__(self, limits: Limits, patience_ms: int, forget_ms: int):
+        self.limits, self.patience, self.forget = limits, patience_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = ", ".join(f"{n} {_KINDS.get(n, 'long')}" for n in SCALARS)
+        self.scalars = handle.getValueState("fold", f"following long, over boolean, {columns}")
+        self.quiet = handle.getListState("silences", "begin long, until long")
+        self.early = handle.getMapState("early", "seq long", "rms double, length_ms long, kind string, speech boolean")
+
+    def _load(self) -> tuple[int, bool, State]:
+        if not self.scalars.exists():
+            return 0, False, State()
+        following, over, *held = self.scalars.get()
+        return following, over, State(**dict(zip(SCALARS, held, strict=True)), quiet=[[a, b] for a, b in self.quiet.get()] if self.quiet.exists() else [])
+
+    def _save(self, following: int, over: bool, state: State, now: int) -> None:
+        self.scalars.update((following, over, *(getattr(state, n) for n in SCALARS)))
+        self.quiet.put([(a, b) for a, b in state.quiet]) if state.quiet else self.quiet.clear()
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(now + (self.forget if over else self.patience))
+
+    def _take(self, following: int, state: State) -> tuple[int, bool, list[tuple]]:
+        """Folds the packets whose turn has come."""
         out: list[tuple] = []
-        lost = group.hasTimedOut
-        if lost and saved["quiet"]:
-            group.remove()
-            yield pd.DataFrame(out, columns=FIELDS)
+        over = False
+        while self.early.containsKey((following,)):
+            rms, length, kind, speech = self.early.getValue((following,))
+            self.early.removeKey((following,))
+            out += step(state, rms, length, kind, self.limits, speech)
+            following, over = following + 1, kind in LAST
+        return following, over, out
+
+    def _shown(self, key: tuple, messages: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *m) for m in messages], columns=FIELDS).astype({"drop_ms": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  (the interface's name)
+        following, over, state = self._load()
+        for batch in rows:
+            speech = batch["speech"] if "speech" in batch else [None] * len(batch)
+            for seq, kind, rms, length, said in zip(batch["seq"], batch["kind"], batch["rms"], batch["length_ms"], speech, strict=True):
+                if seq >= following:
+                    self.early.updateValue((int(seq),), (None if pd.isna(rms) else float(rms), int(length), kind, None if said is None or pd.isna(said) else bool(said)))
+        at, ended, out = self._take(following, state)
+        self._save(at, ended if at > following else over, state, timer_values.getCurrentProcessingTimeInMs())
+        yield self._shown(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        following, over, state = self._load()
+        waiting = min((k[0] for k in self.early.keys()), default=None)  # noqa: SIM118  (state, not a dictionary)
+        if waiting is not None:
+            following, over, out = self._take(waiting, state)
+        elif over:
+            self.scalars.clear(), self.quiet.clear()
+            yield self._shown(key, [])
             return
-        if lost:
-            following = min(held, default=following)
         else:
-            for b in batches:
-                for r in b[["seq", "kind", "rms", "length_ms"]].itertuples(index=False):
-                    if r.seq >= following:
-                        held[int(r.seq)] = [None if pd.isna(r.rms) else float(r.rms), int(r.length_ms), r.kind]
-        ended = saved["quiet"] and not held
-        while (p := held.pop(following, None)) is not None:
-            out += [(key[0], *m) for m in step(state, *p, limits)]
-            following, ended = following + 1, p[2] in LAST
-        if lost and not out and not held:
-            out, ended = [(key[0], *m) for m in _close(state, "disconnect")], True
-        group.update((json.dumps({"next": following, "held": sorted(held.items()), "state": asdict(state), "quiet": ended}),))
-        group.setTimeoutDuration(forget_ms if ended else patience_ms)
-        yield pd.DataFrame(out, columns=FIELDS).astype({"drop_ms": "Int64"})
-
-    return packets.groupBy("session_id").applyInPandasWithState(run, f"session_id long, {OUT}", "saved string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            over, out = True, _turn(state, "disconnect")
+        self._save(following, over, state, timer_values.getCurrentProcessingTimeInMs())
+        yield self._shown(key, out)
+
+
+def typed_state(spark: SparkSession) -> None:
+    """State in columns, with timers, needs the store that keeps single rows of it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def utterance_stream(packets: DataFrame, limits: Limits = Limits(), patience_ms: int = 10_000, forget_ms: int = 3_600_000) -> DataFrame:
+    """Streaming: the same messages as :func:`utterances`.
+
+    After ``patience_ms`` without a packet of a session, one that is missing counts as lost and those held
+    go on; with none held the open utterance is closed.  A session that has ended, or said nothing more,
+    is forgotten after ``forget_ms``, so that neither packets nor sessions stay for ever.
+    """
+    typed_state(packets.sparkSession)
+    return packets.groupBy("session_id").transformWithStateInPandas(Sessions(limits, patience_ms, forget_ms), f"session_id long, {OUT}", "Append", "ProcessingTime")
