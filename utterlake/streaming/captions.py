@@ -80,21 +80,21 @@ class Captions(StatefulProcessor):
         self.handle.registerTimer(now + (self.patience if waits else self.forget))
         return pd.DataFrame(out, columns=COLUMNS)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  (the interface's name)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (the interface's name)
         following, prefix = self.at.get() if self.at.exists() else (0, "")
         for batch in rows:
             for row in batch.to_dict("records"):
                 self._put(row, following)
-        yield self._finish(key, following, prefix, timer_values.getCurrentProcessingTimeInMs())
+        yield self._finish(key, following, prefix, timerValues.getCurrentProcessingTimeInMs())
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         following, prefix = self.at.get() if self.at.exists() else (0, "")
         lost = min((k[0] for k in self.waiting.keys()), default=None)  # noqa: SIM118
         if lost is None:
             self.at.clear(), self.partials.clear()
             yield pd.DataFrame([], columns=COLUMNS)
             return
-        yield self._finish(key, lost, prefix, timer_values.getCurrentProcessingTimeInMs())
+        yield self._finish(key, lost, prefix, timerValues.getCurrentProcessingTimeInMs())
 
 
 def caption_stream(decoded: DataFrame, patience_ms: int = 60_000, forget_ms: int = 3_600_000) -> DataFrame:

@@ -291,7 +291,7 @@ class Sessions(StatefulProcessor):
     def _shown(self, key: tuple, messages: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *m) for m in messages], columns=FIELDS).astype({"drop_ms": "Int64"})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  (the interface's name)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (the interface's name)
         following, over, state = self._load()
         for batch in rows:
             speech = batch["speech"] if "speech" in batch else [None] * len(batch)
@@ -299,10 +299,10 @@ class Sessions(StatefulProcessor):
                 if seq >= following:
                     self.early.updateValue((int(seq),), (None if pd.isna(rms) else float(rms), int(length), kind, None if said is None or pd.isna(said) else bool(said)))
         at, ended, out = self._take(following, state)
-        self._save(at, ended if at > following else over, state, timer_values.getCurrentProcessingTimeInMs())
+        self._save(at, ended if at > following else over, state, timerValues.getCurrentProcessingTimeInMs())
         yield self._shown(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         following, over, state = self._load()
         waiting = min((k[0] for k in self.early.keys()), default=None)  # noqa: SIM118  (state, not a dictionary)
         if waiting is not None:
@@ -313,7 +313,7 @@ class Sessions(StatefulProcessor):
             return
         else:
             over, out = True, _turn(state, "disconnect")
-        self._save(following, over, state, timer_values.getCurrentProcessingTimeInMs())
+        self._save(following, over, state, timerValues.getCurrentProcessingTimeInMs())
         yield self._shown(key, out)
 
 
