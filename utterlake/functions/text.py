@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 # Sentence ends, quotes, joiners, and the punctuation that comparisons leave out.
 SENTENCE_END = "。！？；!?"
@@ -137,9 +139,84 @@ def clean_fillers(text: Column) -> Column:
     return F.when(cut == text, text).otherwise(tidy)
 
 
+def runs(text: str, least: int) -> list[tuple[int, int, int]]:
+    """(begin, end, period) of all stretches that equal themselves a shortest period further, ``least`` periods and longer.
+
+    For each power of two a block at every multiple of it: in a stretch whose period is no longer, the block comes
+    again one period on, and nowhere before.  All levels together look at n log n characters.
+    """
+    found: set[tuple[int, int, int]] = set()
+    n, size = len(text), 1
+    while size * least // 2 <= n:
+        upto = 0
+        for at in range(0, n - size + 1, size):
+            if at + size <= upto:
+                continue
+            again = text.find(text[at : at + size], at + 1, at + 2 * size)
+            if again < 0:
+                continue
+            period, begin, end = again - at, at, again + size
+            while begin and text[begin - 1] == text[begin - 1 + period]:
+                begin -= 1
+            while end < n and text[end] == text[end - period]:
+                end += 1
+            if end - begin >= least * period:
+                found.add((begin, end, period))
+            upto = max(upto, end)
+        size *= 2
+    return sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def collapsed(text: str, least: int = 10) -> str:
+    """A text with one copy of each unit that follows itself ``least`` times: from the left, the shortest unit first."""
+    out, at, left = [], 0, runs(text, least)
+    while left:
+        # the stretch that still holds enough copies soonest
+        left = [(max(b, at), e, p) for b, e, p in left if e - max(b, at) >= least * p]
+        if not left:
+            break
+        begin, end, period = min(left, key=lambda x: (x[0], x[2]))
+        out += [text[at:begin], text[begin : begin + period]]
+        at = begin + (end - begin) // period * period
+    return "".join([*out, text[at:]])
+
+
 def collapse_repetitions(text: Column, least: int = 10) -> Column:
-    """One copy of a unit that follows itself at least ``least`` times."""
-    return F.regexp_replace(text, rf"(?s)(.{{1,20}}?)\1{{{least - 1},}}", "$1")
+    """One copy of a unit of any length that follows itself at least ``least`` times."""
+
+    @F.pandas_udf(StringType())
+    def shorter(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: collapsed(t, least), na_action="ignore")
+
+    return F.when(F.char_length(text) < least, text).otherwise(shorter(text))
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of its table as one number.
+
+    A bit of ``row`` is gone where the row above grows by one; a character of ``a`` moves the growth to the next
+    place of ``b`` that holds it, which one addition does for the whole row.
+    """
+    places: dict[str, int] = {}
+    for k, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << k
+    row = whole = (1 << len(b)) - 1
+    for c in a:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`common_length` of two columns."""
+    return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def spelling_cost(a: Column, b: Column) -> Column:
+    """How unlike two words are spelled, from 0 to 1: one less the common subsequence's share of the longer."""
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    return F.when(a == b, 0.0).otherwise(1 - lcs_length(a, b) / longer)
 
 
 def token_budget(seconds: Column) -> Column:
