@@ -213,10 +213,9 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def spelling_cost(a: Column, b: Column) -> Column:
+def cost_of(a: Column, b: Column, common: Column) -> Column:
     """How unlike two words are spelled, from 0 to 1: one less the common subsequence's share of the longer."""
-    longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(a == b, 0.0).otherwise(1 - lcs_length(a, b) / longer)
+    return F.when(a == b, 0.0).otherwise(1 - common / F.greatest(F.char_length(a), F.char_length(b)))
 
 
 def token_budget(seconds: Column) -> Column:

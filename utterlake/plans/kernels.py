@@ -136,18 +136,18 @@ def repetition_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "before", F.char_length("text").alias("after"), F.md5("text").alias("text_md5"))
 
 
-@query(r"""WITH RECURSIVE w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM conversations) WHERE regexp_full_match(lower(word), '[a-z]{3,}')),
-    p AS (SELECT a.word AS a, b.word AS b FROM w a JOIN w b ON left(a.word, 2) = left(b.word, 2) AND right(a.word, 2) = right(b.word, 2) AND a.word < b.word),
+@query(r"""WITH RECURSIVE w AS (SELECT string_split(lower(text), ' ') AS ws FROM conversations),
+    n AS (SELECT ws, unnest(range(1, len(ws))) AS k FROM w), p AS (SELECT DISTINCT ws[k] AS a, ws[k + 1] AS b FROM n WHERE regexp_full_match(ws[k], '[a-z]+') AND regexp_full_match(ws[k + 1], '[a-z]+')),
     r AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda k: 0::BIGINT) AS row_ FROM p
         UNION ALL SELECT a, b, i + 1, list_prepend(0::BIGINT, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN row_[k] + 1 ELSE row_[k + 1] END)))) FROM r WHERE i < length(a))
-    SELECT a, b, CAST(row_[-1] AS INT) AS common, 1 - row_[-1] / greatest(length(a), length(b))::DOUBLE AS cost FROM r WHERE i = length(a)""")
+    SELECT a, b, CAST(row_[-1] AS INT) AS common, CASE WHEN a = b THEN 0.0 ELSE 1 - row_[-1] / greatest(length(a), length(b))::DOUBLE END AS cost FROM r WHERE i = length(a)""")
 def spelling_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG16, HOT7: the longest common subsequence of words that begin and end alike, and their cost as phonemes."""
-    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("word")).filter(F.col("word").rlike("^[a-z]{3,}$")).distinct()
-    key = [F.left("word", F.lit(2)).alias("head"), F.right("word", F.lit(2)).alias("end")]
-    one, two = words.select(*key, F.col("word").alias("a")), words.select(*key, F.col("word").alias("b"))
-    pairs = one.join(two, ["head", "end"]).filter("a < b")
-    return pairs.select("a", "b", T.lcs_length(F.col("a"), F.col("b")).alias("common"), T.spelling_cost(F.col("a"), F.col("b")).alias("cost"))
+    """AGG16, HOT7: the longest common subsequence of each two words that follow each other, and their cost as phonemes."""
+    words = F.split(F.lower("text"), " ")
+    after = F.transform(words, lambda w, k: F.struct(w.alias("a"), F.get(words, k + 1).alias("b")))
+    pairs = table(spark, sf_dir, "conversations").select(F.explode(after).alias("p")).select("p.a", "p.b").filter(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$")).distinct()
+    common = pairs.withColumn("common", T.lcs_length(F.col("a"), F.col("b")))
+    return common.select("a", "b", "common", T.cost_of(F.col("a"), F.col("b"), F.col("common")).alias("cost"))
 
 
 @query()
