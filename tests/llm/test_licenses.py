@@ -37,12 +37,12 @@ def test_planted_notices(spark):
         rows.append((d, f"{prose(r.randint(0, 3000))}\n{' '.join(words)}\n{prose(r.randint(0, 300))}", None, None, None))
         want[d] = name
     line = L.TEMPLATES["mit-line"]
-    rows += [(900, f"{line}\n{prose(30)}\n{line} {L.TEMPLATES['apache-2.0-line']}", None, None, None)]
-    rows += [(1000 + i, prose(400), None, None, None) for i in range(20)]
+    rows += [(9000, f"{line}\n{prose(30)}\n{line} {L.TEMPLATES['apache-2.0-line']}", None, None, None)]
+    rows += [(10000 + i, prose(400), None, None, None) for i in range(20)]
     got = {x.doc_id: x for x in L.scan(documents(spark, rows)).collect()}
     assert {d: got[d].license for d in want} == want
-    assert [f.license for f in got[900].found] == ["mit-line", "mit-line", "apache-2.0-line"]
-    assert all(got[1000 + i].n_found == 0 and got[1000 + i].license is None for i in range(20))
+    assert [f.license for f in got[9000].found] == ["mit-line", "mit-line", "apache-2.0-line"]
+    assert all(got[10000 + i].n_found == 0 and got[10000 + i].license is None for i in range(20))
 
 
 def test_near_misses():
@@ -113,3 +113,18 @@ def test_many_notices_in_one_text():
     began = time.perf_counter()
     assert len(L.Scanner(L.TEMPLATES, 0.8, 0.25)(text)) == 20_000
     assert time.perf_counter() - began < 60
+
+
+def test_whole_texts_identifiers_and_dual_lines():
+    scan = L.Scanner(L.TEMPLATES, 0.8, 0.25)
+    name = lambda text: [h[0] for h in scan(text)]
+    for key in ("0bsd", "isc", "unlicense", "wtfpl", "boost-1.0", "mit", "apache-2.0-text"):
+        assert name("some words before. " + L.TEMPLATES[key] + " and some after it") == [key], key
+    assert name("# SPDX-License-Identifier: Apache-2.0") == ["spdx-apache-2.0-line"]
+    assert name("// SPDX-License-Identifier: GPL-3.0-or-later") == ["spdx-gpl-3.0-or-later-line"]
+    assert name("SPDX-License-Identifier: GPL-3.0-only code") == ["spdx-gpl-3.0-only-line"]
+    assert name("SPDX-License-Identifier: BSD-3-Clause") == ["spdx-bsd-3-clause-line"] and name("SPDX-License-Identifier: 0BSD") == ["spdx-0bsd-line"]
+    assert name("Dual-licensed under Apache-2.0 and MIT") == ["dual-apache-2.0-and-mit-line"]
+    assert name("GNU GPL v3 or later") == ["gpl-3-or-later-line"] and name("GNU LGPL v3 or later") == ["lgpl-3-or-later-line"] and name("GNU GPL v2 or later") == ["gpl-2-or-later-line"]
+    assert name("Creative Commons Attribution-ShareAlike License 4.0") == ["cc-by-sa-4.0-named-line"]
+    assert name("SPDX-License-Identifier: Nothing-1.0") == [] and name("the license identifier of a car") == []

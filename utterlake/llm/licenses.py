@@ -124,6 +124,59 @@ for _v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
         for _text, _kind in ((_long, "long"), (_short, "short")):
             if _text not in TEMPLATES.values():
                 TEMPLATES[f"cc-{_k}-{_v}-{_kind}-line"] = _text
+#: Whole texts of short licenses, and the head of a long one.
+TEMPLATES |= {
+    "0bsd": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+        any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+        author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+        make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+        intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    "wtfpl": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing
+        it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR
+        COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.""",
+    "boost-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software
+        and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute,
+        execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to
+        whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and
+        this entire statement, including the above license grant, this restriction and the following disclaimer, must be
+        included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+        copies or derivative works are solely in the form of machine-executable object code generated by a source language
+        processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO
+        EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY,
+        WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    "apache-2.0-text": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE,
+        REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction,
+        and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or
+        entity authorized by the copyright owner that is granting the License.""",
+}
+#: Identifiers as files carry them.
+SPDX = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0
+    CC0-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0 ISC LGPL-2.1-only LGPL-2.1-or-later
+    LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense WTFPL Zlib""".split()
+TEMPLATES |= {f"spdx-{_k.lower()}-line": f"SPDX-License-Identifier: {_k}" for _k in SPDX}
+for _k, _v in (("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3")):
+    TEMPLATES[f"{_k.lower()}-{_v}-or-later-line"] = f"GNU {_k} v{_v} or later"
+    TEMPLATES[f"{_k.lower()}-{_v}-version-or-later-line"] = f"GNU {_k} version {_v} or later"
+for _one, _other in (("Apache-2.0", "MIT"), ("MIT", "Apache-2.0")):
+    for _word in ("and", "or"):
+        TEMPLATES[f"dual-{_one.lower()}-{_word}-{_other.lower()}-line"] = f"Dual-licensed under {_one} {_word} {_other}"
+for _v in ("3.0", "4.0"):
+    for _k, _words in (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike")):
+        TEMPLATES[f"cc-{_k}-{_v}-named-line"] = f"Creative Commons {_words} License {_v}"
 #: The names without a version; a version that follows makes another license of them.
 UNVERSIONED = {"apache-line": "Licensed under the Apache License.", "bsd-line": "Released under the BSD License.", "gpl-line": "This work is licensed under the GNU General Public License.", "mpl-line": "Licensed under the Mozilla Public License."}
 TEMPLATES |= UNVERSIONED
@@ -132,6 +185,7 @@ TEMPLATES |= UNVERSIONED
 NAMES = frozenset("apache mit bsd gnu gpl lgpl agpl lesser affero mozilla mpl isc eclipse epl cc cc0 endorse advertising".split())
 CREATIVE = frozenset("creative commons by nc nd sa attribution noncommercial non commercial sharealike share alike noderivatives noderivs".split())
 LINE_NAMES = frozenset("library zlib boost".split())
+SPDX_WORDS = frozenset(w for k in SPDX for w in WORD.findall(k.lower())) | {"spdx"}
 NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
 VERSION_OF = frozenset("version v license licenses mpl".split())
 #: A template of at most so many words is a line: all its distinguishing words must be there.
@@ -141,7 +195,7 @@ LINE = 30
 def tells(words: list[str], at: int, name: str, line: bool) -> bool:
     """Whether a word tells licenses apart: a name, a number in a line, a version elsewhere."""
     w = words[at]
-    if w in NAMES or line and (w in LINE_NAMES or name.startswith("cc-") and w in CREATIVE):
+    if w in NAMES or line and (w in LINE_NAMES or name.startswith("cc-") and w in CREATIVE or name.startswith("spdx-") and w in SPDX_WORDS):
         return True
     return bool(NUMBER.fullmatch(w)) and (line or at > 0 and words[at - 1] in VERSION_OF)
 
