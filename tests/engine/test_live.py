@@ -159,3 +159,48 @@ def test_telephone_packets_keep_their_length():
     pcm, rms, length = landing.read_packet(x, 8_000)
     assert length == 200 and len(pcm) == 2 * 3200 and 0.15 < rms < 0.25
     assert audio.pcm_to_float(landing.quantised(np.array([2.0, -2.0, 0.5]))).tolist() == [32767 / 32768, -1.0, 0.5]
+
+
+def test_a_term_added_between_batches_corrects_the_second_only(spark, tmp_path):
+    schema = finals.SETTLED
+    rows = lambda utt: [(1, utt, "use klaude now", 0.0, 1.0, [], None)]
+    words = tmp_path / "lexicon.txt"
+    words.write_text("# none yet\nKafka | cafka\n", encoding="utf-8")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    for utt in (0, 1):
+        spark.createDataFrame(rows(utt), schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(utt)))
+        out = lambda done, number: done.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={number}"))
+        q = finals.reloading(stream.parquet(str(tmp_path / "in")), str(words), out, 0.8).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        words.write_text("Kafka | cafka\nClaude | klaude\n", encoding="utf-8")
+    assert {r.utt: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: "use klaude now", 1: "use Claude now"}
+
+
+def test_captions_go_on_without_a_lost_final(spark, tmp_path):
+    columns = f"session_id long, utt long, {captions.WAITING}"
+    row = lambda utt, text: (1, utt, "final", "vad_end", text, [], float(utt), 1.0, float(utt), None, False)
+    spark.createDataFrame([row(1, "第二句话说完了"), row(2, "第三句话说完了")], columns).coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = captions.caption_stream(stream, patience_ms=1000).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            got = [(r.utt, r.raw) for r in spark.sql("select * from late").collect()]
+            if len(got) == 2:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert sorted(got) == [(1, "第二句话说完了"), (2, "第三句话说完了")]
+    assert captions.caption("我们改变命运。", "命运十五个人。") == "十五个人"
+
+
+def test_settings_reach_the_folds():
+    from utterlake import config
+
+    s = config.load({"UTTERLAKE_FLUSH_SILENCE_MS": "700", "UTTERLAKE_VAD_HANGOVER_MS": "0", "UTTERLAKE_OFFLINE_MAX_CHUNK_S": "50"}).checked()
+    assert s.limits().end_silence == 700 and s.limits().hangover == 0 and s.split().max_chunk == 50.0 and config.Settings().limits() == realtime.Limits()
+    out, state = [], realtime.State()
+    for loud in (True,) * 10 + (False,) * 21 + (True,):
+        out += realtime.step(state, 0.05 if loud else 0.0, 100, "audio", s.limits())
+    assert [m[2] for m in out if m[0] == "final"] == ["vad_end"] and state.hang == 0 and state.fresh and state.start == 2900

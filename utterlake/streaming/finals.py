@@ -7,16 +7,18 @@ its words follow the rewritten text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import boundary as B
 from ..functions import hotwords, numbers, tokensync
 from ..functions.text import SENTENCE_END, clean_fillers
 from ..operators.fold import ordered_fold
+from ..sources import lexicons
 
 #: Characters that are carried on as prefix, and the shortest final that gives one.
 CARRY, LEAST = 16, 4
@@ -100,3 +102,18 @@ def finish(settled: DataFrame, terms: list[hotwords.Term], least: float = 0.85)
         F.when(timed, F.greatest("start", F.get("words", F.lit(0))["start"])).otherwise(F.col("start")).alias("start"),
         F.when(timed, F.element_at("words", -1)["end"]).otherwise(F.col("end")).alias("end"), "words", gone.alias("dropped"),
     )
+
+
+def lexicon_terms(spark: SparkSession, path: str) -> list[hotwords.Term]:
+    """The lexicon as it stands now; it is read by Spark, so any store will do."""
+    rows = lexicons.read(spark, path).collect()
+    return [hotwords.Term(r["target"], tuple(r["aliases"]), tuple(r["black"])) for r in sorted(rows, key=lambda r: r["target"])]
+
+
+def reloading(settled: DataFrame, lexicon: str, write: Callable[[DataFrame, int], None], least: float = 0.85) -> DataStreamWriter:
+    """Finishes a stream of settled finals with a lexicon that may change while it runs.
+
+    Each batch reads the lexicon once, when it begins, and keeps that version to its end; ``write`` takes the
+    finished rows and the batch's number, by which a replayed batch can be told.
+    """
+    return settled.writeStream.foreachBatch(lambda batch, number: write(finish(batch, lexicon_terms(batch.sparkSession, lexicon), least), number))

@@ -86,16 +86,16 @@ def _message(s: State, kind: str, reason: str, end: int) -> Message:
     return kind, s.utt, reason, s.start, end, s.commit, s.drop, s.fresh
 
 
-def _turn(s: State, reason: str, hangover: int = 0) -> list[Message]:
+def _turn(s: State, reason: str, hangover: int | None = None) -> list[Message]:
     """Emits the whole buffer, if there is one, and begins anew: after an end of speech with a hangover, else with a fresh detector."""
     if s.start is None:
         return []
     out = [_message(s, "final", reason, s.clock)]
-    if hangover:
-        s.ring = s.clock
-    else:
+    if hangover is None:
         s.active, s.speech, s.silence = False, 0, 0
-    s.utt, s.start, s.drop, s.shown, s.waiting, s.hang, s.kept, s.fresh = s.utt + 1, None, None, 0, -1, hangover, None, False
+    else:
+        s.ring = s.clock
+    s.utt, s.start, s.drop, s.shown, s.waiting, s.hang, s.kept, s.fresh = s.utt + 1, None, None, 0, -1, hangover or 0, None, False
     s.energy, s.held, s.held_silence = 0, False, 0
     return out
 
