@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
+
 # Groups of similar phonemes.
 SIMILAR = [set(x.split()) for x in ("an ang", "en eng", "in ing", "ian iang", "uan uang", "z zh", "c ch", "s sh", "l n", "f h", "ai ei", "o uo", "e ie", "p t", "p b", "t d", "k g")]
 WORDS = re.compile(r"[一-鿿]|[A-Za-z]+|[0-9]+")
@@ -91,63 +92,76 @@ def alignments(term: list[Phoneme], text: list[Phoneme], least: float) -> list[t
     return [(round(1 - d / n, 3), s, j) for j, (d, s) in enumerate(row) if j > s and d <= limit and text[j - 1].last]
 
 
-def _grams(values: list[str], size: int) -> set[tuple[str, ...]]:
-    return set(zip(*(values[k:] for k in range(size)), strict=False))
-
-
 class Lexicon:
-    """Terms with an index of the pairs of phonemes that follow each other, so that only terms that can reach
-    ``least`` are aligned.
+    """Terms whose distances to a text are bounded from below, all aliases side by side.
 
-    Each edit takes at most two pairs from an alias and one phoneme; with its cost limit an alias keeps
-    so many that fewer hits rule it out.  No hit above ``least`` is lost.
+    An alias is one machine word, a bit a phoneme; a column of all aliases' alignment tables is two such words each,
+    and goes on by one phoneme of the text in a dozen operations on whole arrays.  A half cost counts nothing, and an
+    alignment may start anywhere, so a bound never exceeds the distance and no hit above ``least`` is lost; only
+    aliases whose bound stays within ``least`` at the end of a word are aligned, and only up to that end.
     """
 
+    BITS = 64
+
     def __init__(self, terms: list[Term], table: dict[str, tuple[str, str, str]] | None = None, least: float = 0.85):
         self.table, self.least = table, least
         self.aliases = [(t, made) for t in terms for alias in t.aliases if (made := phonemes(alias, table))]
-        self.pairs: dict[tuple[str, ...], list[int]] = {}
-        self.single: dict[tuple[str, ...], list[int]] = {}
-        self.need: dict[int, int] = {}
-        self.about: dict[int, tuple[int, int, set]] = {}
-        self.always: list[int] = []
-        for k, (_, made) in enumerate(self.aliases):
-            values = [p.value for p in made]
-            edits = int(((1 - least) * len(made) + 1e-9) / (0.5 if any(p.lang == "zh" for p in made) else 1.0))
-            for index, size, lost in ((self.pairs, 2, 2), (self.single, 1, 1)):
-                grams = _grams(values, size)
-                if len(grams) > lost * edits:
-                    self.need[k] = len(grams) - lost * edits
-                    self.about[k] = size, len(made) + edits, grams
-                    for g in grams:
-                        index.setdefault(g, []).append(k)
-                    break
-            else:
-                self.always.append(k)
-
-    def candidates(self, heard: list[Phoneme]) -> list[int]:
+        self.short = np.array([k for k, (_, made) in enumerate(self.aliases) if len(made) <= self.BITS], np.int64)
+        self.always = [k for k, (_, made) in enumerate(self.aliases) if len(made) > self.BITS]
+        self.size = np.array([len(self.aliases[k][1]) for k in self.short], np.int64)
+        self.where: dict[tuple[str, str], tuple[list[int], list[int]]] = {}  # of a phoneme: aliases and places
+        self.tones: tuple[list[int], list[int]] = [], []
+        for n, k in enumerate(self.short):
+            for i, p in enumerate(self.aliases[k][1]):
+                for held in (self.where.setdefault((p.lang, p.value), ([], [])), *([self.tones] if p.tone else [])):
+                    held[0].append(n), held[1].append(i)
+        self.masks: dict[tuple[str, str], np.ndarray] = {}
+
+    def _mask(self, lang: str, value: str) -> np.ndarray:
+        """Of each alias the places whose cost against a phoneme is less than one."""
+        if (lang, value) not in self.masks:
+            like = {value, *(x for g in SIMILAR if value in g for x in g)} if lang == "zh" else {value}
+            out = np.zeros(len(self.short), np.uint64)
+            for n, i in [*(self.where.get((lang, x), ([], [])) for x in like), *([self.tones] if lang == "zh" else [])]:
+                np.bitwise_or.at(out, n, np.uint64(1) << np.array(i, np.uint64))
+            self.masks[lang, value] = out
+        return self.masks[lang, value]
+
+    def ends(self, heard: list[Phoneme], least: float | None = None) -> dict[int, list[int]]:
+        """Of each alias that may be in a text, by its number, the word ends that it may reach."""
+        limit = (1 - (self.least if least is None else least)) * self.size + 1e-9
+        one, top = np.uint64(1), (self.size - 1).astype(np.uint64)
+        grows, falls, score = np.full(len(self.short), ~np.uint64(0)), np.zeros(len(self.short), np.uint64), self.size.copy()
+        found: dict[int, list[int]] = {}
+        for j, p in enumerate(heard, 1):
+            same = self._mask(p.lang, p.value)
+            down = same | falls
+            across = (((same & grows) + grows) ^ grows) | same
+            up, back = falls | ~(across | grows), grows & across
+            score += ((up >> top) & one).astype(np.int64) - ((back >> top) & one).astype(np.int64)
+            up, back = up << one, back << one
+            grows, falls = back | ~(down | up), up & down
+            if p.last:
+                for n in np.flatnonzero(score <= limit).tolist():
+                    found.setdefault(int(self.short[n]), []).append(j)
+        return found
+
+    def candidates(self, heard: list[Phoneme], least: float | None = None) -> list[int]:
         """Aliases that may be in a text, by their number."""
-        values = [p.value for p in heard]
-        hits: Counter = Counter()
-        for index, size in ((self.pairs, 2), (self.single, 1)):
-            for g in _grams(values, size):
-                hits.update(index.get(g, ()))
-        return sorted([k for k, n in hits.items() if n >= self.need[k]] + self.always)
-
-    def places(self, k: int, heard: list[Phoneme], at: dict[tuple[str, ...], list[int]]) -> Iterator[tuple[int, int]]:
-        """Stretches of a text in which an alias can lie: what it keeps stands in it, and it is at most so long."""
-        if k not in self.about:
-            yield 0, len(heard)
-            return
-        size, reach, grams = self.about[k]
+        return sorted([*self.ends(heard, least), *self.always])
+
+    def places(self, k: int, ends: list[int]) -> Iterator[tuple[int, int]]:
+        """Stretches of a text in which an alias can lie: before a word end, at most so long; those that meet are one."""
+        n = len(self.aliases[k][1])
+        reach = n + int((1 - self.least) * n + 1e-9)
         low = high = -1
-        for p in sorted(p for g in grams for p in at.get(g, ())):
-            if low >= 0 and p - reach <= high:
-                high = p + reach + size
+        for j in ends:
+            if low >= 0 and j - reach <= high:
+                high = j
                 continue
             if low >= 0:
                 yield low, high
-            low, high = max(0, p - reach), p + reach + size
+            low, high = max(0, j - reach), j
         if low >= 0:
             yield low, high
 
@@ -156,14 +170,12 @@ class Lexicon:
         heard = phonemes(text, self.table)
         words = [(m.start(), m.end(), m[0].lower()) for m in WORDS.finditer(text)]
         begins = [w[0] for w in words]
-        at: dict[tuple[str, ...], list[int]] = {}
-        for size in (1, 2):
-            for p in range(len(heard) - size + 1):
-                at.setdefault(tuple(x.value for x in heard[p : p + size]), []).append(p)
         hits = []
-        for k in self.candidates(heard):
+        ends = self.ends(heard) | {k: [len(heard)] for k in self.always}
+        for k, at in sorted(ends.items()):
             term, alias = self.aliases[k]
-            found = {(score, low + i, low + j) for low, high in self.places(k, heard, at) for score, i, j in alignments(alias, heard[low:high], self.least)}
+            places = [(0, len(heard))] if k in self.always else self.places(k, at)
+            found = {(score, low + i, low + j) for low, high in places for score, i, j in alignments(alias, heard[low:high], self.least)}
             for score, i, j in sorted(found):
                 start, end = heard[i].start, heard[j - 1].end
                 first, last = bisect_right(begins, start) - 1, bisect_left(begins, end)
