@@ -117,6 +117,19 @@ def _assigned(packed: DataFrame, centroids: np.ndarray) -> DataFrame:
     return packed.mapInArrow(run, "vec_id long, cluster int, distance long")
 
 
+def smallest(vectors: DataFrame, k: int, spare: int = 64) -> list:
+    """The ``k`` rows with the smallest hashes.
+
+    A bound on the hash that about ``spare * k`` rows pass comes first, so that what tasks send to the driver does
+    not grow with their number; if fewer than ``k`` pass, all rows are looked at.
+    """
+    named = vectors.withColumn("h", F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256))
+    least = lambda rows: rows.orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()
+    bound = f"{int(min(1.0, spare * k / max(1, vectors.count())) * (16**15 - 1)):015x}"
+    found = least(named.filter(F.left("h", F.lit(15)) <= bound))
+    return found if len(found) == k else least(named)
+
+
 def cluster_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64, scale: int = 64, k: int = 16, rounds: int = 3, block: int = 2, chunk: int = 32_768) -> DataFrame:
     """k-means of integer vectors, exact at every step.
 
@@ -130,7 +143,7 @@ def cluster_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     """
     ready = kept(vectors, id_col, vector_col, dims, scale)
     packed = cut(chunks(ready, dims, block, chunk), "chunks")
-    first = ready.orderBy(F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256).asc_nulls_last(), "v").limit(k).collect()
+    first = smallest(ready, k)
     centroids = np.array([r["v"] for r in first], np.int64).reshape(-1, dims)
     for _ in range(rounds if len(first) else 0):
         sums = _sums(packed, centroids).groupBy("cluster").agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dims)))

@@ -125,12 +125,14 @@ class Space:
 
 
 def choose_pivots(docs: DataFrame, percent: int, *, most: int = 64, sample: int = 512, longest: int = 20_000) -> Space:
-    """Pivots from a bounded sample of (doc_id, text): those with the smallest hashes of their ids.
+    """Pivots from a bounded random sample of (doc_id, text).
 
-    Any choice gives the same links.  The driver sees ``sample`` texts of at most ``longest`` bytes and keeps
-    up to ``most`` of their sets, each farther than ``4t`` from those before, so that windows stay narrow.
+    Any choice gives the same links.  Each row is drawn by itself, so that whatever the number of tasks about
+    ``2 * sample`` texts of at most ``longest`` bytes go to the driver; up to ``most`` of their sets stay, each farther
+    than ``4t`` from those before, so that windows stay narrow.
     """
-    rows = docs.filter("doc_id is not null").filter(F.length("text").between(1, longest)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    drawn = docs.filter(F.rand(5) * F.lit(max(1, docs.count())) < 2 * sample)
+    rows = drawn.filter("doc_id is not null").filter(F.length("text").between(1, longest)).orderBy("doc_id").limit(sample).collect()
     cut_up, chosen = Shingler(WORDS), []
     for s in (cut_up(bytes(r["text"])) for r in rows):
         if len(chosen) < most and len(s) and all((both := len(np.intersect1d(s, c, assume_unique=True))) / (len(s) + len(c) - both) < percent / 25 - 3 for c in chosen):
