@@ -21,3 +21,9 @@ def test_round_trip(spark):
     rows = spark.range(11, 300_000, 13).union(spark.range(10**8 - 5, 2 * 10**8, 999_983)).union(spark.range(10**11, 10**11 + 50, 7)).withColumn("s", N.spell(F.col("id"))).withColumn("t", N.normalise(F.concat(F.lit("共"), "s", F.lit("元"))))
     bad = rows.filter(F.col("t") != F.concat(F.lit("共"), F.when(F.col("id") % 10**8 == 0, F.concat((F.col("id") / 10**8).cast("long").cast("string"), F.lit("亿"))).when(F.col("id") % 10_000 == 0, F.concat((F.col("id") / 10_000).cast("long").cast("string"), F.lit("万"))).otherwise(F.col("id").cast("string")), F.lit("元"))).collect()
     assert bad == []
+
+
+def test_runs_with_a_written_zero_stay():
+    from utterlake.functions.numbers import to_digits
+
+    assert to_digits("在二〇二四年五月") == "在二〇二四年五月" and to_digits("一〇一室有十五人") == "一〇一室有15人"

@@ -129,6 +129,8 @@ def _replace(m: re.Match) -> str:
     text, whole = m.string, m[0]
     start, end = m.span()
     sign = {"负": "-", "正": "+", None: ""}[m["sign"]]
+    if "〇" in (text[start - 1 : start], text[end : end + 1]):  # a written zero: half of such a run would be wrong
+        return whole
     for idiom in IDIOMS:
         at = text.find(idiom)
         if at >= 0 and max(start - 2, 0) <= at < end and len(whole) <= len(idiom):
