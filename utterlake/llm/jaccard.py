@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import U64, Shingler, _mix, components, rare_pairs, shingle_sets
-from .store import cut, per_worker
+from .store import cut, per_worker, sized
 
 WORDS = 3
 FAR = -1
@@ -175,7 +175,7 @@ def place(docs: DataFrame, space: Space) -> DataFrame:
 def measure(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact size of their intersection and union: both, total."""
     one, two = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    met = pairs.join(sized(one), "a").join(sized(two), "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     return met.select("a", "b", "both", (F.col("sizes") - F.col("both")).alias("total"))
 
 
@@ -187,11 +187,11 @@ def _mixed(now: DataFrame) -> DataFrame:
     """Of leaves (key, rep, n, label) those with several labels; of leaves with the same members one."""
     groups = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
     one = groups.filter("low < high").groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
-    return now.join(one, "key")
+    return now.join(sized(one), "key")
 
 
 def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    found = rows.drop("label").join(labels, F.col("rep") == F.col("node"), "left")
+    found = rows.drop("label").join(sized(labels), F.col("rep") == F.col("node"), "left")
     return found.select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
 
 
@@ -223,7 +223,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     leaves = stays.select(F.explode("keys").alias("key"), "rep", "n")
     heads = leaves.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
-    grouped = cut(leaves.join(heads, "key"), "leaves")
+    grouped = cut(leaves.join(sized(heads), "key"), "leaves")
     near = alike(percent)
     stars = cut(grouped.filter("rep <> hub").filter(near("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     holds = (100 * F.col("both") >= percent * F.col("total"))
@@ -237,12 +237,12 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sets = shingle_sets(source, rest.select(F.col("rep").alias("doc_id")).distinct(), words=WORDS)
         for k in range(rounds):
             pivots = rest.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("pivot"))
-            around = rest.join(pivots, "key").filter("rep <> pivot")
+            around = rest.join(sized(pivots), "key").filter("rep <> pivot")
             far = cut(measure(sets, around.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "measured")
             links = cut(links.unionByName(far.filter(holds).select("a", "b")).distinct(), "links")
             labels = components(links)
             ring = F.floor((1 - F.col("both") / F.col("total")) / (t + EPS)).cast("int")
-            rings = around.join(far, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "n", ring.alias("ring"))
+            rings = around.join(sized(far), (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "n", ring.alias("ring"))
             rings = rings.select(F.explode(F.array("ring", F.col("ring") - 1)).alias("ring"), "key", "rep", "n").filter("ring >= 0")
             rest = cut(_mixed(_relabel(rings.select(F.xxhash64("key", "ring").alias("key"), "rep", "n"), labels)), "rest")
             if rest.isEmpty():
@@ -253,8 +253,8 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labels = components(links)
 
     n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    ends = members.select("rep", "set_key").join(labels, F.col("rep") == F.col("node"), "left").join(n_links, "rep", "left")
-    found = cut(classes.select("set_key").join(ends.select("set_key", F.coalesce("label", "rep").alias("component_id"), "n_links"), "set_key", "left"), "found")
-    out = placed.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    ends = members.select("rep", "set_key").join(sized(labels), F.col("rep") == F.col("node"), "left").join(sized(n_links), "rep", "left")
+    found = cut(classes.select("set_key").join(sized(ends.select("set_key", F.coalesce("label", "rep").alias("component_id"), "n_links")), "set_key", "left"), "found")
+    out = placed.select("doc_id", "n_shingles", "set_key").join(sized(found), "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import cut, per_worker
+from .store import cut, per_worker, sized
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
@@ -105,23 +105,23 @@ def kept_lines(docs: DataFrame, exact_below: int, most_broadcast: int = 1_000_00
     distinct = cut(_lines(docs).select(*AT, F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), *halves).groupBy("h1", "h2", *ks).agg(F.min(F.struct(*AT)).alias("at")).select("at.*", *ks), "lines")
     keys = distinct.filter("k0 is not null").select(*AT, F.explode(F.array(*ks)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key")
-    maybe = cut(keys.join(shared, "key").select(*AT).distinct(), "maybe")
+    maybe = cut(keys.join(sized(shared), "key").select(*AT).distinct(), "maybe")
     few = maybe.count() <= most_broadcast  # of 20 bytes; else both sides are shuffled
     # rows of one id and one text are the same here
-    texts = cut(_lines(docs).join(F.broadcast(maybe) if few else maybe, AT).dropDuplicates(AT), "texts")
+    texts = cut(_lines(docs).join(sized(maybe, few), AT).dropDuplicates(AT), "texts")
 
     made = cut(texts.mapInArrow(_variants, "variant long, place int, doc_id long, text_key long, line_no int"), "variants")
     at = F.struct(*AT)
     gone = made.filter("place >= 0")
     first = gone.groupBy("variant", "place").agg(F.min(at).alias("early"), F.count("*").alias("n")).filter("n > 1").select("variant", "place", "early")
-    replaced = gone.join(first, ["variant", "place"]).select(at.alias("late"), "early")
+    replaced = gone.join(sized(first), ["variant", "place"]).select(at.alias("late"), "early")
     whole = made.filter("place = -1").select("variant", at.alias("whole"))
-    missing = gone.join(whole, "variant").select(F.greatest(at, "whole").alias("late"), F.least(at, "whole").alias("early"))
+    missing = gone.join(sized(whole), "variant").select(F.greatest(at, "whole").alias("late"), F.least(at, "whole").alias("early"))
     pairs = replaced.unionByName(missing).filter("early < late").distinct().select("late", "early", "late.*")
-    pairs = pairs.join(texts.withColumnRenamed("line", "a"), AT).select("late", "a", "early.*").join(texts.withColumnRenamed("line", "b"), AT)
+    pairs = pairs.join(sized(texts.withColumnRenamed("line", "a")), AT).select("late", "a", "early.*").join(sized(texts.withColumnRenamed("line", "b")), AT)
     near = F.levenshtein("a", "b", 1).between(0, 1) & (F.greatest(F.char_length("a"), F.char_length("b")) >= exact_below)
     drop = pairs.filter(near).select("late.*").distinct()
-    return distinct.select(*AT).join(drop, AT, "left_anti")
+    return distinct.select(*AT).join(sized(drop), AT, "left_anti")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", exact_below: int = 32) -> DataFrame:
@@ -158,11 +158,10 @@ def _joined(source: DataFrame, exact_below: int, most_broadcast: int = 1_000_000
     """The first column of ``source`` with the text and the line numbers that stay."""
     # a hash of the text tells rows of one id apart; where an id has one row it is 0, which costs next to nothing
     several = cut(source.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("several")), "several")
-    if several.count() <= most_broadcast:  # of 8 bytes; else both sides are shuffled
-        several = F.broadcast(several)
-    keyed = source.join(several, source["doc_id"] == several["several"], "left").withColumn("text_key", F.when(F.col("several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+    several = sized(several, several.count() <= most_broadcast)  # of 8 bytes; else both sides are shuffled
+    keyed = source.join(several, F.col("doc_id") == F.col("several"), "left").withColumn("text_key", F.when(F.col("several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
     stay = kept_lines(keyed.select("doc_id", "text_key", "text"), exact_below).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("stay"))
-    joined = keyed.join(stay, ["doc_id", "text_key"], "left")
+    joined = keyed.join(sized(stay), ["doc_id", "text_key"], "left")
     # the join has put rows of one id and one text side by side
     first = F.row_number().over(W.partitionBy("doc_id", "text_key").orderBy("doc_id")) == 1
     return joined.withColumn("first", first).select(source.columns[0], "text", F.when(F.col("first"), F.col("stay")).alias("stay"))

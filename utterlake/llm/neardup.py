@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .packing import Cache
-from .store import cut, per_worker
+from .store import cut, per_worker, sized
 
 U64 = np.uint64
 WORDS, SYMBOLS, CHUNKS, ERRORS = 5, 50, 10, 1
@@ -114,24 +114,25 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, most_broadcast: int = 200_000) -> DataFrame:
     """Connected components of an edge table: node, label (the smallest node it reaches).
 
-    Alternates large-star and small-star rounds, each written, until the edges no longer change.
+    Alternates large-star and small-star rounds, each written, until the edges no longer change.  The
+    smallest neighbours are broadcast while there are at most ``most_broadcast`` edges.
     """
     now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
-    seen = None
+    seen, few = None, now.count() * 2 <= most_broadcast
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(sized(least, few), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(floor.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(sized(floor, few), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(floor.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small, "star")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, few = state, state[0] * 2 <= most_broadcast
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -144,9 +145,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_00
     are shuffled.
     """
     ids = cut(ids, "ids")
-    if ids.count() <= most_broadcast:
-        ids = F.broadcast(ids)
-    return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
+    return cut(docs.join(sized(ids, ids.count() <= most_broadcast), "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
 
 
 def rare_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -156,15 +155,15 @@ def rare_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     first shared one lies so early in both that what follows still holds the least overlap.  Shingles of a
     passage that many documents share come last, and own edits of near copies first, so neither makes pairs.
     """
-    tokens = sets.join(members, "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    tokens = sets.join(sized(members), "rep").select("rep", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = tokens.groupBy("s").agg(F.count("*").alias("df"))
     order = W.partitionBy("rep", "n").orderBy("df", "s")
-    early = tokens.join(counts, "s").withColumn("i", F.row_number().over(order) - 1)
+    early = tokens.join(sized(counts), "s").withColumn("i", F.row_number().over(order) - 1)
     early = cut(early.filter((100 * (F.col("n") - F.col("i")) >= percent * F.col("n")) & (F.col("df") > 1)).drop("df"), "early")
     x, y = (early.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "label", "n", "i"))) for k in "ab")
     room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     fits = (F.col("label_a") < F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")))
-    return x.join(y, (x["s"] == y["s"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return x.join(sized(y), (x["s"] == y["s"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -175,7 +174,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, most_broadcast: int
     sets = shingle_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), most_broadcast)
     one, two = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
     inter, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-    return pairs.join(one, "a").join(two, "b").filter(100 * inter >= percent * (total - inter)).select("a", "b").distinct()
+    return pairs.join(sized(one), "a").join(sized(two), "b").filter(100 * inter >= percent * (total - inter)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -195,7 +194,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = classes.filter("rep is not null").select("rep", F.col("n_shingles").alias("n"), "signature")
     keys = members.mapInArrow(_keys, "key long, rep long, n long")
     heads = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
-    grouped = cut(keys.join(heads, "key"), "grouped")
+    grouped = cut(keys.join(sized(heads), "key"), "grouped")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     # first against the smallest member of each group
@@ -205,16 +204,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # then unlike components that still share a group
     label = F.coalesce("label", "rep").alias("label")
-    now = grouped.join(labels, grouped["rep"] == labels["node"], "left").select("key", "rep", "n", label)
+    now = grouped.join(sized(labels), grouped["rep"] == labels["node"], "left").select("key", "rep", "n", label)
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = cut(now.join(mixed, "key").select("rep", "label").distinct(), "rest")
+    rest = cut(now.join(sized(mixed), "key").select("rep", "label").distinct(), "rest")
     sets = shingle_sets(source, rest.select(F.col("rep").alias("doc_id")))
-    more = confirm(source, rare_pairs(sets, rest, percent).join(stars, ["a", "b"], "left_anti"), percent)
+    more = confirm(source, rare_pairs(sets, rest, percent).join(sized(stars), ["a", "b"], "left_anti"), percent)
     ends = cut(components(links.unionByName(more)), "ends")
 
     label = F.coalesce("label", "rep").alias("component_id")
-    found = cut(classes.join(ends, classes["rep"] == ends["node"], "left").select("set_key", label), "found")
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
+    found = cut(classes.join(sized(ends), classes["rep"] == ends["node"], "left").select("set_key", label), "found")
+    out = sketches.select("doc_id", "n_shingles", "set_key").join(sized(found), "set_key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -230,5 +229,5 @@ def keep_one_each(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     named = docs.select(own.alias("doc_id"), "text")
     kept = cut(near_duplicates(named, percent=percent).filter("kept").select(F.col("doc_id").alias("own")).distinct(), "kept")
     # a row travels as one column, so that no name of its own meets one made here
-    rows = docs.select(own.alias("own"), "text", F.struct(*docs.columns).alias("row")).join(kept, "own", "left_semi")
+    rows = docs.select(own.alias("own"), "text", F.struct(*docs.columns).alias("row")).join(sized(kept), "own", "left_semi")
     return rows.filter("row.doc_id is not null").unionByName(rows.filter("row.doc_id is null").dropDuplicates(["own", "text"])).select("row.*")

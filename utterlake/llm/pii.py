@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, per_worker
+from .store import cut, per_worker, sized
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  A run of digits is taken whole, which changes no match and needs no retries.
@@ -306,7 +306,7 @@ def _spans(source: DataFrame, rounds: int | None, confident: float, support: int
     scanned = cut(scan(source.select("doc_id", "text", F.xxhash64("text").alias("text_key"))).withColumn("row", F.monotonically_increasing_id()), "scanned")
     new = discover(scanned, rounds, confident, support)
     open_ = scanned.select("row", F.explode(F.filter("found", lambda x: x["kind"] == -1)).alias("x")).select("row", "x.start", "x.end", "x.value")
-    more = open_.join(new, "value").groupBy("row").agg(F.collect_list(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("more"))
+    more = open_.join(sized(new, new.count() <= 200_000), "value").groupBy("row").agg(F.collect_list(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("more"))
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
     own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(more, "row", "left")

@@ -16,6 +16,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -41,6 +42,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, few: bool = False) -> DataFrame:
+    """The side of a join that a count found small, to broadcast; else both sides are shuffled.
+
+    Spark's own choice goes by a table's bytes on disk, or by a column's usual size: what an explode, a
+    mapInArrow or compression hides may be a hundred times as much in the driver.
+    """
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 _HELD: dict[tuple, Any] = {}
 
 
