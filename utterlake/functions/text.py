@@ -35,9 +35,9 @@ def has_content(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\p{P}]")
 
 
-def strip(text: Column) -> Column:
-    """Without Unicode white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+def strip(text: Column, space: str = SPACE) -> Column:
+    """Without white space (Unicode, if not given) at either end."""
+    return F.regexp_replace(text, rf"^(?:{space})+|(?:{space})+\z", "")
 
 
 def strip_terminal(text: Column, ends: str = SENTENCE_END) -> Column:
@@ -81,11 +81,11 @@ def drop_sounds(text: Column, n: int) -> Column:
     return F.regexp_replace(text, rf"(?s)(?:[^{silent}][{silent}]*+){{0,{n}}}\z", "")
 
 
-def carry_tail(text: Column, n: int = 5) -> Column:
-    """The last ``n`` characters if there is any ideograph, else the last ``n`` words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+def carry_tail(text: Column, n: int = 5, space: str = SPACE) -> Column:
+    """The last ``n`` characters if there is any ideograph, else the last ``n`` words; ``space`` parts words."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), rf"(?:{space})+"), lambda w: w != "")
     last = F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), n), " ")
-    return F.when(text.rlike("[一-鿿]"), F.right(strip(text), F.lit(n))).otherwise(last)
+    return F.when(text.rlike("[一-鿿]"), F.right(strip(text, space), F.lit(n))).otherwise(last)
 
 
 def suffix_prefix(prev: Column, text: Column) -> Column:
