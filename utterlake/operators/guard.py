@@ -29,7 +29,7 @@ from ..functions import boundary as B
 from ..functions.text import has_content
 from ..store import written
 from . import stitch
-from .fold import ordered_fold
+from .fold import SLICE, ordered_fold
 from .packets import hallucinated
 from .planner import SplitConfig, chunk_plans
 
@@ -106,7 +106,7 @@ def rescue(slices: DataFrame, silences: DataFrame, key: str, decode: Decode, att
     plans = chunk_plans(long_.select("slice", total.alias("duration")), local, "slice", cfg)
     asked = plans.join(long_.select(key, "slice", F.col("start").alias("from_")), "slice")
     asked = asked.select(key, "slice", "chunk", "kind", "drop_before", "audio_start", "audio_end", (F.col("from_") + F.col("audio_start")).alias("start"), (F.col("from_") + F.col("audio_end")).alias("end"), F.lit(attempt).alias("attempt"))
-    return short.unionByName(ordered_fold(decode(asked), ["slice"], ["chunk"], lambda row: _Slices(row, 0.15), f"slice long, text string, words {WORDS}"))
+    return short.unionByName(ordered_fold(decode(asked), ["slice"], ["chunk"], lambda row: _Slices(row, 0.15), f"slice long, text string, words {WORDS}", SLICE))
 
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
