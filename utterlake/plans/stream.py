@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tokensync
 from ..operators import packets as P
+from ..operators.fold import sliced
 from .live import UTTERANCES, realtime_utterances
 from .native import FRAMES, TOKENS, frames, query, table, turns
 
@@ -84,14 +85,15 @@ def tail_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOK5, SRT7: a span of a turn's characters is replaced; the new word takes the time of all it touches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             rows = []
-            for conv, turn, words in zip(b["conv_id"], b["turn"], b["words"], strict=True):
+            for conv, turn, words in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "words")), strict=True):
                 held = [(w["word"], w["start"], w["end"]) for w in words]
                 new = tokensync.sync_replacements(held, [(10, 20, "<X>")])
                 marked = [w for w in new or () if w[0] == "<X>"]
                 rows.append((conv, turn, "".join(w for w, _, _ in new or held), *((marked[0][1], marked[0][2]) if marked else (None, None))))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "text", "start_ms", "end_ms"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "turn", "text", "start_ms", "end_ms"])
 
-    return turns(spark, sf_dir).filter("words is not null").mapInPandas(run, "conv_id long, turn long, text string, start_ms long, end_ms long")
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return turns(spark, sf_dir).filter("words is not null").mapInArrow(run, "conv_id long, turn long, text string, start_ms long, end_ms long")
