@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,14 +140,37 @@ def clean_fillers(text: Column) -> Column:
     return F.when(cut == text, text).otherwise(tidy)
 
 
+def short_runs(text: str, least: int, upto: int) -> set[tuple[int, int, int]]:
+    """:func:`runs` of periods up to ``upto``: where a period is kept up for so long, one of the places so far apart shows it."""
+    found: dict[tuple[int, int], int] = {}
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(text)
+    for period in range(1, min(upto, n // least) + 1):
+        step = max(1, (least - 1) * period)
+        done = 0
+        for at in (np.flatnonzero(code[: n - period : step] == code[period::step]) * step).tolist():
+            if at < done:
+                continue
+            begin, end = at, at + period + 1
+            while begin and text[begin - 1] == text[begin - 1 + period]:
+                begin -= 1
+            while end < n and text[end] == text[end - period]:
+                end += 1
+            done = end - period
+            if end - begin >= least * period:
+                found.setdefault((begin, end), period)  # a multiple of a shorter period spans the same
+    return {(begin, end, period) for (begin, end), period in found.items()}
+
+
 def runs(text: str, least: int) -> list[tuple[int, int, int]]:
     """(begin, end, period) of all stretches that equal themselves a shortest period further, ``least`` periods and longer.
 
     For each power of two a block at every multiple of it: in a stretch whose period is no longer, the block comes
-    again one period on, and nowhere before.  All levels together look at n log n characters.
+    again one period on, and nowhere before.  All levels together look at n log n characters.  Short periods, whose
+    blocks would be most of the work, are found apart (of two copies only, stretches of several periods overlap too far).
     """
-    found: set[tuple[int, int, int]] = set()
-    n, size = len(text), 1
+    found, size = (short_runs(text, least, 8), 16) if least > 2 else (set(), 1)
+    n = len(text)
     while size * least // 2 <= n:
         upto = 0
         for at in range(0, n - size + 1, size):
