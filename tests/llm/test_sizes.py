@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from utterlake.llm import jaccard, lines, neardup
+from utterlake.llm import jaccard, lines, neardup, pii
+from utterlake.llm.store import cut
 
 
 def plans(spark, act) -> dict[str, str]:
@@ -55,3 +56,22 @@ def test_components_beyond_the_broadcast(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 7).alias("b"))
     few, many = (sorted(map(tuple, neardup.components(edges, most_broadcast=n).collect())) for n in (200_000, 0))
     assert few == many == [(k, k - k % 7) for k in range(300) if k % 7]
+
+
+def personal(spark):
+    rows = [(i, f"mail me at user{i}@mail.example or +1 555 010 {i:04d}\n" + (f"mail me at user{i} at mail dot example" if i % 3 else "")) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_scanned_rows_are_shuffled(spark):
+    d = personal(spark)
+    made = plans(spark, lambda: cut(pii.find(d), "spans"))
+    assert "SortMergeJoin" in made["spans"]
+
+
+def test_many_edges_are_shuffled(spark):
+    scanned = cut(pii.scan(personal(spark).withColumn("text_key", F.xxhash64("text"))), "scanned")
+    found = []
+    for n in (200_000, 0):
+        made = plans(spark, lambda n=n: found.append(sorted(map(tuple, pii.discover(scanned, None, 0.8, 3, few_edges=n).collect()))))
+    assert found[0] == found[1] and "BroadcastExchange" not in made["edges"] + made["sides"] + made["good"]

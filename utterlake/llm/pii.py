@@ -245,7 +245,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SCAN)
 
 
-def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int, most_broadcast: int = 1_000_000) -> DataFrame:
+def discover(scanned: DataFrame, rounds: int | None, confident: float, support: int, most_broadcast: int = 1_000_000, few_edges: int = 200_000) -> DataFrame:
     """Values that the pattern graph makes known beyond the seeds: value, new_kind.
 
     Edges are (pattern, value), once each however often they occur; small numbers count once a text.  A pattern
@@ -257,22 +257,25 @@ def discover(scanned: DataFrame, rounds: int | None, confident: float, support:
     known from then on if its own score does.  Known values only grow; the rounds end when none is new, or after
     ``rounds``.  Only patterns with ``support`` values take part.  Those that count are broadcast if at most
     ``most_broadcast`` of them (of some 40 bytes) are found; else both sides are shuffled.
+    No other side of a join has more rows than there are edges: up to ``few_edges`` Spark chooses, beyond them both
+    sides are shuffled.
     """
     found = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", "x.refused", F.explode("x.patterns").alias("pattern"))
     every = cut(found.groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.max("refused").alias("refused")), "every")
+    side = (lambda df: df) if every.count() <= few_edges else sized
     seeds = cut(every.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).withColumn("score", F.lit(1.0)), "seeds")
     common = every.groupBy("pattern").agg(F.count("*").alias("n"), F.max("kind").alias("most"), F.min("kind").alias("least")).filter((F.col("n") >= support) & (F.col("least") < 0))
-    edges = cut(every.join(common.select("pattern"), "pattern", "left_semi").withColumn("address", F.col("value").contains("@")), "edges")
-    small = scanned.select("text_key", F.explode("small").alias("pattern")).join(edges.select("pattern").distinct(), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias("small"))
+    edges = cut(every.join(side(common.select("pattern")), "pattern", "left_semi").withColumn("address", F.col("value").contains("@")), "edges")
+    small = scanned.select("text_key", F.explode("small").alias("pattern")).join(side(edges.select("pattern").distinct()), "pattern", "left_semi").distinct().groupBy("pattern").agg(F.count("*").alias("small"))
     number = lambda c: F.sum(c.cast("long"))
     kinds = [F.sum((F.col("kind") == k).cast("long")).alias(f"seeds{k}") for k in range(len(KINDS))]
-    sides = cut(edges.groupBy("pattern").agg(F.count("*").alias("n"), number(F.col("address")).alias("addresses"), number(F.col("refused")).alias("refused"), *kinds).join(small, "pattern", "left").fillna(0, ["small"]), "sides")
+    sides = cut(edges.groupBy("pattern").agg(F.count("*").alias("n"), number(F.col("address")).alias("addresses"), number(F.col("refused")).alias("refused"), *kinds).join(side(small), "pattern", "left").fillna(0, ["small"]), "sides")
     open_ = edges.filter((F.col("kind") == -1) & ~F.col("refused"))
     known = seeds
     for _ in count() if rounds is None else range(rounds):
-        scored = edges.select("pattern", "value", "address").join(known, "value").groupBy("pattern", F.col("kind").alias("new_kind")).agg(F.sum("score").alias("mass"), F.count("*").alias("held"), number(F.col("address")).alias("held_addresses"))
+        scored = edges.select("pattern", "value", "address").join(side(known), "value").groupBy("pattern", F.col("kind").alias("new_kind")).agg(F.sum("score").alias("mass"), F.count("*").alias("held"), number(F.col("address")).alias("held_addresses"))
         whole = scored.groupBy("pattern").agg(F.sum("held").alias("all_held"), F.sum("held_addresses").alias("all_addresses"))
-        at = scored.filter(F.col("held") >= support).join(whole, "pattern").join(sides, "pattern")
+        at = scored.filter(F.col("held") >= support).join(side(whole), "pattern").join(side(sides), "pattern")
         addresses = F.col("addresses") - F.col("all_addresses")
         numbers = F.col("n") - F.col("addresses") - F.col("refused") - (F.col("all_held") - F.col("all_addresses"))
         email, others = F.col("new_kind") == 0, sum((F.when(F.col("new_kind") == k, 0).otherwise(F.col(f"seeds{k}")) for k in range(len(KINDS))), F.lit(0))
@@ -280,10 +283,10 @@ def discover(scanned: DataFrame, rounds: int | None, confident: float, support:
         against = others + F.col("refused") + F.col("small") + unlike + alike / (4 * F.col("mass"))
         weight = F.when(F.col("pattern").startswith(SHAPE), F.col("mass") / F.col("n")).otherwise(F.col("mass") / (F.col("mass") + against))
         good = cut(at.select("pattern", "new_kind", weight.alias("weight")).filter(F.col("weight") >= confident), "good")
-        new = open_.join(F.broadcast(good) if good.count() <= most_broadcast else good, "pattern").filter(F.col("address") == (F.col("new_kind") == 0))
+        new = open_.join(sized(good, good.count() <= most_broadcast), "pattern").filter(F.col("address") == (F.col("new_kind") == 0))
         new = new.groupBy("value", "new_kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("weight")))))).alias("score"))
         best = new.groupBy("value").agg(F.max(F.struct("score", (-F.col("new_kind")).alias("first"))).alias("b")).select("value", (-F.col("b.first")).alias("kind"), F.col("b.score").alias("score"))
-        fresh = cut(best.filter(F.col("score") >= confident).join(known, "value", "left_anti"), "fresh")
+        fresh = cut(best.filter(F.col("score") >= confident).join(side(known), "value", "left_anti"), "fresh")
         if fresh.isEmpty():
             break
         known = cut(known.unionByName(fresh), "known")
@@ -309,7 +312,7 @@ def _spans(source: DataFrame, rounds: int | None, confident: float, support: int
     more = open_.join(sized(new, new.count() <= 200_000), "value").groupBy("row").agg(F.collect_list(F.struct("start", F.col("new_kind").alias("kind"), "end")).alias("more"))
     counts = ["n_email", "n_ip", "n_card", "n_phone"]
     own = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(more, "row", "left")
+    rows = scanned.select("row", "doc_id", "text_key", "base", *counts, own.alias("own")).join(sized(more), "row", "left")
 
     @F.pandas_udf("string")
     def every(base: pd.Series, found: pd.Series) -> pd.Series:
