@@ -75,3 +75,26 @@ def test_many_edges_are_shuffled(spark):
     for n in (200_000, 0):
         made = plans(spark, lambda n=n: found.append(sorted(map(tuple, pii.discover(scanned, None, 0.8, 3, few_edges=n).collect()))))
     assert found[0] == found[1] and "BroadcastExchange" not in made["edges"] + made["sides"] + made["good"]
+
+
+def test_more_links_join_components_without_the_old_ones(spark):
+    rows = [(k, k - k % 7) for k in range(300)]
+    more = [(0, 7), (13, 290), (7, 14), (400, 401), (401, 3), (500, 510), (20, 16), (9, 9)]
+    first, later = (spark.createDataFrame(x, "a long, b long") for x in (rows, more))
+    labels = neardup.components(first)
+    found = []
+    made = plans(spark, lambda: found.append(neardup.extended(labels, later)))
+    want = sorted(map(tuple, neardup.components(first.unionByName(later)).collect()))
+    assert sorted(map(tuple, found[0].collect())) == want and "labels" in made
+    none = neardup.extended(labels, later.limit(0))
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, labels.collect()))
+
+
+def test_settled_stars_take_one_round(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (5, 9)], "a long, b long")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = neardup.components(edges)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert spark._jsparkSession.sharedState().statusStore().executionsCount() - before == 2  # the edges, and one round
+    assert sorted(map(tuple, got.collect())) == [(2, 1), (3, 1), (9, 5)]
+    assert neardup.components(edges.limit(0)).collect() == []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import U64, Shingler, _mix, components, rare_pairs, shingle_sets
+from .neardup import U64, Shingler, _mix, components, extended, rare_pairs, shingle_sets
 from .store import cut, per_worker, sized
 
 WORDS = 3
@@ -239,8 +239,8 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pivots = rest.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("pivot"))
             around = rest.join(sized(pivots), "key").filter("rep <> pivot")
             far = cut(measure(sets, around.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "measured")
-            links = cut(links.unionByName(far.filter(holds).select("a", "b")).distinct(), "links")
-            labels = components(links)
+            more = far.filter(holds).select("a", "b")
+            links, labels = links.unionByName(more), extended(labels, more)
             ring = F.floor((1 - F.col("both") / F.col("total")) / (t + EPS)).cast("int")
             rings = around.join(sized(far), (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "rep", "n", ring.alias("ring"))
             rings = rings.select(F.explode(F.array("ring", F.col("ring") - 1)).alias("ring"), "key", "rep", "n").filter("ring >= 0")
@@ -249,10 +249,10 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 break
         else:
             left = cut(rest.select("rep", "label").distinct(), "left")
-            links = cut(links.unionByName(linked(sets, rare_pairs(sets, left, percent))), "links")
-            labels = components(links)
+            more = cut(linked(sets, rare_pairs(sets, left, percent)), "links")
+            links, labels = links.unionByName(more), extended(labels, more)
 
-    n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    n_links = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     ends = members.select("rep", "set_key").join(sized(labels), F.col("rep") == F.col("node"), "left").join(sized(n_links), "rep", "left")
     found = cut(classes.select("set_key").join(sized(ends.select("set_key", F.coalesce("label", "rep").alias("component_id"), "n_links")), "set_key", "left"), "found")
     out = placed.select("doc_id", "n_shingles", "set_key").join(sized(found), "set_key", "left")

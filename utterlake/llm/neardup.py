@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,30 +114,51 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _counted(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """Edges (a, b), written, with their number and a sum of their hashes, which the write itself gives."""
+    state = Observation()
+    written = cut(edges.observe(state, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+    return written, (state.get["n"], state.get["sum"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, most_broadcast: int = 200_000) -> DataFrame:
     """Connected components of an edge table: node, label (the smallest node it reaches).
 
     Alternates large-star and small-star rounds, each written, until the edges no longer change.  The
     smallest neighbours are broadcast while there are at most ``most_broadcast`` edges.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
-    seen, few = None, now.count() * 2 <= most_broadcast
-    for _ in range(rounds):
+    now, seen = _counted(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
+    for _ in range(rounds if seen[0] else 0):
+        few = seen[0] * 2 <= most_broadcast
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(sized(least, few), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(sized(floor, few), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(floor.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small, "star")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, state = _counted(small, "star")
         if state == seen:
             break
-        seen, few = state, state[0] * 2 <= most_broadcast
+        seen = state
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def extended(labels: DataFrame, links: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """``labels`` of :func:`components` after more links (a, b): only the components that these join go through rounds again."""
+    ends = links.select("a", "b")
+    for k in "ab":
+        ends = ends.join(sized(labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))), k, "left")
+    ends = ends.select(*(F.coalesce(f"label_{k}", k).alias(k) for k in "ab"))
+    joined = components(ends, most_broadcast=most_broadcast)
+    if not (n := joined.count()):
+        return labels
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    moved = labels.join(sized(new, n <= most_broadcast), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return cut(moved.unionByName(joined), "labels")
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000, words: int = WORDS) -> DataFrame:
     """Full sets of some documents, written: rep, shingles.
 
@@ -209,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = cut(now.join(sized(mixed), "key").select("rep", "label").distinct(), "rest")
     sets = shingle_sets(source, rest.select(F.col("rep").alias("doc_id")))
     more = confirm(source, rare_pairs(sets, rest, percent).join(sized(stars), ["a", "b"], "left_anti"), percent)
-    ends = cut(components(links.unionByName(more)), "ends")
+    ends = extended(labels, more)
 
     label = F.coalesce("label", "rep").alias("component_id")
     found = cut(classes.join(sized(ends), classes["rep"] == ends["node"], "left").select("set_key", label), "found")
